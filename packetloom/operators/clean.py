@@ -174,7 +174,8 @@ def dataset_profile(df: DataFrame, label: str | None = None, ts: str | None = No
     one = df.agg(*missing, F.count("*").alias("_rows"))
     out = one.select(F.explode(F.array(
         F.struct(F.lit("rows").alias("metric"), F.lit("").alias("item"), F.col("_rows").cast("double").alias("value")),
-        *[F.struct(F.lit("missing"), F.lit(n), F.col(n).cast("double")) for n in cols])).alias("_x")).select("_x.*")
+        *[F.struct(F.lit("missing").alias("metric"), F.lit(n).alias("item"), F.col(n).cast("double").alias("value"))
+          for n in cols])).alias("_x")).select("_x.*")
     digest = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
     dup = df.groupBy(digest.alias("_d")).agg(F.count("*").alias("_n")).agg(
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("double").alias("value"))
@@ -186,7 +187,7 @@ def dataset_profile(df: DataFrame, label: str | None = None, ts: str | None = No
     if ts:
         span = df.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).select(F.explode(F.array(
             F.struct(F.lit("ts_min").alias("item"), F.col("a").cast("double").alias("value")),
-            F.struct(F.lit("ts_max"), F.col("b").cast("double")))).alias("_x"))
+            F.struct(F.lit("ts_max").alias("item"), F.col("b").cast("double").alias("value")))).alias("_x"))
         out = out.unionByName(span.select(F.lit("timestamp").alias("metric"), "_x.*"))
     return out
 

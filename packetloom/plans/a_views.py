@@ -57,10 +57,10 @@ cte("dup_v", """
 SELECT *, CASE WHEN packet_index > first_index THEN first_index END AS duplicate_of_index FROM (
   SELECT *, min(packet_index) OVER (PARTITION BY ts, src_ip, dst_ip, protocol, src_port, dst_port, packet_length, tcp_seq)
     AS first_index FROM packets_d)""")
-# a copy of every 23rd packet is appended, so there is something to find
+# every ICMP packet is appended once more, so there is something to find
 cte("packets_d", """
 SELECT * FROM packets_v UNION ALL
-SELECT * REPLACE (packet_index + 1000000000 AS packet_index) FROM packets_v WHERE packet_index % 23 = 0""")
+SELECT * REPLACE (packet_index + 1000000000 AS packet_index) FROM packets_v WHERE protocol = 'ICMP'""")
 cte("retr_v", """
 SELECT p.*, coalesce(h.high IS NOT NULL AND p.tcp_seq < h.high, false) AS is_retransmission
 FROM packets_v p LEFT JOIN (
