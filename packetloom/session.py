@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on. Shuffle width is left to AQE: it starts from the cluster's own
@@ -44,3 +45,8 @@ def durable(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="packetloom-ckpt-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Keep a table that several branches of one plan read; lost blocks are rebuilt from its lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
