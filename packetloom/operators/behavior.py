@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packetloom.functions.columns import bucket, choose, clip, count_when, r, stable_id
-from packetloom.functions.ordered import segmented_lag, segmented_running
+from packetloom.functions.ordered import segmented_running
 from packetloom.functions.quantiles import group_entropy, group_gini, group_quantiles
 from packetloom.session import shared
 
@@ -46,12 +46,26 @@ def beaconing(flows: DataFrame, min_connections: int = 4, cv_threshold: float =
 
 
 def interval_rows(events: DataFrame, keys: Sequence[str], ts: str, segment_seconds: int) -> DataFrame:
-    """Distinct times per key with ``interval`` to the previous one and ``prev_interval`` before that."""
+    """Distinct times per key with ``interval`` to the previous one and ``prev_interval`` before that.
+
+    Gaps inside a (key, segment) come from one window; the gaps that cross segments from a table with
+    one row per segment.
+    """
     keys = list(keys)
-    d = events.select(*keys, F.col(ts).alias("_t")).distinct().withColumn("_seg", F.floor(F.col("_t") / segment_seconds))
-    d = segmented_lag(d, keys, "_seg", ["_t"], {"_p": "_t"}).withColumn("interval", F.col("_t") - F.col("_p"))
-    d = segmented_lag(d, keys, "_seg", ["_t"], {"prev_interval": "interval"})
-    return d.filter("interval IS NOT NULL").select(*keys, "interval", "prev_interval")
+    d = shared(events.select(*keys, F.col(ts).alias("_t")).distinct()
+               .withColumn("_seg", F.floor(F.col("_t") / segment_seconds)))
+    inner = W.partitionBy(*keys, "_seg").orderBy("_t")
+    rows = d.withColumn("_i", F.col("_t") - F.lag("_t").over(inner)).withColumn("_pi", F.lag("_i").over(inner))
+    seg = rows.groupBy(*keys, "_seg").agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"), F.count("*").alias("_n"),
+                                          F.max_by("_i", "_t").alias("_li"))
+    across = W.partitionBy(*keys).orderBy("_seg")
+    seg = seg.withColumn("_first", F.col("_a") - F.lag("_b").over(across)).withColumn(
+        "_last", F.when(F.col("_n") == 1, F.col("_first")).otherwise(F.col("_li"))).withColumn(
+        "_carry", F.lag("_last").over(across))
+    out = rows.join(seg.select(*keys, "_seg", "_first", "_carry"), [*keys, "_seg"]).withColumns({
+        "interval": F.coalesce("_i", "_first"),
+        "prev_interval": F.when(F.col("_i").isNull(), F.col("_carry")).otherwise(F.coalesce("_pi", "_first"))})
+    return out.filter("interval IS NOT NULL").select(*keys, "interval", "prev_interval")
 
 
 LOWER_HINGE = lambda n: (F.floor(n / 2) - 1) / 2.0

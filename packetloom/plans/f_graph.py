@@ -160,7 +160,7 @@ IP2 = "CASE WHEN event_id % 3 = 0 THEN '192.168.1.' || (user_id % 90) ELSE '172.
 
 @query("gra8_ip_class", f"""
 WITH p AS (SELECT {IP} AS s, {IP2} AS t FROM events),
-c AS (SELECT *, s LIKE '10.%' OR s LIKE '192.168.%' OR s LIKE '127.%' AS sp,
+c AS (SELECT *, s LIKE '10.%' OR (s LIKE '172.%' AND CAST(split_part(s, '.', 2) AS INT) BETWEEN 16 AND 31) AS sp,
  t LIKE '192.168.%' OR (t LIKE '172.%' AND CAST(split_part(t, '.', 2) AS INT) BETWEEN 16 AND 31) AS tp FROM p)
 SELECT CASE WHEN sp AND tp THEN 'INTERNAL' WHEN sp THEN 'OUTBOUND' WHEN tp THEN 'INBOUND' ELSE 'EXTERNAL' END AS direction,
  split_part(s, '.', 1) || '.' || split_part(s, '.', 2) || '.' || split_part(s, '.', 3) || '.0/24' AS src_subnet, count(*) AS n FROM c GROUP BY 1, 2""")

@@ -54,6 +54,8 @@ def expand(sql: str) -> str:
         return sql.strip()
     head = ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[14:].strip()}"
     return f"WITH {head},\n{body[4:].strip()}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"
 
 
