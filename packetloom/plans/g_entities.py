@@ -181,7 +181,7 @@ SELECT 'ep_' || substr(sha256(entity || ':' || start_window || ':' || end_window
   concat_ws(',', CASE WHEN bool_or(attack_category = 'port_scan') THEN 'T1046' END, CASE WHEN bool_or(attack_category = 'dos_flood') THEN 'T1498' END) AS mitre_techniques
  FROM fe_v JOIN ep_days USING (entity, bucket) GROUP BY 1, 2)""")
 cte("camp_v", f"""
-SELECT 'cmp_' || substr(sha256(entity || ':' || start_window || ':' || end_window || ':' || episode_count), 1, 12) AS campaign_id, *, (end_window - start_window + 1) * {float(MONTH)} AS duration_seconds FROM (
+SELECT 'cmp_' || substr(sha256(entity || ':' || start_window || ':' || end_window || ':' || episode_count), 1, 12) AS campaign_id, *, (end_window - start_window + 1) * {float(MONTH)}::DOUBLE AS duration_seconds FROM (
  SELECT entity, island, min(start_window) AS start_window, max(end_window) AS end_window, count(*) AS episode_count, string_agg(DISTINCT attack_state, ',' ORDER BY attack_state) AS attack_states,
   coalesce(string_agg(DISTINCT nullif(mitre_techniques, ''), ',' ORDER BY nullif(mitre_techniques, '')), '') AS mitre_techniques, CASE WHEN bool_or(severity = 'HIGH') THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM (
   SELECT *, sum(nw) OVER (PARTITION BY entity ORDER BY start_window) AS island FROM (
@@ -235,7 +235,7 @@ SELECT f.entity, CASE WHEN sc OR s.entity IS NOT NULL THEN 'RECONNAISSANCE' WHEN
  SELECT entity, min(bucket) AS a, max(bucket) AS z, bool_or(attack_category = 'port_scan') AS sc, bool_or(attack_category = 'dos_flood') AS ds FROM fe_v GROUP BY 1) f
 LEFT JOIN (SELECT DISTINCT entity FROM chg_v WHERE change_type LIKE 'PORT%') s USING (entity)""")(lambda t: en.attack_states(t.findings, t.changes))
 register("ent7_episodes", f"""
-SELECT episode_id, entity, start_window, end_window, greatest({float(MONTH)}, (end_window - start_window + 1) * {float(MONTH)}) AS duration_seconds, finding_count, session_count, categories, ports AS destination_ports, severity, attack_state, mitre_techniques
+SELECT episode_id, entity, start_window, end_window, greatest({float(MONTH)}::DOUBLE, (end_window - start_window + 1) * {float(MONTH)}::DOUBLE) AS duration_seconds, finding_count, session_count, categories, ports AS destination_ports, severity, attack_state, mitre_techniques
 FROM epi_v JOIN (SELECT entity, count(*) AS session_count, string_agg(DISTINCT CAST(dst_port AS VARCHAR), ',' ORDER BY CAST(dst_port AS VARCHAR)) AS ports FROM ends_v GROUP BY 1) USING (entity)""")(
     lambda t: t.episodes.drop("targets").withColumn("destination_ports", F.array_join("destination_ports", ",")))
 register("ent8_risk_decompose", """
@@ -305,12 +305,12 @@ def forecasts(t):
 register("ent17_entity_timeline", f"""
 SELECT *, 'evt_' || substr(sha256(entity || ':' || event_type || ':' || CAST(floor(timestamp) AS BIGINT) || ':' || detail), 1, 12) AS event_id FROM (
 SELECT entity, 'FIRST_SEEN' AS event_type, first_ts AS timestamp, 'INFO' AS severity, 'OBSERVED' AS scope, '' AS detail FROM prof_e UNION ALL
-SELECT entity, 'BEHAVIOR_CHANGE', bucket * {float(MONTH)}, CASE WHEN contains(change_type, 'FANOUT') THEN 'HIGH' ELSE 'MEDIUM' END, 'OBSERVED', change_type FROM chg_v UNION ALL
-SELECT entity, 'BASELINE_DEVIATION', bucket * {float(MONTH)}, CASE WHEN z_score > 3 THEN 'HIGH' ELSE 'MEDIUM' END, 'OBSERVED', metric_name FROM devi_v UNION ALL
-SELECT entity, 'ANOMALY', bucket * {float(MONTH)}, upper(severity), 'OBSERVED', attack_category FROM fe_v UNION ALL
-SELECT entity, 'KINEMATIC_TRANSITION', window_after * {float(MONTH)}, CASE WHEN to_state IN ('IMPACT', 'COMMAND_AND_CONTROL') THEN 'CRITICAL' ELSE 'HIGH' END, 'OBSERVED', to_state FROM kt_v WHERE from_state <> to_state UNION ALL
-SELECT entity, 'PATTERN_START', start_window * {float(MONTH)}, severity, 'OBSERVED', pattern_type FROM pat_v UNION ALL
-SELECT entity, 'CAMPAIGN_JOIN', start_window * {float(MONTH)}, severity, 'OBSERVED', campaign_id FROM camp_v UNION ALL
+SELECT entity, 'BEHAVIOR_CHANGE', bucket * {float(MONTH)}::DOUBLE, CASE WHEN contains(change_type, 'FANOUT') THEN 'HIGH' ELSE 'MEDIUM' END, 'OBSERVED', change_type FROM chg_v UNION ALL
+SELECT entity, 'BASELINE_DEVIATION', bucket * {float(MONTH)}::DOUBLE, CASE WHEN z_score > 3 THEN 'HIGH' ELSE 'MEDIUM' END, 'OBSERVED', metric_name FROM devi_v UNION ALL
+SELECT entity, 'ANOMALY', bucket * {float(MONTH)}::DOUBLE, upper(severity), 'OBSERVED', attack_category FROM fe_v UNION ALL
+SELECT entity, 'KINEMATIC_TRANSITION', window_after * {float(MONTH)}::DOUBLE, CASE WHEN to_state IN ('IMPACT', 'COMMAND_AND_CONTROL') THEN 'CRITICAL' ELSE 'HIGH' END, 'OBSERVED', to_state FROM kt_v WHERE from_state <> to_state UNION ALL
+SELECT entity, 'PATTERN_START', start_window * {float(MONTH)}::DOUBLE, severity, 'OBSERVED', pattern_type FROM pat_v UNION ALL
+SELECT entity, 'CAMPAIGN_JOIN', start_window * {float(MONTH)}::DOUBLE, severity, 'OBSERVED', campaign_id FROM camp_v UNION ALL
 SELECT entity, 'FORECAST_GENERATED', last_ts + k * 60, 'INFO', 'FORECAST', CAST(k AS VARCHAR) FROM prof_e, (SELECT unnest(range(1, 6)) AS k))""")(
     lambda t: en.entity_timeline(t.profile, t.changes, t.deviations, t.findings, t.transitions, t.patterns, t.campaigns, forecasts(t), MONTH))
 register("ent18_relationships", """
