@@ -97,12 +97,12 @@ SELECT event_id, event_type FROM events WHERE (lower(event_type) LIKE '%ic%' OR
 register("prd2_field_registry", """
 SELECT entity FROM facts_v WHERE failure_ratio > 0.3 AND peer_count >= 10 AND contains(lower(roles), 'client') AND beaconing_detected""")(lambda t: hunt_table(t).filter(hunt.where(hunt.Request("ENTITY", [
     P("entity.failure_ratio", ">", 0.3), P("entity.fanout", ">=", 10), P("entity.role", "CONTAINS", "Client"), P("entity.beaconing", "=", True)]))).select("entity"))
-for rel, tq, cond in (("during", hunt.Temporal("DURING", (365, 380)), "last_seen_window >= 365 AND first_seen_window <= 380"),
-                      ("within", hunt.Temporal("WITHIN", (360, 440)), "first_seen_window >= 360 AND last_seen_window <= 440"),
-                      ("before", hunt.Temporal("BEFORE", reference=367), "first_seen_window < 367"),
-                      ("after", hunt.Temporal("AFTER", reference=440), "last_seen_window > 440")):
-    register(f"prd3_temporal_{rel}", f"SELECT entity, first_seen_window, last_seen_window FROM hist_v WHERE {cond}")(
-        lambda t, tq=tq: t.history.filter(hunt.temporal(tq)).select("entity", "first_seen_window", "last_seen_window"))
+for rel, tq, cond in (("during", hunt.Temporal("DURING", (385, 390)), "end_window >= 385 AND start_window <= 390"),
+                      ("within", hunt.Temporal("WITHIN", (380, 400)), "start_window >= 380 AND end_window <= 400"),
+                      ("before", hunt.Temporal("BEFORE", reference=370), "start_window < 370"),
+                      ("after", hunt.Temporal("AFTER", reference=430), "end_window > 430")):
+    register(f"prd3_temporal_{rel}", f"SELECT campaign_id, entity, start_window, end_window FROM camp_v WHERE {cond}")(
+        lambda t, tq=tq: t.campaigns.filter(hunt.temporal(tq, "start_window", "end_window")).select("campaign_id", "entity", "start_window", "end_window"))
 EV_TEXT = "concat_ws(',', CASE WHEN targeted_ports_count >= 5 THEN 'MANY_PORTS' END, CASE WHEN peer_count >= 5 THEN 'WIDE_FANOUT' END, CASE WHEN failure_ratio >= 0.5 THEN 'HIGH_FAILURE' END, CASE WHEN beaconing_detected THEN 'BEACONING' END, CASE WHEN change_count > 0 THEN 'BEHAVIOR_CHANGE' END)"
 register("qry1_entity_query", f"SELECT entity, score, priority_level, {EV_TEXT} AS supporting_evidence FROM score_v WHERE score >= 60 AND targeted_ports_count >= 5 ORDER BY score DESC, entity LIMIT 25 OFFSET 5")(
     lambda t: hunt.run(hunt.evidence_text(hunt_table(t)), hunt.Request("ENTITY", [P("entity.risk_score", ">=", 60), P("entity.port_diversity", ">=", 5)], sort_by="score",

@@ -30,20 +30,22 @@ def build(app: str = "packetloom", master: str | None = None, **extra: str) -> S
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; a scratch one only for a local master without it."""
+    shared_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared_dir is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        shared_dir = tempfile.mkdtemp(prefix="packetloom-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", shared_dir)
+    return shared_dir
+
 
-    Only where that setting is absent and the master is local is a scratch folder chosen here.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared checkpoint folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            shared = tempfile.mkdtemp(prefix="packetloom-ckpt-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
