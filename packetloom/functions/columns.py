@@ -37,6 +37,14 @@ def bucket(ts: Column | str, seconds: int) -> Column:
     return F.floor(c(ts) / F.lit(seconds)).cast("bigint")
 
 
+def set_size(col: Column) -> Column:
+    """Distinct count of a domain with a fixed bound (ports, windows, protocols) without expanding the rows.
+
+    The set is merged map-side and never outgrows the domain; unbounded domains (peers) must not use it.
+    """
+    return F.size(F.collect_set(col)).cast("bigint")
+
+
 def joined_set(col: Column, sep: str = ",") -> Column:
     """Sorted distinct values of a bounded domain, as one string."""
     return F.array_join(F.array_sort(F.collect_set(col)), sep)

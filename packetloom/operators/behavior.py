@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from packetloom.functions.columns import bucket, choose, clip, count_when, r, stable_id
+from packetloom.functions.columns import bucket, choose, clip, count_when, r, set_size, stable_id
 from packetloom.functions.ordered import segmented_running
 from packetloom.functions.quantiles import group_entropy, group_gini, group_quantiles
 from packetloom.session import shared
@@ -101,7 +101,9 @@ def periodicity(flows: DataFrame, min_connections: int = 4, segment_seconds: int
     f = flows.filter("src_ip IS NOT NULL AND dst_ip IS NOT NULL").select(*PAIR, "start_ts")
     ev = f.groupBy(*PAIR).agg(F.count("*").alias("event_count"), F.min("start_ts").alias("_a"), F.max("start_ts").alias("_b"))
     src = ev.groupBy("src_ip").agg(F.sum("event_count").alias("_src_total"))
-    s = interval_shape(interval_rows(f, PAIR, "start_ts", segment_seconds), PAIR)
+    # rare pairs cannot be judged: they are dropped before any interval is formed
+    often = f.join(ev.filter(F.col("event_count") >= min_connections).select(*PAIR), PAIR, "left_semi")
+    s = interval_shape(interval_rows(often, PAIR, "start_ts", segment_seconds), PAIR)
     j = ev.join(s, PAIR, "left").join(src, "src_ip")
     enough = (F.col("event_count") >= min_connections) & (F.coalesce("interval_count", F.lit(0)) >= 3)
     cv = F.col("std_interval") / F.greatest("mean_interval", F.lit(1e-6))
@@ -162,11 +164,13 @@ def entity_windows(sessions: DataFrame, seconds: int) -> DataFrame:
     edge = s.groupBy("src_ip", "bucket", "dst_ip", "dst_port").agg(
         F.count("*").alias("n"), F.sum(F.col("fwd_packets") + F.col("rev_packets")).alias("p"),
         F.sum(F.col("fwd_bytes") + F.col("rev_bytes")).alias("b"), count_when(F.col("state").isin(*FAILED)).alias("f"))
-    return edge.groupBy(F.col("src_ip").alias("entity"), "bucket").agg(
+    # one row per peer, then per window: peers are counted rows, ports a set of at most 65,536
+    g = edge.groupBy(F.col("src_ip").alias("entity"), "bucket").agg(
         F.sum("n").alias("sessions"), F.sum("p").alias("packets"), F.sum("b").alias("bytes"),
-        F.count_distinct(F.when(F.col("dst_port") != 0, F.col("dst_port"))).alias("ports"),
-        F.count_distinct("dst_ip").alias("peers"),
-        F.sum("f").alias("failed_sessions"))
+        set_size(F.when(F.col("dst_port") != 0, F.col("dst_port"))).alias("ports"), F.sum("f").alias("failed_sessions"))
+    peers = s.select(F.col("src_ip").alias("entity"), "bucket", "dst_ip").distinct().groupBy("entity", "bucket").agg(
+        F.count("*").alias("peers"))
+    return g.join(peers, ["entity", "bucket"])
 
 
 BASELINE_METRICS = ("packets", "bytes", "ports", "peers", "failed_sessions")

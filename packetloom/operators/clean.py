@@ -42,17 +42,16 @@ def flag_retransmissions(packets: DataFrame, segment_rows: int = SEGMENT_ROWS) -
     """TCP payload packets whose sequence starts before the highest byte already sent are repeats."""
     is_payload = (F.col("protocol") == "TCP") & (F.coalesce(F.col("payload_length"), F.lit(0)) > 0)
     seq = F.coalesce(F.col("tcp_seq"), F.lit(0))
-    # rows that cannot be repeats get a key of their own, so they spread instead of piling up
-    keyed = _index_segment(packets, segment_rows).withColumns({
-        "_flow": F.when(is_payload, F.concat_ws("|", "src_ip", F.coalesce("src_port", F.lit(-1)), "dst_ip",
-                                                F.coalesce("dst_port", F.lit(-1))))
-        .otherwise(F.concat(F.lit("-"), F.col("packet_index"))),
-        "_end": F.when(is_payload, seq + F.col("payload_length"))})
+    is_payload = F.coalesce(is_payload, F.lit(False))
+    # only packets that can repeat are shuffled; all others pass straight through
+    keyed = _index_segment(packets.filter(is_payload), segment_rows).withColumns({
+        "_flow": F.concat_ws("|", "src_ip", F.coalesce("src_port", F.lit(-1)), "dst_ip", F.coalesce("dst_port", F.lit(-1))),
+        "_end": seq + F.col("payload_length")})
     out = segmented_running(keyed, ["capture_id", "_flow"], "_seg", ["packet_index"],
                             {"_high": ("max", "_end")})
-    flag = is_payload & F.col("_high").isNotNull() & (seq < F.col("_high"))
-    return out.withColumn("is_retransmission", F.coalesce(flag, F.lit(False))).drop(
-        "_flow", "_end", "_high", "_seg")
+    flag = F.coalesce(seq < F.col("_high"), F.lit(False))
+    out = out.withColumn("is_retransmission", flag).drop("_flow", "_end", "_high", "_seg")
+    return out.unionByName(packets.filter(~is_payload).withColumn("is_retransmission", F.lit(False)))
 
 
 def capture_quality(packets: DataFrame, duplicates: DataFrame | None = None, order: DataFrame | None = None,

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from packetloom.functions.columns import bucket, choose, count_when, stable_id, tag_string
+from packetloom.functions.columns import bucket, choose, count_when, set_size, stable_id, tag_string
 from packetloom.functions.ordered import global_row_number
 
 W = Window
@@ -29,13 +29,18 @@ def endpoint_rows(sessions: DataFrame, seconds: int) -> DataFrame:
     return s.select("*", ends).select("_x.*", "bucket", "dst_port", "protocol", "state", "n", "packets", "bytes", "first_ts", "last_ts")
 
 
+def peer_counts(ends: DataFrame) -> DataFrame:
+    """Distinct peers per entity; each (entity, peer) is reduced to one row first."""
+    return ends.select("entity", "peer").distinct().groupBy("entity").agg(F.count("*").alias("peer_count"))
+
+
 def entity_history(ends: DataFrame, findings: DataFrame) -> DataFrame:
     """Activity, peers, ports, volumes and findings per entity with the expansion flags."""
     h = ends.groupBy("entity").agg(
-        F.min("bucket").alias("_a"), F.max("bucket").alias("_b"), F.count_distinct("bucket").alias("active_windows"),
-        F.sum("n").alias("activity_count"), F.count_distinct("peer").alias("unique_peers"),
-        F.count_distinct("dst_port").alias("unique_ports"), F.sum("packets").alias("total_packets"), F.sum("bytes").alias("total_bytes"),
+        F.min("bucket").alias("_a"), F.max("bucket").alias("_b"), set_size(c("bucket")).alias("active_windows"),
+        F.sum("n").alias("activity_count"), set_size(c("dst_port")).alias("unique_ports"), F.sum("packets").alias("total_packets"), F.sum("bytes").alias("total_bytes"),
         F.array_join(F.array_sort(F.collect_set("state")), ",").alias("observed_states"))
+    h = h.join(peer_counts(ends).withColumnRenamed("peer_count", "unique_peers"), "entity")
     f = findings.groupBy("entity").agg(F.count("*").alias("findings_count"), F.min("bucket").alias("_fa"), F.max("bucket").alias("_fb"))
     j = h.join(f, "entity", "full_outer")
     return j.select("entity", F.least("_a", "_fa").alias("first_seen_window"), F.greatest("_b", "_fb").alias("last_seen_window"),
@@ -59,13 +64,14 @@ def entity_profile(ends: DataFrame, findings: DataFrame, beacons: DataFrame) ->
     g = ends.groupBy("entity").agg(
         F.coalesce(F.sum(F.when(out, c("n"))), F.lit(0)).alias("connection_attempts"),
         F.coalesce(F.sum(F.when(~out, c("n"))), F.lit(0)).alias("inbound_sessions"),
-        F.count_distinct("peer").alias("peer_count"), F.count_distinct(F.when(out, c("dst_port"))).alias("targeted_ports_count"),
+        set_size(F.when(out, c("dst_port"))).alias("targeted_ports_count"),
         F.sum("packets").alias("packet_volume"), F.sum("bytes").alias("byte_volume"),
         F.coalesce(F.sum(F.when(out & c("state").isin("ESTABLISHED", "FIN_ACK", "CLOSED"), c("n"))), F.lit(0)).alias("successful_sessions"),
         F.coalesce(F.sum(F.when(out & c("state").isin("REJECTED", "ATTEMPTED"), c("n"))), F.lit(0)).alias("failed_sessions"),
         F.coalesce(F.sum(F.when(out & (c("state") == "RESET"), c("n"))), F.lit(0)).alias("reset_sessions"),
         F.min("bucket").alias("first_seen_window"), F.max("bucket").alias("last_seen_window"),
-        F.count_distinct("bucket").alias("active_windows_count"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+        set_size(c("bucket")).alias("active_windows_count"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    g = g.join(peer_counts(ends), "entity")
     b = beacons.filter("is_beaconing").groupBy(c("src_ip").alias("entity")).agg(
         F.min("coefficient_of_variation").alias("min_beacon_cv"), F.max("coefficient_of_variation").alias("max_beacon_cv"),
         F.max("score").alias("beacon_score"))

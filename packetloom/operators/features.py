@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from packetloom.functions.columns import bucket, choose, count_when
 from packetloom.functions.ordered import segmented_lag
 from packetloom.operators.flows import FLOW_KEY, endpoint_key
+from packetloom.session import shared
 
 W = Window
 
@@ -91,6 +92,8 @@ ADDITIVE = ("flow_count", "total_src_bytes", "total_dst_bytes", "total_packets",
 def flow_window_features(packets: DataFrame, flows: DataFrame, seconds: int) -> DataFrame:
     """Flow features of every window that holds packets (base set and the additive extended ones)."""
     pts = flow_prefix_points(packets, seconds)
+    flows = shared(flows.select("capture_id", "start_ts", "end_ts", "src_ip", "src_port", "dst_ip", "dst_port", "syn_count", "ack_count",
+                                "rst_count"))
     key = W.partitionBy(*FLOW_KEY).orderBy("bucket")
     occupied = packets.select("capture_id", bucket("ts", seconds).alias("bucket")).distinct()
     us = F.round(F.col("duration") * 1e6).cast("decimal(18,0)")
@@ -104,7 +107,7 @@ def flow_window_features(packets: DataFrame, flows: DataFrame, seconds: int) ->
     for n in ("sttl", "dttl", "swin", "dwin", "iat"):
         val[n] = F.coalesce(F.col(n), F.lit(0.0))
         val[f"n_{n}"] = F.col(n).isNotNull().cast("double")
-    vals = pts.select(*FLOW_KEY, "bucket", "end_bucket", *[v.alias(k) for k, v in val.items()])
+    vals = shared(pts.select(*FLOW_KEY, "bucket", "end_bucket", *[v.alias(k) for k, v in val.items()]))
     names = list(val)
     zero = {n: F.lit(0).cast("decimal(38,0)") if n.startswith("dur_us") else F.lit(0.0) for n in names}
     grow = vals.select("capture_id", "bucket", *[

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from packetloom.functions.columns import bucket, choose, count_when, private_ip, r, subnet_24, tag_string
+from packetloom.functions.columns import bucket, choose, count_when, private_ip, r, set_size, subnet_24, tag_string
 from packetloom.operators.behavior import observed_window_index, with_previous
 from packetloom.session import durable
 
@@ -39,13 +39,15 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
     e = edges.select("bucket", "dst_port", "packet_count", "byte_count", both).select(
         "bucket", "dst_port", "packet_count", "byte_count", "_x.*")
     out = F.col("out")
+    fans = e.select("bucket", "ip", "peer", "out").distinct().groupBy("bucket", "ip").agg(
+        count_when(out).alias("fan_out"), count_when(~out).alias("fan_in"))
     n = e.groupBy("bucket", "ip").agg(
-        F.count_distinct(F.when(out, F.col("peer"))).alias("fan_out"),
-        F.count_distinct(F.when(~out, F.col("peer"))).alias("fan_in"), F.count_distinct("dst_port").alias("port_diversity"),
+        set_size(F.col("dst_port")).alias("port_diversity"),
         F.coalesce(F.sum(F.when(out, F.col("byte_count"))), F.lit(0)).alias("bytes_sent"),
         F.coalesce(F.sum(F.when(~out, F.col("byte_count"))), F.lit(0)).alias("bytes_recv"),
         F.coalesce(F.sum(F.when(out, F.col("packet_count"))), F.lit(0)).alias("packets_sent"),
         F.coalesce(F.sum(F.when(~out, F.col("packet_count"))), F.lit(0)).alias("packets_recv"))
+    n = n.join(fans, ["bucket", "ip"])
     n = n.withColumns({"total_degree": F.col("fan_out") + F.col("fan_in"), "_p": F.col("packets_sent") + F.col("packets_recv"),
                        "is_external": ~private_ip("ip")})
     top = n.groupBy("bucket").agg(F.max("_p").alias("_max"))
