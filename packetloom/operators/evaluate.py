@@ -46,17 +46,26 @@ def calibration_error(bins: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def auc(preds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """ROC-AUC by rank sums with tied ranks and average precision by distinct score.
 
-    Works on one row per distinct score, so equal scores never pile up in one task.
+    Works on one row per distinct score. Scores are ranked inside 4,096 bins of [0, 1]; only the bin
+    totals are ordered as a whole, so many distinct scores do not meet in one task.
     """
-    s = preds.filter("p IS NOT NULL").groupBy(*keys, "p").agg(F.sum(c("target").cast("bigint")).alias("pos"), F.count("*").alias("n"))
-    part = list(keys) or [F.lit(0)]
-    up = W.partitionBy(*part).orderBy("p").rowsBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy(*part).orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
-    allw = W.partitionBy(*part)
-    s = s.withColumns({"_below": F.sum("n").over(up) - c("n"), "_tp": F.sum("pos").over(down), "_k": F.sum("n").over(down), "_P": F.sum("pos").over(allw)})
-    avg_rank = c("_below") + (c("n") + 1) / 2.0
+    keys = list(keys)
+    b = F.least(F.greatest(F.floor(c("p") * 4096), F.lit(0)), F.lit(4096)).cast("int")
+    s = preds.filter("p IS NOT NULL").groupBy(*keys, "p", b.alias("_bin")).agg(F.sum(c("target").cast("bigint")).alias("pos"), F.count("*").alias("n"))
+    part = keys or [F.lit(0)]
+    low = W.partitionBy(*part).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    high = W.partitionBy(*part).orderBy(F.desc("_bin")).rowsBetween(W.unboundedPreceding, -1)
+    z = lambda x: F.coalesce(x, F.lit(0))
+    bins = s.groupBy(*keys, "_bin").agg(F.sum("pos").alias("_bp"), F.sum("n").alias("_bn"))
+    bins = bins.select(*keys, "_bin", z(F.sum("_bn").over(low)).alias("_n0"), z(F.sum("_bp").over(high)).alias("_p1"),
+                       z(F.sum("_bn").over(high)).alias("_n1"), F.sum("_bp").over(W.partitionBy(*part)).alias("_P"))
+    up = W.partitionBy(*keys, "_bin").orderBy("p").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(*keys, "_bin").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
+    s = s.withColumns({"_u": F.sum("n").over(up), "_dp": F.sum("pos").over(down), "_dn": F.sum("n").over(down)}).join(bins, [*keys, "_bin"])
+    avg_rank = c("_n0") + c("_u") - c("n") + (c("n") + 1) / 2.0
+    prec = (c("_p1") + c("_dp")) / (c("_n1") + c("_dn"))
     g = s.groupBy(*keys).agg(F.sum("pos").alias("positives"), (F.sum("n") - F.sum("pos")).alias("negatives"), F.sum(c("pos") * avg_rank).alias("_r"),
-                             F.sum(c("_tp") / c("_k") * c("pos") / F.nullif(c("_P"), F.lit(0))).alias("_ap"))
+                             F.sum(prec * c("pos") / F.nullif(c("_P"), F.lit(0))).alias("_ap"))
     P, N = c("positives"), c("negatives")
     both = (P > 0) & (N > 0)
     return g.withColumns({"roc_auc": F.when(both, (c("_r") - P * (P + 1) / 2.0) / (P * N)), "average_precision": F.when(both, c("_ap"))}).drop("_r", "_ap")
@@ -88,7 +97,7 @@ def threshold_sweep(preds: DataFrame, keys: Sequence[str] = (), grid: Sequence[f
     for i, t in enumerate(grid):
         hit = c("p") >= t
         aggs += [count_when(y & hit).alias(f"tp{i}"), count_when(~y & hit).alias(f"fp{i}"), count_when(y & ~hit).alias(f"fn{i}"), count_when(~y & ~hit).alias(f"tn{i}")]
-    g = preds.groupBy(*keys).agg(*aggs)
+    g = preds.groupBy(*keys).agg(*aggs, F.count("*").alias("_all")).filter("_all > 0")
     arr = F.array(*[F.struct(F.lit(t).alias("threshold"), *[c(f"{n}{i}").alias(n) for n in ("tp", "fp", "fn", "tn")]) for i, t in enumerate(grid)])
     x = g.select(*keys, F.explode(arr).alias("_x")).select(*keys, "_x.*")
     tpr = F.coalesce(F.try_divide(c("tp"), c("tp") + c("fn")), F.lit(0.0))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from packetloom.functions.columns import stable_id
-from packetloom.session import durable
+from packetloom.session import durable, shared
 
 c = F.col
 NODE = ("id", "node_type", "label", "entity_key", "scope", "window")
@@ -33,7 +33,7 @@ def build_graph(sessions: DataFrame, findings: DataFrame, beacons: DataFrame, ep
     Sessions are first reduced to one row per (src, dst, port): a busy pair is one node. Edges keep
     only ends that exist as nodes.
     """
-    s = sessions.groupBy("src_ip", "dst_ip", "dst_port").agg(F.count("*").alias("n"))
+    s = shared(sessions.groupBy("src_ip", "dst_ip", "dst_port").agg(F.count("*").alias("n")))
     skey = F.concat_ws(":", "src_ip", "dst_ip", c("dst_port").cast("string"))
     f, b = findings, beacons.filter("is_beaconing")
     bkey = F.concat_ws(":", "src_ip", "dst_ip", c("dst_port").cast("string"), "protocol")
@@ -74,7 +74,7 @@ def build_graph(sessions: DataFrame, findings: DataFrame, beacons: DataFrame, ep
     for x in nodes[1:]:
         n = n.unionByName(x)
     # one row per id: grouped minimum combines map-side, unlike a window per id
-    n = n.groupBy("id").agg(*[F.min(x).alias(x) for x in NODE[1:]])
+    n = shared(n.groupBy("id").agg(*[F.min(x).alias(x) for x in NODE[1:]]))
     e = edges[0]
     for x in edges[1:]:
         e = e.unionByName(x)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packetloom.functions.columns import choose, count_when, stable_id, tag_string
+from packetloom.functions.ordered import segmented_lag
 from packetloom.operators.graph import connected_components
 
 W = Window
@@ -257,10 +258,10 @@ def transition_validate(steps: DataFrame, base_confidence: float = 0.70) -> Data
     return steps.withColumns({"semantics": F.when(~unknown, sem), "status": status, "confidence": conf})
 
 
-def timeline_audit(events: DataFrame, order: str) -> DataFrame:
+def timeline_audit(events: DataFrame, order: str, segment_rows: int = 65536) -> DataFrame:
     """Out-of-order rows, confidences outside [0, 1], and BENIGN beside an attack stage at one time, per ``story``."""
-    w = W.partitionBy("story").orderBy(order)
-    x = events.withColumn("_p", F.lag("timestamp").over(w))
+    x = events.withColumn("_seg", F.floor(c(order) / segment_rows))
+    x = segmented_lag(x, ["story"], "_seg", [order], {"_p": "timestamp"})
     a = x.groupBy("story").agg(F.count("*").alias("events"), count_when(c("timestamp") < c("_p")).alias("out_of_order"),
                                count_when((c("confidence") < 0) | (c("confidence") > 1)).alias("bad_confidence"))
     t = events.groupBy("story", "timestamp").agg(F.bool_or(c("stage") == "BENIGN").alias("b"), F.bool_or(c("stage") != "BENIGN").alias("o"))

@@ -121,7 +121,8 @@ def eve_lines(spark, d):
     e = events(spark, d)
     k = col("k")
     tech = F.when(k % 3 == 0, F.lit('["T1046","T1595"]')).when(k % 3 == 1, F.lit('"T1071"')).otherwise(F.lit("null"))
-    iso = F.date_format(F.timestamp_seconds(F.floor("t")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    at = F.expr("timestampadd(SECOND, CAST(floor(t) AS INT), TIMESTAMP_NTZ'1970-01-01 00:00:00')")  # free of the session time zone
+    iso = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     alert = F.format_string('{"timestamp":"%s","event_type":"alert","src_ip":"u%d","src_port":5,"dest_ip":"h%d","dest_port":%d,"proto":"TCP","alert":{"signature":"S%d","signature_id":%d,"severity":%d,"category":"c","metadata":{"mitre_technique_id":%s,"tag":"T1498"}}}',
                             iso, col("user_id"), k % 20, k, k, k, k % 5 + 1, tech)
     dns = F.format_string('{"timestamp":"%s","event_type":"dns","src_ip":"u%d","dest_ip":"h1","dns":{"rrname":"n%d.example","rrtype":"AAAA"}}', iso, col("user_id"), k)
