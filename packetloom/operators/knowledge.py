@@ -74,7 +74,8 @@ def build_graph(sessions: DataFrame, findings: DataFrame, beacons: DataFrame, ep
     for x in nodes[1:]:
         n = n.unionByName(x)
     # one row per id: grouped minimum combines map-side, unlike a window per id
-    n = shared(n.groupBy("id").agg(*[F.min(x).alias(x) for x in NODE[1:]]))
+    # both tables are written once: the traversals join them with themselves many times
+    n = durable(n.groupBy("id").agg(*[F.min(x).alias(x) for x in NODE[1:]]))
     e = edges[0]
     for x in edges[1:]:
         e = e.unionByName(x)
@@ -82,7 +83,7 @@ def build_graph(sessions: DataFrame, findings: DataFrame, beacons: DataFrame, ep
     ids = n.select("id")
     e = (e.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
          .join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi"))
-    return n, e.withColumn("edge_id", stable_id("edge", c("source_id"), c("target_id"), c("edge_type")))
+    return n, durable(e.withColumn("edge_id", stable_id("edge", c("source_id"), c("target_id"), c("edge_type"))))
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -50,8 +50,7 @@ SELECT DISTINCT * FROM (
 
 def graph(t):
     h = t.profile.select(F.explode(F.array(*[F.lit(k) for k in range(1, 6)])).alias("horizon")).distinct()
-    n, e = kg.build_graph(t.flows, t.findings, t.beacons, t.episodes, t.changes, t.campaigns, t.patterns, t.transitions, h)
-    return shared(n), shared(e)
+    return kg.build_graph(t.flows, t.findings, t.beacons, t.episodes, t.changes, t.campaigns, t.patterns, t.transitions, h)
 
 
 register("gra12_kg_nodes", "SELECT id, node_type, entity_key, scope, win AS \"window\" FROM kg_nodes")(lambda t: graph(t)[0].drop("label"))
