@@ -107,7 +107,7 @@ def threshold_sweep(preds: DataFrame, keys: Sequence[str] = (), grid: Sequence[f
 
 def best_threshold(sweep: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     rank = F.struct("f1", "balanced_accuracy", (-c("threshold")).alias("t"))
-    return sweep.groupBy(*keys).agg(F.max_by("threshold", rank).alias("threshold"), F.max("f1").alias("f1"))
+    return sweep.groupBy(*keys).agg(F.max_by("threshold", rank).alias("threshold"), F.max("f1").alias("f1")).filter("threshold IS NOT NULL")
 
 
 def selective(preds: DataFrame, keys: Sequence[str] = (), threshold: float = 0.5, margin: float = 0.05) -> DataFrame:
