@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,12 +29,10 @@ def build(app: str = "packetloom", master: str | None = None, **extra: str) -> S
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch one only for a local master without it."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset, a folder inside the warehouse, which a cluster shares too."""
     shared_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared_dir is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared_dir = tempfile.mkdtemp(prefix="packetloom-ckpt-")
+        shared_dir = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", shared_dir)
     return shared_dir
 
