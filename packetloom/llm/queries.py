@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packetloom.llm import minhash_dedup, mixing, packing, projection_dedup  # noqa: F401
+from packetloom.llm import fingerprints, minhash_dedup, mixing, packing, projection_dedup  # noqa: F401
 from packetloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
