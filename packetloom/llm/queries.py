@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packetloom.llm import chat, fingerprints, minhash_dedup, mixing, packing, projection_dedup, secrets  # noqa: F401
+from packetloom.llm import chat, fingerprints, minhash_dedup, mixing, packing, projection_dedup, quality, secrets  # noqa: F401
 from packetloom.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
