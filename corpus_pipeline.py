@@ -1,12 +1,43 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read by the next."""
+"""Corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from packetloom.llm.common import staged, table
+from packetloom.llm.minhash_dedup import drop_near_duplicates
+from packetloom.llm.mixing import mixed_documents
+from packetloom.llm.packing import pack
+from packetloom.llm.quality import keep_good
+from packetloom.llm.secrets import redact_secrets
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
+    return drop_near_duplicates(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets are replaced by a mark, and ``n_chars`` follows."""
+    return redact_secrets(docs, length_col="n_chars")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full training sequences, with their token ids."""
+    return pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("MinHash near-dedup", near_duplicates), ("secret scan", secrets), ("mixing", mixing), ("packing", packing)]
 #: The stages fit models, choose seeded documents and tokenise: not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
@@ -15,5 +46,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; returns what the last one returns."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
