@@ -14,6 +14,8 @@ from packetloom.llm.components import components
 
 U = np.uint64
 GOLD, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
+#: Bucket members are compared in blocks of about so many.
+CELL = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,6 +103,75 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, size long, items array<long>")
 
 
+def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``key, doc_id, component``: bucket members with their component so far."""
+    near = components(links, "a", "b").withColumnRenamed("node", "doc_id")
+    return staged(members.join(near, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components."""
+    keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    return placed.join(staged(keys, "open"), "key")
+
+
+def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links that join different components of a bucket.
+
+    The largest component of a bucket and the other members are cut into blocks of about ``CELL``; a task compares two
+    blocks, of which at most one belongs to the largest component, through a matrix of shared shingles, and returns a
+    spanning forest of the links. No pair is emitted that isn't one.
+    """
+    placed = staged(placed, "open-members")
+    count = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    top = count.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / CELL)).cast("int")
+    top = staged(top.select("key", F.col("top.component").alias("top"), blocks(F.col("top.n")).alias("many"), blocks(F.col("all") - F.col("top.n")).alias("few")), "tops")
+    rows = placed.join(top, "key").withColumn("main", F.col("component") == F.col("top"))
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("main"), F.col("many")).otherwise(F.col("few"))).cast("int")
+    # blocks of the largest component are -1, -2, ...; the others 0, 1, ...
+    rows = rows.withColumn("own", F.when(F.col("main"), -1 - own).otherwise(own))
+    rest = F.sequence(F.lit(0), F.col("few") - 1)
+    rows = rows.withColumn("other", F.explode(F.when(F.col("main"), rest).otherwise(F.concat(rest, F.sequence(-F.col("many"), F.lit(-1))))))
+    cells = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "doc_id", "component")
+    cells = cells.join(sets, "doc_id")
+
+    def run(cell: pa.Table) -> pa.Table:
+        ids, comp, side, size = (cell.column(c).to_numpy() for c in ("doc_id", "component", "side", "size"))
+        items = cell.column("items").combine_chunks().flatten().to_numpy()
+        shingle, column, seen = np.unique(items, return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(ids)), size)
+        shared = seen[column] > 1
+        row, column = row[shared], (np.cumsum(seen > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+        common = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+            lo, hi = np.searchsorted(column, [at, at + 2048])
+            has = np.zeros((len(ids), 2048), np.float32)
+            has[row[lo:hi], column[lo:hi] - at] = 1
+            common += has[left] @ has[right].T
+        hit = (100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)) & (comp[left][:, None] != comp[right][None, :])
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        a, b = [], []
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            p, q = find(comp[left[i]]), find(comp[right[j]])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                a.append(ids[left[i]])
+                b.append(ids[right[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return staged(cells.groupBy("key", "i", "j").applyInArrow(run, "a long, b long"), "across")
+
+
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
                        bands: int = 25, rows: int = 4, seed: int = 11) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per input row, by links of Jaccard similarity >= ``similarity``.
@@ -108,8 +179,9 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     1. Rows with equal shingle sets are folded to their smallest id, so copies never meet in a bucket.
     2. Every bucket (band key) first compares its members with its smallest id only; pairs pass the signature estimate
        (five standard errors below the threshold) and then the exact comparison of full sets.
-    3. Buckets whose members lie in several components afterwards compare every pair across components. A pair inside one
-       component needs no comparison, so each candidate pair is settled, and dense groups cost no more than their size.
+    3. Buckets whose members still lie in several components compare them with one more member, twice; what then remains is
+       compared across components, block against block. A pair inside one component needs no comparison, so every
+       candidate pair is settled, and no bucket's pairs are ever listed.
 
     A pair of similarity ``s`` shares no bucket with probability ``(1 - s^rows)^bands`` (2e-8 at 0.85 with the defaults).
     Null, empty and blank texts have an empty set and link with nothing. A null id is its own row with a null component and
@@ -142,15 +214,15 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return staged(both.withColumn("common", inter).filter(F.expr(f"100L * common >= {percent} * (size_a + size_b - common)")).select("a", "b").distinct(), "links")
 
     first = confirmed(members.filter("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct())
-    near = components(first, "a", "b")
-    placed = staged(members.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                    .select("key", "lead", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
-    still = staged(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key"), "open")
-    rest = placed.join(still, "key").filter("doc_id > lead")  # the lead has met all members
-    one, two = side(rest, "a"), side(rest, "b")
-    across = one.join(two, (one["key_a"] == two["key_b"]) & (one["doc_id_a"] < two["doc_id_b"]) & (one["component_a"] != two["component_b"]))
-    second = confirmed(across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
-    links = first.unionByName(second).unionByName(copies.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")))
+    links = first
+    for _ in range(2):  # two cheap rounds against other members shrink what is left for the blocks
+        placed = _placed(members, links)
+        lead = F.min_by(F.struct("doc_id", "component"), F.xxhash64("key", "doc_id")).alias("other")
+        others = staged(_open(placed).groupBy("key").agg(lead), "leads")
+        pairs = _open(placed).join(others, "key").filter("component <> other.component")
+        links = links.unionByName(confirmed(pairs.select(F.least("doc_id", "other.doc_id").alias("a"), F.greatest("doc_id", "other.doc_id").alias("b")).distinct()))
+    second = _across(_open(_placed(members, links)), sets, percent)
+    links = links.unionByName(second).unionByName(copies.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")))
     found = components(links, "a", "b").withColumnRenamed("node", "doc_id")
     return (sig.select("doc_id", "n_shingles").join(found, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
