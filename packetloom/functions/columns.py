@@ -68,9 +68,10 @@ def choose(*pairs: tuple[Column, object], default: object = None) -> Column:
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
-    """``prefix_`` and the first 12 hex digits of SHA-256 over the ``:``-joined parts."""
-    text = F.concat_ws(":", *[p.cast("string") for p in parts])
-    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(text, 256), 1, 12))
+    """``prefix_`` and SHA-256 over the ``:``-joined parts; a NULL part and a ``:`` inside a part keep texts apart."""
+    plain = lambda p: F.replace(F.replace(p.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
+    text = F.concat_ws(":", *[F.coalesce(plain(p), F.lit("\\N")) for p in parts])
+    return F.concat(F.lit(prefix + "_"), F.sha2(text, 256))
 
 
 def r(col: Column, digits: int = 6) -> Column:

@@ -336,13 +336,10 @@ def timeline_event_class(horizon: Column, observed: Column) -> Column:
                   default="UNKNOWN")
 
 
-def feature_provenance_table(stats: DataFrame, packets: DataFrame, features: dict[str, str], seconds: int,
-                             samples: int = 10) -> DataFrame:
-    """(window, feature) rows with value, aggregation, contributing packets and the first sample indices."""
+def feature_provenance_table(stats: DataFrame, packets: DataFrame, features: dict[str, str], seconds: int) -> DataFrame:
+    """(window, feature) rows with value, aggregation, contributing packets and their first and last index."""
     b = packets.select("capture_id", F.floor(F.col("ts") / seconds).cast("bigint").alias("bucket"), "packet_index")
-    first = Window.partitionBy("capture_id", "bucket").orderBy("packet_index")
-    heads = (b.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= samples)
-             .groupBy("capture_id", "bucket").agg(F.array_sort(F.collect_list("packet_index")).alias("sample_indices")))
+    heads = b.groupBy("capture_id", "bucket").agg(F.min("packet_index").alias("first_index"), F.max("packet_index").alias("last_index"))
     rows = stats.select("capture_id", "bucket", F.col("packet_count").alias("contributing_packets"), F.explode(F.array(*[
         F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value"), F.lit(how).alias("aggregation"))
         for n, how in features.items()])).alias("_x"))
@@ -426,12 +423,9 @@ def rank_datasets(scores: DataFrame, dataset: str, score: str) -> DataFrame:
     return scores.groupBy(dataset).agg(F.sum(score).alias("total_score"), F.count("*").alias("criteria"))
 
 
-def systematic_sample(df: DataFrame, file: str, row_no: str, cap: int) -> DataFrame:
-    """Every n-th row of each file, n = ceil(rows / cap). ``row_no`` is the 0-based ordinal in its file."""
-    n = df.groupBy(file).agg(F.count("*").alias("_rows")).withColumn(
-        "_stride", F.greatest(F.lit(1), F.ceil(F.col("_rows") / cap)))
-    return df.join(n, file).filter((F.col(row_no) % F.col("_stride") == 0)
-                                   & (F.floor(F.col(row_no) / F.col("_stride")) < cap)).drop("_rows", "_stride")
+def systematic_sample(df: DataFrame, row_no: str, stride: int) -> DataFrame:
+    """Every ``stride``-th row of each file. ``row_no`` is the 0-based ordinal in its file."""
+    return df.filter(F.col(row_no) % stride == 0)
 
 
 def reject_reasons(packets: DataFrame) -> Column:

@@ -196,10 +196,10 @@ def episodes(findings: DataFrame, ends: DataFrame, per_window_gap: int | None =
         F.array_join(F.array_sort(F.collect_set("attack_category")), ",").alias("categories"),
         F.bool_or(F.upper("severity").isin("HIGH", "CRITICAL")).alias("_hi"), F.bool_or(cat.rlike("recon|scan")).alias("_scan"),
         F.bool_or(cat.rlike("dos|flood")).alias("_dos"), F.bool_or(cat.contains("dos")).alias("_dos_only"))
-    ports = ends.select("entity", "dst_port").distinct().groupBy("entity").agg(
-        F.slice(F.array_sort(F.collect_set("dst_port")), 1, 20).alias("destination_ports"))
-    s = ends.groupBy("entity").agg(F.sum("n").alias("session_count"))
-    g = g.join(ports, "entity", "left").join(s, "entity", "left")
+    # an entity's episodes don't overlap: each of its windows belongs to one at most
+    during = ends.join(g.select("entity", "_ep", F.explode(F.sequence("start_window", "end_window")).alias("bucket")), ["entity", "bucket"])
+    met = during.groupBy("entity", "_ep").agg(F.array_sort(F.collect_set("dst_port")).alias("destination_ports"), F.sum("n").alias("session_count"))
+    g = g.join(met, ["entity", "_ep"], "left")
     return g.select(
         stable_id("ep", c("entity"), c("start_window"), c("end_window"), c("finding_count")).alias("episode_id"), "entity",
         "start_window", "end_window", F.greatest(F.lit(float(seconds)), (c("end_window") - c("start_window") + 1) * float(seconds)).alias("duration_seconds"),
@@ -209,6 +209,12 @@ def episodes(findings: DataFrame, ends: DataFrame, per_window_gap: int | None =
         tag_string((c("_scan"), "T1046"), (c("_dos"), "T1498")).alias("mitre_techniques"))
 
 
+def episode_targets(episode_rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """``entity, episode_id, target``: the peers an entity contacted during each of its episodes."""
+    cover = episode_rows.select("entity", "episode_id", F.explode(F.sequence("start_window", "end_window")).alias("bucket"))
+    return ends.filter("out").select("entity", "bucket", c("peer").alias("target")).distinct().join(cover, ["entity", "bucket"]).select("entity", "episode_id", "target").distinct()
+
+
 def entity_facts(profile: DataFrame, trajectory: DataFrame, changes: DataFrame, deviations: DataFrame, campaigns: DataFrame,
                  windows: DataFrame) -> DataFrame:
     """The wide table: profile, kinematics, change and deviation counts, first campaign, contradictions."""
@@ -280,14 +286,19 @@ def prioritize(scored: DataFrame) -> DataFrame:
                              "priority_rank")
 
 
-def threat_view(states: DataFrame, history: DataFrame, ends: DataFrame, k: int = 10) -> DataFrame:
-    """Entities with an inferred state: level, modalities, contradictions, first k peers and ports by name."""
-    def first(col: str, name: str) -> DataFrame:
-        rows = ends.select("entity", col).distinct().withColumn("_r", F.row_number().over(W.partitionBy("entity").orderBy(col)))
-        return rows.filter(c("_r") <= k).groupBy("entity").agg(F.array_join(F.array_sort(F.collect_list(col)), ",").alias(name))
+def threat_contacts(states: DataFrame, ends: DataFrame) -> DataFrame:
+    """``entity, kind, value``: every peer and port of the entities with an inferred state."""
+    own = ends.join(states.select("entity").distinct(), "entity", "left_semi")
+    kinds = F.explode(F.array(F.struct(F.lit("PEER").alias("kind"), c("peer").alias("value")), F.struct(F.lit("PORT").alias("kind"), c("dst_port").cast("string").alias("value"))))
+    return own.select("entity", kinds.alias("_x")).select("entity", "_x.*").filter("value IS NOT NULL").distinct()
+
+
+def threat_view(states: DataFrame, history: DataFrame, ends: DataFrame) -> DataFrame:
+    """Entities with an inferred state: level, modalities, contradictions, numbers of peers and ports (``threat_contacts`` lists them)."""
+    met = threat_contacts(states, ends).groupBy("entity").agg(count_when(c("kind") == "PEER").alias("peers"), count_when(c("kind") == "PORT").alias("ports"))
     odd = ends.groupBy("entity").agg(F.bool_and(c("dst_port").isin(80, 443, 53)).alias("_web"))
     j = (states.filter("entity <> 'network'").select("entity", "attack_state", "mitre_techniques").join(history, "entity", "left")
-         .join(first("peer", "peers"), "entity", "left").join(first("dst_port", "ports"), "entity", "left").join(odd, "entity", "left"))
+         .join(met, "entity", "left").join(odd, "entity", "left"))
     return j.select("entity", "attack_state", "mitre_techniques", "first_seen_window", "last_seen_window", "peers", "ports",
                     c("activity_count").alias("total_sessions"), "findings_count",
                     F.when(c("attack_state").isin("RECONNAISSANCE", "DENIAL_OF_SERVICE"), "HIGH").otherwise("LOW").alias("threat_level"),
@@ -447,17 +458,17 @@ def threat_story(facts: DataFrame, changes: DataFrame, transitions: DataFrame, p
             .unionByName(st(clean, "Contradicting Evidence", c("first_seen_window"), F.lit("clean_sessions_baseline"), 5)))
 
 
-def decisions(scored: DataFrame, campaigns: DataFrame, top_entities: int = 8, top_campaigns: int = 3) -> DataFrame:
-    """The first threats and campaigns as decisions P0..P3."""
-    t = scored.orderBy(F.desc("score"), "entity").limit(top_entities)
+def decisions(scored: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """Every threat and campaign as a decision P0..P3, with its rank among those of its type."""
+    t = global_row_number(scored.select("entity", "score", "current_state", "priority_level"), [F.desc("score"), F.asc("entity")], "decision_rank")
     st, lv = c("current_state"), c("priority_level")
     pr = choose((lv.contains("CRITICAL") | st.isin("IMPACT", "COMMAND_AND_CONTROL"), "P0_CRITICAL"),
                 (lv.contains("HIGH") | st.isin("EXPLOITATION_INDICATOR", "RECONNAISSANCE"), "P1_HIGH"), (lv.contains("MEDIUM"), "P2_MEDIUM"),
                 default="P3_LOW")
-    a = t.select(F.lit("INVESTIGATE_ENTITY").alias("decision_type"), c("entity").alias("subject"), pr.alias("priority"))
-    k = campaigns.orderBy("start_window", "campaign_id").limit(top_campaigns).select(
+    a = t.select(F.lit("INVESTIGATE_ENTITY").alias("decision_type"), c("entity").alias("subject"), pr.alias("priority"), "decision_rank")
+    k = global_row_number(campaigns.select("campaign_id", "start_window", "severity"), [F.asc("start_window"), F.asc("campaign_id")], "decision_rank").select(
         F.lit("INVESTIGATE_CAMPAIGN").alias("decision_type"), c("campaign_id").alias("subject"),
-        F.when(c("severity") == "CRITICAL", "P1_HIGH").otherwise("P2_MEDIUM").alias("priority"))
+        F.when(c("severity") == "CRITICAL", "P1_HIGH").otherwise("P2_MEDIUM").alias("priority"), "decision_rank")
     return a.unionByName(k).withColumn("decision_id", stable_id("dec", c("subject"), c("priority")))
 
 

@@ -106,7 +106,7 @@ def latest_bucket(nodes: DataFrame) -> Column:
     return nodes.agg(F.max("bucket").alias("b")).scalar()
 
 
-def top_nodes(changed: DataFrame, k: int = 10) -> DataFrame:
+def top_nodes(changed: DataFrame, k: int) -> DataFrame:
     """The k most active and k most changed hosts of the last window (ties: more degree, then address)."""
     last = changed.filter(F.col("bucket") == latest_bucket(changed))
     act = last.orderBy(F.desc("activity_score"), F.desc("total_degree"), "ip").limit(k).withColumn("ranking", F.lit("activity"))
@@ -186,8 +186,7 @@ def graph_evolution(edges: DataFrame, nodes: DataFrame, monitored: int = 256) ->
         ((v < monitored * 0.5) | (v <= 2)).alias("is_partial_capture"))
 
 
-def connected_components(pairs: DataFrame, keys: Sequence[str] = (), a: str = "src_ip", b: str = "dst_ip",
-                         max_rounds: int = 60) -> DataFrame:
+def connected_components(pairs: DataFrame, keys: Sequence[str] = (), a: str = "src_ip", b: str = "dst_ip") -> DataFrame:
     """``keys, node, component`` (smallest node id) by alternating large-star / small-star rounds.
 
     Stars shrink the graph to depth one in a logarithmic number of rounds, whatever its diameter, and
@@ -200,7 +199,7 @@ def connected_components(pairs: DataFrame, keys: Sequence[str] = (), a: str = "s
     nodes = e.select(*keys, u.alias("node")).unionByName(e.select(*keys, v.alias("node"))).distinct()
     cur = durable(e.filter(u != v).distinct())
     last = None
-    for _ in range(max_rounds):
+    while True:  # ends when the edge set is stable
         both = cur.unionByName(cur.select(*keys, v.alias("_u"), u.alias("_v")))
         m = both.groupBy(*keys, "_u").agg(F.min("_v").alias("_m")).withColumn("_m", F.least("_m", "_u"))
         # large star: every larger neighbour points to the smallest node around

@@ -51,7 +51,7 @@ class Request:
     sort_by: str | None = None
     descending: bool = True
     scope: str | None = None
-    limit: int = 50
+    limit: int | None = None  # all rows, unless the caller pages
     offset: int = 0
 
 
@@ -128,15 +128,15 @@ def run(df: DataFrame, request: Request, tiebreak: str, first: str = "first_seen
     if request.scope and "scope" in df.columns:
         out = out.filter(c("scope") == request.scope)
     key = request.sort_by if request.sort_by in df.columns else (score if score in df.columns else None)
-    limit, offset = min(max(request.limit, 1), 500), max(request.offset, 0)
     order = ([F.desc_nulls_last(key) if request.descending else F.asc_nulls_last(key)] if key else []) + [F.asc(tiebreak)]
-    return out.orderBy(*order).offset(offset).limit(limit)
+    page = out.orderBy(*order).offset(max(request.offset, 0))
+    return page if request.limit is None else page.limit(request.limit)
 
 
 def count_matches(df: DataFrame, request: Request, first: str = "first_seen_window", last: str = "last_seen_window") -> DataFrame:
     """Total matches and whether the page was cut."""
     n = df.filter(where(request) & temporal(request.temporal, first, last)).agg(F.count("*").alias("total"))
-    return n.withColumn("truncated", c("total") > request.offset + min(max(request.limit, 1), 500))
+    return n.withColumn("truncated", F.lit(False) if request.limit is None else c("total") > request.offset + request.limit)
 
 
 def evidence_text(facts: DataFrame) -> DataFrame:
@@ -164,16 +164,6 @@ TEMPLATES: dict[str, Request] = {
     "hunt_incident_events": Request("EVENT", sort_by="timestamp", descending=False),
     "hunt_campaign_clusters": Request("CAMPAIGN", sort_by="episode_count")}
 
-PLUGINS: dict[str, dict[str, Callable[..., DataFrame]]] = {"dataset": {}, "detector": {}, "forecaster": {}}
-
-
-def plugin(kind: str, name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
-    """Register a ``DataFrame -> DataFrame`` dataset adapter, detector or forecaster."""
-    def add(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        PLUGINS[kind][name] = fn
-        return fn
-    return add
-
 
 def rollup(df: DataFrame, *columns: str) -> DataFrame:
     """Counts over all prefixes of the columns (severity, then category, then stage)."""

@@ -127,12 +127,14 @@ def evidence_chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                                                   "predecessor_types": F.coalesce("predecessor_types", F.lit("direct observation"))})
 
 
-def backward_trace(edges: DataFrame, starts: DataFrame, max_depth: int = 20) -> DataFrame:
+def backward_trace(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """All transitive predecessors of the start nodes with their distance: one join per level over the new frontier."""
     step = edges.select(c("target_id").alias("id"), c("source_id").alias("prev")).distinct()
     seen = durable(starts.select(c("id").alias("start"), c("id"), F.lit(0).alias("depth")))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         nxt = frontier.select("start", "id").join(step, "id").select("start", c("prev").alias("id")).distinct()
         nxt = durable(nxt.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if nxt.isEmpty():

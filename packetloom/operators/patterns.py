@@ -64,17 +64,25 @@ def entity_patterns(sessions: DataFrame, findings: DataFrame, keys: Sequence[str
             .unionByName(one(distributed_scans(sessions, keys), "dst_ip", "DISTRIBUTED_SCAN", "HIGH")).unionByName(v))
 
 
-def campaigns(episodes: DataFrame, gap: int = 3, seconds: int = 60) -> DataFrame:
-    """Chain the episodes of an entity while they are close in time and share targets or ports.
+def campaigns(episodes: DataFrame, targets: DataFrame, gap: int = 3, seconds: int = 60) -> DataFrame:
+    """Chain the episodes of an entity while they are close in time and share targets or ports (or neither has any).
 
-    ``episodes``: ``entity, episode_id, start_window, end_window, severity, attack_state,
-    mitre_techniques`` and the arrays ``targets`` and ``destination_ports``.
+    ``episodes``: ``entity, episode_id, start_window, end_window, severity, attack_state, mitre_techniques`` and the array
+    ``destination_ports``. ``targets``: ``entity, episode_id, target``, rows however many: a target is shared with the episode
+    before when it occurs in two consecutive ones.
     """
     w = W.partitionBy("entity").orderBy("start_window", "episode_id")
+    x = episodes.withColumn("_nth", F.row_number().over(w))
+    own = targets.join(x.select("entity", "episode_id", "_nth"), ["entity", "episode_id"]).select("entity", "target", "_nth").distinct()
+    again = own.withColumn("_same", F.lag("_nth").over(W.partitionBy("entity", "target").orderBy("_nth")) == c("_nth") - 1)
+    again = again.groupBy("entity", "_nth").agg(F.coalesce(F.bool_or("_same"), F.lit(False)).alias("_shares"))
+    x = x.join(again, ["entity", "_nth"], "left").withColumn("_aims", c("_shares").isNotNull())
     prev = lambda n: F.lag(n).over(w)
-    both = lambda a, b: F.arrays_overlap(a, b) | ((F.size(a) == 0) & (F.size(b) == 0))
-    x = episodes.withColumns({"_pe": prev("end_window"), "_pt": prev("targets"), "_pp": prev("destination_ports")})
-    joined = (c("start_window") - c("_pe") <= gap) & (both(c("targets"), c("_pt")) | both(c("destination_ports"), c("_pp")))
+    ports = F.coalesce("destination_ports", F.array())
+    x = x.withColumn("_ports", ports).withColumns({"_pe": prev("end_window"), "_pa": prev("_aims"), "_pp": prev("_ports")})
+    by_target = F.coalesce("_shares", F.lit(False)) | (~c("_aims") & ~c("_pa"))
+    by_port = F.arrays_overlap("_ports", "_pp") | ((F.size("_ports") == 0) & (F.size("_pp") == 0))
+    joined = (c("start_window") - c("_pe") <= gap) & (by_target | by_port)
     x = x.withColumn("_new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
     x = x.withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     g = x.groupBy("entity", "_island").agg(
@@ -92,15 +100,15 @@ def campaign_members(campaign_rows: DataFrame, ends: DataFrame) -> DataFrame:
     """(campaign, entity, role): the primary entity and the peers it contacted while the campaign ran."""
     primary = campaign_rows.select("campaign_id", "entity", F.lit("PRIMARY").alias("role"))
     peers = ends.filter("out").select("entity", "bucket", "peer").distinct()
-    tgt = campaign_rows.select("campaign_id", "entity", "start_window", "end_window").join(peers, "entity").filter(
-        c("bucket").between(c("start_window"), c("end_window"))).select("campaign_id", c("peer").alias("entity"), F.lit("TARGET").alias("role")).distinct()
+    cover = campaign_rows.select("campaign_id", "entity", F.explode(F.sequence("start_window", "end_window")).alias("bucket"))
+    tgt = cover.join(peers, ["entity", "bucket"]).select("campaign_id", c("peer").alias("entity"), F.lit("TARGET").alias("role")).distinct()
     return primary.unionByName(tgt)
 
 
 def campaign_dossier(campaign_rows: DataFrame, episodes: DataFrame) -> DataFrame:
     """Campaign joined to its episodes; the action follows the severity."""
-    e = campaign_rows.select("campaign_id", "entity", c("start_window").alias("_a"), c("end_window").alias("_b"), c("severity").alias("campaign_severity"))
-    j = e.join(episodes, "entity").filter((c("start_window") >= c("_a")) & (c("end_window") <= c("_b")))
+    e = campaign_rows.select("campaign_id", "entity", c("severity").alias("campaign_severity"), F.explode(F.sequence("start_window", "end_window")).alias("start_window"))
+    j = e.join(episodes, ["entity", "start_window"])  # campaigns are runs of whole episodes, so its start places an episode
     return j.select("campaign_id", "entity", "episode_id", "start_window", "end_window", "finding_count",
                     choose((c("campaign_severity") == "CRITICAL", "ISOLATE"), (c("campaign_severity") == "HIGH", "INVESTIGATE"),
                            default="MONITOR").alias("action"))
@@ -180,8 +188,8 @@ def campaign_clusters(correlations: DataFrame, fingerprints: DataFrame, incident
     return g.filter("members > 1").withColumn("cluster_id", stable_id("cluster", c("component")))
 
 
-def incident_story(events: DataFrame, incident: str, top_actors: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events in order, phases with span, leading actors) of each incident.
+def incident_story(events: DataFrame, incident: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events in order, phases with span, actors with their rank) of each incident.
 
     ``events``: ``incident, entity, event_type, bucket, severity, phase``.
     """
@@ -189,7 +197,7 @@ def incident_story(events: DataFrame, incident: str, top_actors: int = 5) -> tup
     phases = events.groupBy(incident, "phase").agg(F.min("bucket").alias("start_window"), F.max("bucket").alias("end_window"), F.count("*").alias("events"))
     act = events.groupBy(incident, "entity").agg(F.count("*").alias("events"))
     w = W.partitionBy(incident).orderBy(F.desc("events"), "entity")
-    return ordered, phases, act.withColumn("rank", F.row_number().over(w)).filter(c("rank") <= top_actors)
+    return ordered, phases, act.withColumn("rank", F.row_number().over(w))
 
 
 def compare_runs(a: DataFrame, b: DataFrame, horizons_a: DataFrame, horizons_b: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -216,15 +216,14 @@ def cln12(spark, d):
 
 
 @query("cln13_feature_provenance_table", f"""
-WITH x AS (SELECT bucket, packet_index, row_number() OVER (PARTITION BY bucket ORDER BY packet_index) AS rn FROM iat_v),
-h AS (SELECT bucket, string_agg(CAST(packet_index AS VARCHAR), ',' ORDER BY packet_index) AS sample_indices FROM x WHERE rn <= 10 GROUP BY 1)
-SELECT bucket, f AS feature, v AS value, a AS aggregation, packet_count AS contributing_packets, sample_indices FROM (
+WITH h AS (SELECT bucket, min(packet_index) AS first_index, max(packet_index) AS last_index FROM iat_v GROUP BY 1)
+SELECT bucket, f AS feature, v AS value, a AS aggregation, packet_count AS contributing_packets, first_index, last_index FROM (
  SELECT bucket, packet_count, 'syn_count' AS f, CAST(syn_count AS DOUBLE) AS v, 'count' AS a FROM win_stats UNION ALL
  SELECT bucket, packet_count, 'unique_dst_ports', CAST(unique_dst_ports AS DOUBLE), 'count_distinct' FROM win_stats) JOIN h USING (bucket)""")
 def cln13(spark, d):
     p = base.packets_marked(spark, d)
     t = clean.feature_provenance_table(win.scan_windows(p, W), p, {"syn_count": "count", "unique_dst_ports": "count_distinct"}, W)
-    return t.drop("capture_id").withColumn("sample_indices", F.array_join("sample_indices", ","))
+    return t.drop("capture_id")
 
 
 @query("cln14_feature_name_leaks", """
@@ -298,15 +297,14 @@ def cln17_rank(spark, d):
 
 
 @query("cln18_systematic_sample", """
-WITH f AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events)
-SELECT event_type, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS id_sum FROM f WHERE rn % CAST(ceil(n / 100.0) AS BIGINT) = 0
-  AND rn // CAST(ceil(n / 100.0) AS BIGINT) < 100 GROUP BY 1""")
+WITH f AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS rn FROM events)
+SELECT event_type, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS id_sum FROM f WHERE rn % 25 = 0 GROUP BY 1""")
 def cln18(spark, d):
     e = base.views.table(spark, d, "events").select("event_type", "event_id", F.floor(F.col("event_id") / 65536).alias("seg"),
                                                     F.lit(1).alias("one"))
     e = clean.segmented_running(e, ["event_type"], "seg", ["event_id"], {"row_no": ("sum", "one")})
     e = e.withColumn("row_no", F.coalesce("row_no", F.lit(0)))
-    return clean.systematic_sample(e, "event_type", "row_no", 100).groupBy("event_type").agg(
+    return clean.systematic_sample(e, "row_no", 25).groupBy("event_type").agg(
         F.count("*").alias("rows"), F.sum("event_id").alias("id_sum"))
 
 

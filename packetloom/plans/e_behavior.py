@@ -168,7 +168,7 @@ def beh10(spark, d):
 
 @query("beh10_deviations", """
 SELECT entity, evaluation_window AS bucket, t AS deviation_type, m AS metric_name, round(z, 4) AS z_score,
- 'dev_' || substr(sha256(entity || ':' || evaluation_window || ':' || t), 1, 12) AS deviation_id FROM (
+ 'dev_' || (sha256(entity || ':' || evaluation_window || ':' || t)) AS deviation_id FROM (
  SELECT entity, evaluation_window, window_count, 'PORT_EXPANSION' AS t, 'ports' AS m, ports_z AS z, 2.5 AS lim FROM bl_z UNION ALL
  SELECT entity, evaluation_window, window_count, 'PEER_EXPANSION', 'peers', peers_z, 2.5 FROM bl_z UNION ALL
  SELECT entity, evaluation_window, window_count, 'VOLUME_SHIFT', 'packets', packets_z, 3.0 FROM bl_z) WHERE z >= lim AND window_count >= 3""")

@@ -84,7 +84,7 @@ SELECT ip, ranking, round(activity_score, 5) AS activity_score, round(structural
  (SELECT *, 'activity' AS ranking FROM gc_v WHERE bucket = (SELECT max(bucket) FROM gc_v) ORDER BY activity_score DESC, fan_out + fan_in DESC, ip LIMIT 10) UNION ALL
  (SELECT *, 'change' FROM gc_v WHERE bucket = (SELECT max(bucket) FROM gc_v) ORDER BY structural_change DESC, fan_out DESC, ip LIMIT 10))""")
 def gra4(spark, d):
-    return gr.top_nodes(changed(spark, d)[1]).select(
+    return gr.top_nodes(changed(spark, d)[1], 10).select(
         "ip", "ranking", r(F.col("activity_score"), 5).alias("activity_score"), r(F.col("structural_change"), 3).alias("structural_change"), "fan_out")
 
 

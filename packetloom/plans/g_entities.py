@@ -83,12 +83,11 @@ class Tables:
 
     @cached_property
     def episodes(self):
-        e = en.episodes(self.findings, self.ends, GAP, MONTH)
-        return shared(e.withColumn("targets", F.array().cast("array<string>")))
+        return shared(en.episodes(self.findings, self.ends, GAP, MONTH))
 
     @cached_property
     def campaigns(self):
-        return shared(pt.campaigns(self.episodes, 3, MONTH))
+        return shared(pt.campaigns(self.episodes, en.episode_targets(self.episodes, self.ends), 3, MONTH))
 
     @cached_property
     def members(self):
@@ -174,18 +173,23 @@ cte("ep_days", f"""
 SELECT *, sum(nw) OVER (PARTITION BY entity ORDER BY bucket) AS ep FROM (
  SELECT entity, bucket, CASE WHEN bucket - lag(bucket) OVER (PARTITION BY entity ORDER BY bucket) > {GAP} THEN 1 ELSE 0 END AS nw FROM (SELECT DISTINCT entity, bucket FROM fe_v))""")
 cte("epi_v", f"""
-SELECT 'ep_' || substr(sha256(entity || ':' || start_window || ':' || end_window || ':' || finding_count), 1, 12) AS episode_id, * FROM (
+SELECT 'ep_' || (sha256(entity || ':' || start_window || ':' || end_window || ':' || finding_count)) AS episode_id, * FROM (
  SELECT entity, ep, min(bucket) AS start_window, max(bucket) AS end_window, count(*) AS finding_count, string_agg(DISTINCT attack_category, ',' ORDER BY attack_category) AS categories,
   CASE WHEN bool_or(severity IN ('high', 'critical')) THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
   CASE WHEN bool_or(attack_category = 'dos_flood') THEN 'DENIAL_OF_SERVICE' WHEN bool_or(attack_category = 'port_scan') THEN 'RECONNAISSANCE' ELSE 'BENIGN_OBSERVATION' END AS attack_state,
   concat_ws(',', CASE WHEN bool_or(attack_category = 'port_scan') THEN 'T1046' END, CASE WHEN bool_or(attack_category = 'dos_flood') THEN 'T1498' END) AS mitre_techniques
  FROM fe_v JOIN ep_days USING (entity, bucket) GROUP BY 1, 2)""")
+cte("epi_x", """
+SELECT v.*, session_count, ports, coalesce(len(targets), 0) AS n_targets, coalesce(targets, []) AS targets, coalesce(ports, []) AS port_list FROM epi_v v LEFT JOIN (
+ SELECT v.entity, v.ep, list(DISTINCT e.dst_port) FILTER (e.dst_port IS NOT NULL) AS ports, list(DISTINCT e.peer) FILTER (e.o) AS targets, count(*) AS session_count
+ FROM epi_v v JOIN ends_v e ON e.entity = v.entity AND e.bucket BETWEEN v.start_window AND v.end_window GROUP BY 1, 2) x USING (entity, ep)""")
 cte("camp_v", f"""
-SELECT 'cmp_' || substr(sha256(entity || ':' || start_window || ':' || end_window || ':' || episode_count), 1, 12) AS campaign_id, *, (end_window - start_window + 1) * {float(MONTH)}::DOUBLE AS duration_seconds FROM (
+SELECT 'cmp_' || (sha256(entity || ':' || start_window || ':' || end_window || ':' || episode_count)) AS campaign_id, *, (end_window - start_window + 1) * {float(MONTH)}::DOUBLE AS duration_seconds FROM (
  SELECT entity, island, min(start_window) AS start_window, max(end_window) AS end_window, count(*) AS episode_count, string_agg(DISTINCT attack_state, ',' ORDER BY attack_state) AS attack_states,
   coalesce(string_agg(DISTINCT nullif(mitre_techniques, ''), ',' ORDER BY nullif(mitre_techniques, '')), '') AS mitre_techniques, CASE WHEN bool_or(severity = 'HIGH') THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM (
   SELECT *, sum(nw) OVER (PARTITION BY entity ORDER BY start_window) AS island FROM (
-   SELECT *, CASE WHEN start_window - lag(end_window) OVER (PARTITION BY entity ORDER BY start_window) <= 3 THEN 0 ELSE 1 END AS nw FROM epi_v)) GROUP BY 1, 2)""")
+   SELECT *, CASE WHEN start_window - pe <= 3 AND (list_has_any(targets, pt) OR (n_targets = 0 AND len(pt) = 0) OR list_has_any(port_list, pp) OR (len(port_list) = 0 AND len(pp) = 0)) THEN 0 ELSE 1 END AS nw FROM (
+    SELECT *, lag(end_window) OVER w AS pe, lag(targets) OVER w AS pt, lag(port_list) OVER w AS pp FROM epi_x WINDOW w AS (PARTITION BY entity ORDER BY start_window)))) GROUP BY 1, 2)""")
 cte("devi_v", """
 SELECT entity, evaluation_window AS bucket, m AS metric_name, z AS z_score FROM (
  SELECT entity, evaluation_window, window_count, 'ports' AS m, ports_z AS z, 2.5 AS lim FROM bl_z UNION ALL SELECT entity, evaluation_window, window_count, 'peers', peers_z, 2.5 FROM bl_z UNION ALL
@@ -235,9 +239,9 @@ SELECT f.entity, CASE WHEN sc OR s.entity IS NOT NULL THEN 'RECONNAISSANCE' WHEN
  SELECT entity, min(bucket) AS a, max(bucket) AS z, bool_or(attack_category = 'port_scan') AS sc, bool_or(attack_category = 'dos_flood') AS ds FROM fe_v GROUP BY 1) f
 LEFT JOIN (SELECT DISTINCT entity FROM chg_v WHERE change_type LIKE 'PORT%') s USING (entity)""")(lambda t: en.attack_states(t.findings, t.changes))
 register("ent7_episodes", f"""
-SELECT episode_id, entity, start_window, end_window, greatest({float(MONTH)}::DOUBLE, (end_window - start_window + 1) * {float(MONTH)}::DOUBLE) AS duration_seconds, finding_count, session_count, categories, ports AS destination_ports, severity, attack_state, mitre_techniques
-FROM epi_v JOIN (SELECT entity, count(*) AS session_count, string_agg(DISTINCT CAST(dst_port AS VARCHAR), ',' ORDER BY CAST(dst_port AS VARCHAR)) AS ports FROM ends_v GROUP BY 1) USING (entity)""")(
-    lambda t: t.episodes.drop("targets").withColumn("destination_ports", F.array_join("destination_ports", ",")))
+SELECT episode_id, entity, start_window, end_window, greatest({float(MONTH)}::DOUBLE, (end_window - start_window + 1) * {float(MONTH)}::DOUBLE) AS duration_seconds, finding_count, coalesce(session_count, 0) AS session_count, categories, array_to_string(list_sort(ports), ',') AS destination_ports, severity, attack_state, mitre_techniques
+FROM epi_x""")(
+    lambda t: t.episodes.withColumn("destination_ports", F.array_join("destination_ports", ",")))
 register("ent8_risk_decompose", """
 SELECT entity, score, priority_level, 25 * port_surges + 20 * connection_surges AS change_contribution, CAST(CASE WHEN campaign_count > 0 THEN 15 ELSE 0 END AS BIGINT) AS campaign_contribution FROM score_v""")(
     lambda t: t.scored.select("entity", "score", "priority_level", "change_contribution", "campaign_contribution"))
@@ -247,13 +251,17 @@ register("ent9_threat_view", """
 WITH st AS (SELECT f.entity, CASE WHEN sc OR s.entity IS NOT NULL THEN 'RECONNAISSANCE' WHEN ds THEN 'DENIAL_OF_SERVICE' ELSE 'UNKNOWN_STATE' END AS attack_state,
  CASE WHEN sc OR s.entity IS NOT NULL THEN 'T1046' WHEN ds THEN 'T1498' ELSE '' END AS mitre_techniques FROM (SELECT entity, bool_or(attack_category = 'port_scan') AS sc, bool_or(attack_category = 'dos_flood') AS ds FROM fe_v GROUP BY 1) f
  LEFT JOIN (SELECT DISTINCT entity FROM chg_v WHERE change_type LIKE 'PORT%') s USING (entity)),
-pe AS (SELECT entity, string_agg(peer, ',' ORDER BY peer) AS peers FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY peer) AS i FROM (SELECT DISTINCT entity, peer FROM ends_v)) WHERE i <= 10 GROUP BY 1),
-po AS (SELECT entity, string_agg(CAST(dst_port AS VARCHAR), ',' ORDER BY dst_port) AS ports FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY dst_port) AS i FROM (SELECT DISTINCT entity, dst_port FROM ends_v)) WHERE i <= 10 GROUP BY 1)
+pe AS (SELECT entity, count(DISTINCT peer) AS peers FROM ends_v GROUP BY 1),
+po AS (SELECT entity, count(DISTINCT dst_port) AS ports FROM ends_v GROUP BY 1)
 SELECT st.*, first_seen_window, last_seen_window, peers, ports, activity_count AS total_sessions, findings_count, CASE WHEN attack_state IN ('RECONNAISSANCE', 'DENIAL_OF_SERVICE') THEN 'HIGH' ELSE 'LOW' END AS threat_level,
  concat_ws(',', 'ML_DETECTION', CASE WHEN activity_count > 0 THEN 'TCP_SESSION' END, CASE WHEN unique_ports > 0 THEN 'FLOW_STATISTICS' END) AS modalities, false AS only_web_ports FROM st JOIN hist_v USING (entity) JOIN pe USING (entity) JOIN po USING (entity)""")(
     lambda t: en.threat_view(en.attack_states(t.findings, t.changes), t.history, t.ends))
+register("ent9_threat_contacts", """
+WITH own AS (SELECT * FROM ends_v WHERE entity IN (SELECT entity FROM fe_v))
+SELECT DISTINCT entity, 'PEER' AS kind, peer AS value FROM own UNION ALL SELECT DISTINCT entity, 'PORT', CAST(dst_port AS VARCHAR) FROM own""")(
+    lambda t: en.threat_contacts(en.attack_states(t.findings, t.changes).filter("entity <> 'network'"), t.ends))
 register("ent10_contradictions", " UNION ALL ".join(
-    f"SELECT entity, '{n}' AS rule, '{en.CONTRADICTION_SEVERITY[n]}' AS severity, 'contra_' || substr(sha256(entity || ':{n}'), 1, 12) AS contradiction_id FROM facts_v WHERE {v}"
+    f"SELECT entity, '{n}' AS rule, '{en.CONTRADICTION_SEVERITY[n]}' AS severity, 'contra_' || (sha256(entity || ':{n}')) AS contradiction_id FROM facts_v WHERE {v}"
     for n, v in CONTRA_SQL.items()))(lambda t: en.contradictions(t.facts))
 HYPO = """
 SELECT entity, 'ADMINISTRATIVE_SCAN' AS hypothesis_type, CASE WHEN (successful_sessions > 0 OR targeted_ports_count > 10) AND NOT failure_ratio > 0.8 THEN 'PARTIALLY_SUPPORTED' WHEN failure_ratio > 0.8 THEN 'SUPPORTED_THREAT' ELSE 'UNRESOLVED' END AS resolution_state
@@ -282,10 +290,10 @@ SELECT entity, 'REVIEW_EXPOSED_SERVICES', CASE WHEN targeted_ports_count > 20 OR
 SELECT entity, 'INSPECT_PERIODIC_RELATIONSHIP', 'HIGH' FROM facts_v WHERE contains(roles, 'BEACON') UNION ALL SELECT entity, 'INSPECT_RESET_PATTERNS', 'MEDIUM' FROM facts_v WHERE contains(roles, 'RESET_HEAVY') UNION ALL
 SELECT entity, 'INVESTIGATE_CAMPAIGN', 'HIGH' FROM facts_v WHERE campaign_count > 0 UNION ALL SELECT entity, 'COLLECT_MORE_TELEMETRY', 'LOW' FROM facts_v WHERE window_count < 8""")(lambda t: en.mitigations(t.facts))
 register("ent15_decision_list", """
-SELECT *, 'dec_' || substr(sha256(subject || ':' || priority), 1, 12) AS decision_id FROM (
+SELECT *, 'dec_' || (sha256(subject || ':' || priority)) AS decision_id FROM (
  (SELECT 'INVESTIGATE_ENTITY' AS decision_type, entity AS subject, CASE WHEN contains(priority_level, 'CRITICAL') OR current_state IN ('IMPACT', 'COMMAND_AND_CONTROL') THEN 'P0_CRITICAL'
-  WHEN contains(priority_level, 'HIGH') OR current_state IN ('EXPLOITATION_INDICATOR', 'RECONNAISSANCE') THEN 'P1_HIGH' WHEN contains(priority_level, 'MEDIUM') THEN 'P2_MEDIUM' ELSE 'P3_LOW' END AS priority FROM score_v ORDER BY score DESC, entity LIMIT 8) UNION ALL
- (SELECT 'INVESTIGATE_CAMPAIGN', campaign_id, CASE WHEN severity = 'CRITICAL' THEN 'P1_HIGH' ELSE 'P2_MEDIUM' END FROM camp_v ORDER BY start_window, campaign_id LIMIT 3))""")(lambda t: en.decisions(t.scored, t.campaigns))
+  WHEN contains(priority_level, 'HIGH') OR current_state IN ('EXPLOITATION_INDICATOR', 'RECONNAISSANCE') THEN 'P1_HIGH' WHEN contains(priority_level, 'MEDIUM') THEN 'P2_MEDIUM' ELSE 'P3_LOW' END AS priority, row_number() OVER (ORDER BY score DESC, entity) AS decision_rank FROM score_v) UNION ALL
+ (SELECT 'INVESTIGATE_CAMPAIGN', campaign_id, CASE WHEN severity = 'CRITICAL' THEN 'P1_HIGH' ELSE 'P2_MEDIUM' END, row_number() OVER (ORDER BY start_window, campaign_id) FROM camp_v))""")(lambda t: en.decisions(t.scored, t.campaigns))
 cte("ctg_v", "SELECT campaign_id, count(DISTINCT peer) AS target_count FROM camp_v c JOIN ends_v e ON e.entity = c.entity AND e.o AND e.bucket BETWEEN c.start_window AND c.end_window GROUP BY 1")
 register("ent16_what_changed", """
 SELECT entity, 'ATTACK_STATE' AS change_dimension, window_after, round(strength, 4) AS magnitude, CASE WHEN to_state IN ('IMPACT', 'COMMAND_AND_CONTROL') THEN 'CRITICAL' ELSE 'HIGH' END AS significance, from_state || '>' || to_state AS detail FROM kt_v UNION ALL
@@ -303,7 +311,7 @@ def forecasts(t):
 
 
 register("ent17_entity_timeline", f"""
-SELECT *, 'evt_' || substr(sha256(entity || ':' || event_type || ':' || CAST(floor(timestamp) AS BIGINT) || ':' || detail), 1, 12) AS event_id FROM (
+SELECT *, 'evt_' || (sha256(entity || ':' || event_type || ':' || CAST(floor(timestamp) AS BIGINT) || ':' || detail)) AS event_id FROM (
 SELECT entity, 'FIRST_SEEN' AS event_type, first_ts AS timestamp, 'INFO' AS severity, 'OBSERVED' AS scope, '' AS detail FROM prof_e UNION ALL
 SELECT entity, 'BEHAVIOR_CHANGE', bucket * {float(MONTH)}::DOUBLE, CASE WHEN contains(change_type, 'FANOUT') THEN 'HIGH' ELSE 'MEDIUM' END, 'OBSERVED', change_type FROM chg_v UNION ALL
 SELECT entity, 'BASELINE_DEVIATION', bucket * {float(MONTH)}::DOUBLE, CASE WHEN z_score > 3 THEN 'HIGH' ELSE 'MEDIUM' END, 'OBSERVED', metric_name FROM devi_v UNION ALL
@@ -387,7 +395,7 @@ register("pat3_distributed_scan", "SELECT dst_ip, bucket, count(DISTINCT src_ip)
     lambda t: pt.distributed_scans(t.sessions, ["bucket"]).select("dst_ip", "bucket", "source_count"))
 register("pat4_beacon_cluster", "SELECT count(*) AS beacon_count, count(DISTINCT src_ip) AS source_count, count(DISTINCT dst_ip) AS target_count FROM be_v HAVING count(DISTINCT src_ip) >= 2")(
     lambda t: pt.beacon_cluster(t.beacons))
-register("pat4_volume_amp", "SELECT entity, bucket, 'CRITICAL' AS severity, 'pat_' || substr(sha256(entity || ':VOL_AMP:' || bucket), 1, 12) AS pattern_id FROM fe_v WHERE attack_category = 'dos_flood'")(
+register("pat4_volume_amp", "SELECT entity, bucket, 'CRITICAL' AS severity, 'pat_' || (sha256(entity || ':VOL_AMP:' || bucket)) AS pattern_id FROM fe_v WHERE attack_category = 'dos_flood'")(
     lambda t: pt.volume_amplification(t.findings))
 register("pat5_campaigns", "SELECT campaign_id, entity, start_window, end_window, duration_seconds, episode_count, attack_states, mitre_techniques, severity FROM camp_v")(lambda t: t.campaigns)
 register("pat6_campaign_dossier", """

@@ -13,7 +13,7 @@ from packetloom.plans.g_entities import Tables, register
 from packetloom.plans.registry import cte, query
 from packetloom.session import shared
 
-HASH = lambda kind, key: f"'{kind}_' || substr(sha256(CAST({key} AS VARCHAR)), 1, 12)"
+HASH = lambda kind, key: f"'{kind}_' || sha256(replace(replace(CAST({key} AS VARCHAR), chr(92), chr(92) || chr(92)), ':', chr(92) || ':'))"
 cte("fid_v", "SELECT *, 'f-' || entity || '-' || bucket || '-' || attack_category AS finding_id FROM fe_v")
 cte("ks_v", "SELECT DISTINCT src_ip, dst_ip, dst_port, src_ip || ':' || dst_ip || ':' || dst_port AS k FROM flows_v")
 cte("kg_nodes", f"""
@@ -32,7 +32,7 @@ SELECT id, min(node_type) AS node_type, min(entity_key) AS entity_key, min(scope
  SELECT {HASH('attack_state', "entity || ':' || to_state")}, 'ATTACK_STATE', entity, 'OBSERVED', NULL FROM kt_v UNION ALL
  SELECT {HASH('forecast_signal', 'h')}, 'FORECAST_SIGNAL', NULL, 'FORECAST', NULL FROM (SELECT unnest(range(1, 6)) AS h)) GROUP BY 1""")
 cte("pid_v", """
-SELECT *, 'pat_' || substr(sha256(entity || ':' || CASE pattern_type WHEN 'VOLUME_AMPLIFICATION' THEN 'VOL_AMP' ELSE pattern_type END || ':' || start_window), 1, 12) AS pid FROM pat_v""")
+SELECT *, 'pat_' || (sha256(entity || ':' || CASE pattern_type WHEN 'VOLUME_AMPLIFICATION' THEN 'VOL_AMP' ELSE pattern_type END || ':' || start_window)) AS pid FROM pat_v""")
 cte("kg_edges", f"""
 SELECT DISTINCT * FROM (
  SELECT {HASH('ip', 'src_ip')} AS source_id, {HASH('tcp_session', 'k')} AS target_id, 'COMMUNICATES_WITH' AS edge_type FROM ks_v UNION ALL
@@ -124,21 +124,20 @@ register("qry3_explanation", """
 SELECT entity, roles, priority_level, score, targeted_ports_count AS ports, peer_count AS fanout, concat_ws(',', 'ROLE_AND_PRIORITY', CASE WHEN targeted_ports_count >= 5 THEN 'PORT_SWEEP' END, CASE WHEN peer_count >= 5 THEN 'HOST_FANOUT' END) AS reasons
 FROM score_v WHERE entity = 's7'""")(lambda t: hunt.explain(t.scored, "s7"))
 register("qry4_sort_page", "SELECT count(*) AS total, count(*) > 50 AS truncated FROM facts_v WHERE peer_count >= 10")(
-    lambda t: hunt.count_matches(hunt_table(t), hunt.Request("ENTITY", [P("entity.fanout", ">=", 10)])))
+    lambda t: hunt.count_matches(hunt_table(t), hunt.Request("ENTITY", [P("entity.fanout", ">=", 10)], limit=50)))
 HUNT_SQL = {
     "hunt_recon_fanout": ("targeted_ports_count >= 5", "targeted_ports_count"), "hunt_recon_state": ("current_state = 'RECONNAISSANCE'", "score"),
     "hunt_behavior_change": ("change_count > 0", "score"), "hunt_beaconing_c2": ("beaconing_detected", "packet_volume"),
     "hunt_failed_connection_spike": ("failure_ratio >= 0.7", "failure_ratio")}
 for name, (cond, key) in HUNT_SQL.items():
-    register(f"qry5_{name}", f"SELECT entity, score FROM score_v WHERE {cond} ORDER BY {key} DESC, entity LIMIT 50")(
+    register(f"qry5_{name}", f"SELECT entity, score FROM score_v WHERE {cond}")(
         lambda t, name=name: hunt.run(hunt_table(t), hunt.TEMPLATES[name], "entity").select("entity", "score"))
-register("qry5_hunt_technique_t1046", "SELECT alert_id FROM alerts_v WHERE technique = 'T1046' ORDER BY alert_id LIMIT 50")(
+register("qry5_hunt_technique_t1046", "SELECT alert_id FROM alerts_v WHERE technique = 'T1046'")(
     lambda t: hunt.run(base.views.alerts(t.spark, t.d), hunt.TEMPLATES["hunt_technique_t1046"], "alert_id", "ts", "ts").select("alert_id"))
 register("qry5_hunt_incident_events", f"""
-SELECT entity, timestamp FROM (SELECT entity, first_ts AS timestamp FROM prof_e UNION ALL SELECT entity, bucket * {float(MONTH)}::DOUBLE FROM chg_v UNION ALL SELECT entity, bucket * {float(MONTH)}::DOUBLE FROM fe_v)
-ORDER BY timestamp, entity LIMIT 50""")(lambda t: hunt.run(timeline(t).filter(F.col("event_type").isin("FIRST_SEEN", "BEHAVIOR_CHANGE", "ANOMALY")), hunt.TEMPLATES["hunt_incident_events"], "entity",
+SELECT entity, timestamp FROM (SELECT entity, first_ts AS timestamp FROM prof_e UNION ALL SELECT entity, bucket * {float(MONTH)}::DOUBLE FROM chg_v UNION ALL SELECT entity, bucket * {float(MONTH)}::DOUBLE FROM fe_v)""")(lambda t: hunt.run(timeline(t).filter(F.col("event_type").isin("FIRST_SEEN", "BEHAVIOR_CHANGE", "ANOMALY")), hunt.TEMPLATES["hunt_incident_events"], "entity",
                                                          "timestamp", "timestamp").select("entity", "timestamp"))
-register("qry5_hunt_campaign_clusters", "SELECT campaign_id, episode_count FROM camp_v ORDER BY episode_count DESC, campaign_id LIMIT 50")(
+register("qry5_hunt_campaign_clusters", "SELECT campaign_id, episode_count FROM camp_v")(
     lambda t: hunt.run(t.campaigns, hunt.TEMPLATES["hunt_campaign_clusters"], "campaign_id", "start_window", "end_window").select("campaign_id", "episode_count"))
 
 
@@ -208,7 +207,7 @@ def pat8(spark, d):
 WITH RECURSIVE e AS (SELECT incident_a AS a, incident_b AS b FROM corr_v WHERE relationship = 'RELATED_CAMPAIGN' UNION SELECT incident_b, incident_a FROM corr_v WHERE relationship = 'RELATED_CAMPAIGN'),
 reach AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM reach r JOIN e ON r.y = e.a), c AS (SELECT x, min(y) AS component FROM reach GROUP BY 1)
 SELECT component, count(*) AS members, min(first_window) AS first_window, max(last_window) AS last_window, CAST(sum(actor_count) AS BIGINT) AS actor_rows, CAST(sum(target_count) AS BIGINT) AS target_rows,
- 'cluster_' || substr(sha256(component), 1, 12) AS cluster_id FROM c JOIN fp_v ON x = incident GROUP BY 1 HAVING count(*) > 1""")
+ 'cluster_' || (sha256(component)) AS cluster_id FROM c JOIN fp_v ON x = incident GROUP BY 1 HAVING count(*) > 1""")
 def pat9(spark, d):
     fp, m = incidents(spark, d)
     return pt.campaign_clusters(pt.incident_correlate(fp, m, "incident"), fp, "incident")
@@ -223,7 +222,7 @@ def story_events(t):
 STORY = "SELECT 'y' || CAST(floor(bucket / 12) AS BIGINT) AS incident, entity, 'ANOMALY' AS event_type, bucket, attack_category AS phase FROM fe_v UNION ALL SELECT 'y' || CAST(floor(bucket / 12) AS BIGINT), entity, 'BEHAVIOR_CHANGE', bucket, 'change' FROM chg_v"
 register("pat10_incident_story_phases", f"SELECT incident, phase, min(bucket) AS start_window, max(bucket) AS end_window, count(*) AS events FROM ({STORY}) GROUP BY 1, 2")(
     lambda t: pt.incident_story(story_events(t), "incident")[1])
-register("pat10_incident_story_actors", f"SELECT incident, entity, events, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY incident ORDER BY events DESC, entity) AS rank FROM (SELECT incident, entity, count(*) AS events FROM ({STORY}) GROUP BY 1, 2)) WHERE rank <= 5")(
+register("pat10_incident_story_actors", f"SELECT incident, entity, events, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY incident ORDER BY events DESC, entity) AS rank FROM (SELECT incident, entity, count(*) AS events FROM ({STORY}) GROUP BY 1, 2))")(
     lambda t: pt.incident_story(story_events(t), "incident")[2])
 
 

@@ -136,25 +136,25 @@ def flow_export(rows: DataFrame) -> DataFrame:
 def evidence_union(packets: DataFrame, alerts: DataFrame, sessions: DataFrame) -> DataFrame:
     """One multi-sensor table with the names of the fields each sensor cannot fill and a hashed id."""
     txt = lambda *x: F.concat_ws(":", *[F.coalesce(i.cast("string"), F.lit("None")) for i in x])
-    eid = lambda pre, n, *x: F.concat(F.lit(pre), F.substring(F.sha2(txt(*x), 256), 1, n))
+    eid = lambda pre, *x: F.concat(F.lit(pre), F.sha2(txt(*x), 256))
     s, d = private_ip("src_ip"), private_ip("dst_ip")
     miss = lambda *names: F.array_compact(F.array(*[F.when(c(n).isNull(), n) for n in names]))
     us = lambda x: F.round(x * 1e6).cast("bigint")
     none = F.lit(None)
     p = packets.select(
-        eid("ev_", 14, us(c("ts")), F.lit("PCAP_WIRE"), c("src_ip"), c("dst_ip"), c("src_port"), c("dst_port")).alias("evidence_id"), "ts", F.lit("PCAP_WIRE").alias("sensor_type"),
+        eid("ev_", us(c("ts")), F.lit("PCAP_WIRE"), c("src_ip"), c("dst_ip"), c("src_port"), c("dst_port")).alias("evidence_id"), "ts", F.lit("PCAP_WIRE").alias("sensor_type"),
         "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
         choose((s & d, "INTERNAL_LATERAL"), (s, "OUTBOUND"), (d, "INBOUND"), default="UNKNOWN").alias("direction"), c("packet_length").cast("bigint").alias("bytes_count"),
         F.lit(1).cast("bigint").alias("packets_count"), F.lit(0.0).alias("duration_seconds"), none.cast("string").alias("technique"), F.lit(1.0).alias("confidence"),
         miss("payload_length", "src_port", "dst_port").alias("missing_fields"))
     a = alerts.select(
-        eid("ev_sur_", 12, us(c("ts")), F.lit("SURICATA"), c("src_ip"), c("dst_ip"), c("signature_id")).alias("evidence_id"), "ts", F.lit("SURICATA_EVE").alias("sensor_type"),
+        eid("ev_sur_", us(c("ts")), F.lit("SURICATA"), c("src_ip"), c("dst_ip"), c("signature_id")).alias("evidence_id"), "ts", F.lit("SURICATA_EVE").alias("sensor_type"),
         "src_ip", "dst_ip", "src_port", "dst_port", F.coalesce("protocol", F.lit("UNKNOWN")).alias("protocol"), F.lit("UNKNOWN").alias("direction"),
         none.cast("bigint").alias("bytes_count"), none.cast("bigint").alias("packets_count"), none.cast("double").alias("duration_seconds"), "technique",
         F.when(c("severity") == "CRITICAL", 0.90).otherwise(0.75).alias("confidence"),
         F.array(*[F.lit(n) for n in ("bytes_count", "packets_count", "duration_seconds")]).alias("missing_fields"))
     t = sessions.select(
-        eid("ev_zk_", 12, us(c("first_seen")), F.lit("ZEEK_CONN"), c("src_ip"), c("dst_ip"), c("src_port"), c("dst_port")).alias("evidence_id"), c("first_seen").alias("ts"),
+        eid("ev_zk_", us(c("first_seen")), F.lit("ZEEK_CONN"), c("src_ip"), c("dst_ip"), c("src_port"), c("dst_port")).alias("evidence_id"), c("first_seen").alias("ts"),
         F.lit("ZEEK_CONN").alias("sensor_type"), "src_ip", "dst_ip", "src_port", "dst_port", F.lit("TCP").alias("protocol"), F.lit("UNKNOWN").alias("direction"),
         c("total_bytes").cast("bigint").alias("bytes_count"), c("total_packets").cast("bigint").alias("packets_count"), c("duration_seconds"),
         none.cast("string").alias("technique"), F.lit(0.95).alias("confidence"), F.array().cast("array<string>").alias("missing_fields"))
