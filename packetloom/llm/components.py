@@ -23,19 +23,18 @@ def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node, component`` (its smallest reachable node) of every node with an edge; null ends and loops are no edges.
 
-    Rounds repeat until the edge set is stable (logarithmically many). Each step is a minimum per node and a join
-    that can split hubs; edge sets are written to the shared folder and never reach the driver.
+    Rounds repeat until every node points to one node that points nowhere (logarithmically many). Each step is a minimum
+    per node and a join that can split hubs; edge sets are written to the shared folder and never reach the driver.
     """
     cur = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                  .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "edges")
-    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    last = mark(cur)
-    while last[0]:
+    while not _settled(cur):
         cur = _stars(_stars(cur, True), False)
-        now = mark(cur)
-        if now == last:
-            break
-        last = now
-    # stable: every node points to its root, so the roots are the targets
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Is the graph a set of stars: no node with two edges upwards, or with edges both ways?"""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")).distinct())
+    return ends.groupBy("x").agg(F.count("*").alias("n"), F.max("up").alias("up")).filter("n > 1 and up = 1").isEmpty()

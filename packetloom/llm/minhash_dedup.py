@@ -112,7 +112,7 @@ def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
 def _open(placed: DataFrame) -> DataFrame:
     """The members of buckets that hold several components."""
     keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    return placed.join(staged(keys, "open"), "key")
+    return staged(placed.join(staged(keys, "open"), "key"), "open-members")
 
 
 def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -122,7 +122,6 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     blocks, of which at most one belongs to the largest component, through a matrix of shared shingles, and returns a
     spanning forest of the links. No pair is emitted that isn't one.
     """
-    placed = staged(placed, "open-members")
     count = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     top = count.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / CELL)).cast("int")
@@ -179,7 +178,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     1. Rows with equal shingle sets are folded to their smallest id, so copies never meet in a bucket.
     2. Every bucket (band key) first compares its members with its smallest id only; pairs pass the signature estimate
        (five standard errors below the threshold) and then the exact comparison of full sets.
-    3. Buckets whose members still lie in several components compare them with one more member, twice; what then remains is
+    3. Buckets whose members still lie in several components compare them with one more member; what then remains is
        compared across components, block against block. A pair inside one component needs no comparison, so every
        candidate pair is settled, and no bucket's pairs are ever listed.
 
@@ -214,13 +213,11 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return staged(both.withColumn("common", inter).filter(F.expr(f"100L * common >= {percent} * (size_a + size_b - common)")).select("a", "b").distinct(), "links")
 
     first = confirmed(members.filter("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = first
-    for _ in range(2):  # two cheap rounds against other members shrink what is left for the blocks
-        placed = _placed(members, links)
-        lead = F.min_by(F.struct("doc_id", "component"), F.xxhash64("key", "doc_id")).alias("other")
-        others = staged(_open(placed).groupBy("key").agg(lead), "leads")
-        pairs = _open(placed).join(others, "key").filter("component <> other.component")
-        links = links.unionByName(confirmed(pairs.select(F.least("doc_id", "other.doc_id").alias("a"), F.greatest("doc_id", "other.doc_id").alias("b")).distinct()))
+    # one cheap round against another member of the bucket shrinks what is left for the blocks
+    left = _open(_placed(members, first))
+    others = staged(left.groupBy("key").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("key", "doc_id")).alias("other")), "leads")
+    pairs = left.join(others, "key").filter("component <> other.component")
+    links = first.unionByName(confirmed(pairs.select(F.least("doc_id", "other.doc_id").alias("a"), F.greatest("doc_id", "other.doc_id").alias("b")).distinct()))
     second = _across(_open(_placed(members, links)), sets, percent)
     links = links.unionByName(second).unionByName(copies.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")))
     found = components(links, "a", "b").withColumnRenamed("node", "doc_id")
