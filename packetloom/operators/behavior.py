@@ -98,7 +98,9 @@ def interval_shape(rows: DataFrame, keys: Sequence[str], bins: int = 10) -> Data
 
 def periodicity(flows: DataFrame, min_connections: int = 4, segment_seconds: int = 86400) -> DataFrame:
     """Five-class regularity of every (src, dst, port, protocol), with its destination consistency."""
-    f = flows.filter("src_ip IS NOT NULL AND dst_ip IS NOT NULL").select(*PAIR, "start_ts")
+    # a missing port or protocol is a key like any other; stand-ins keep the joins below on plain equality
+    none = {"dst_port": F.lit(-1), "protocol": F.lit("")}
+    f = flows.filter("src_ip IS NOT NULL AND dst_ip IS NOT NULL").select(*[F.coalesce(F.col(k), none[k]).alias(k) if k in none else k for k in PAIR], "start_ts")
     ev = f.groupBy(*PAIR).agg(F.count("*").alias("event_count"), F.min("start_ts").alias("_a"), F.max("start_ts").alias("_b"))
     src = ev.groupBy("src_ip").agg(F.sum("event_count").alias("_src_total"))
     # rare pairs cannot be judged: they are dropped before any interval is formed
@@ -115,7 +117,7 @@ def periodicity(flows: DataFrame, min_connections: int = 4, segment_seconds: int
     reg, c = F.col("regularity_score"), F.col("coefficient_of_variation")
     only = lambda n: F.when(enough, F.col(n)).alias(n)
     return j.select(
-        *PAIR, "event_count", (F.col("_b") - F.col("_a")).alias("observation_duration_seconds"),
+        *[F.when(F.col(k) != none[k], F.col(k)).alias(k) if k in none else k for k in PAIR], "event_count", (F.col("_b") - F.col("_a")).alias("observation_duration_seconds"),
         F.when(F.col("event_count") < min_connections, F.col("event_count") - 1).otherwise(
             F.coalesce("interval_count", F.lit(0))).alias("interval_count"),
         *[only(n) for n in ("median_interval", "mad_interval", "mean_interval", "std_interval", "jitter", "bowley_skewness",
@@ -128,17 +130,23 @@ def periodicity(flows: DataFrame, min_connections: int = 4, segment_seconds: int
 
 
 def string_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Shannon entropy of the characters of each whole text, in bits."""
-    chars = df.select(key, F.explode(F.split(text, "")).alias("_c")).filter("_c <> ''")
-    return group_entropy(chars, [key], "_c", "entropy").withColumn("entropy", r(F.col("entropy"), 4))
+    """Shannon entropy of the characters of each whole text, in bits; a text without characters has no row."""
+    return df.filter(F.length(text) > 0).select(key, r(_entropy(text), 4).alias("entropy"))
+
+
+def _entropy(text: str) -> Column:
+    """Row-local: a character's count is the length that removing it costs."""
+    t = F.col(text)
+    share = lambda ch: (F.length(t) - F.length(F.replace(t, ch, F.lit("")))) / F.length(t)
+    chars = F.filter(F.array_distinct(F.split(t, "")), lambda ch: ch != "")
+    return -F.aggregate(chars, F.lit(0.0), lambda total, ch: total + share(ch) * F.log2(share(ch)))
 
 
 def dns_tunnel_signals(dns: DataFrame, client: str = "src_ip", name: str = "query", entropy_limit: float = 3.6,
                        length_limit: float = 24.0) -> DataFrame:
     """Clients whose looked-up names are long and look random."""
     names = dns.select(client, name).distinct()
-    ent = string_entropy(names.select(F.concat_ws("\u0001", client, name).alias("_k"), F.col(name).alias("_q")), "_k", "_q")
-    per = names.withColumn("_k", F.concat_ws("\u0001", client, name)).join(ent, "_k").groupBy(client).agg(
+    per = names.filter(F.length(name) > 0).withColumn("entropy", r(_entropy(name), 4)).groupBy(client).agg(
         F.count("*").alias("names"), F.avg("entropy").alias("mean_entropy"), F.avg(F.length(name)).alias("mean_length"))
     return per.withColumn("is_suspicious", (F.col("mean_entropy") >= entropy_limit) | (F.col("mean_length") >= length_limit))
 

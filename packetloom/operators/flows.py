@@ -215,8 +215,8 @@ def flow_summary(profiles: DataFrame) -> DataFrame:
 def session_tags(flows: DataFrame, beacons: DataFrame) -> DataFrame:
     """Tag flows: beaconing pair, long lived, unanswered SYN; with risk and techniques."""
     keys = ["src_ip", "dst_ip", "dst_port"]
-    b = beacons.filter("is_beaconing").select(*keys).distinct().withColumn("_b", F.lit(True))
-    j = flows.join(b, keys, "left")
+    b = beacons.filter("is_beaconing").select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("_b", F.lit(True))
+    j = flows.join(b, (F.col("src_ip") == F.col("_src_ip")) & (F.col("dst_ip") == F.col("_dst_ip")) & F.col("dst_port").eqNullSafe(F.col("_dst_port")), "left").drop(*[f"_{k}" for k in keys])
     beacon = F.coalesce("_b", F.lit(False))
     long_lived = F.col("end_ts") - F.col("start_ts") >= 300
     syn = (F.col("protocol") == "TCP") & (F.col("syn_count") > 0) & (F.col("ack_count") == 0)

@@ -120,3 +120,31 @@ def test_gate_and_history(spark):
     w = spark.createDataFrame([("a", i * 60, i * 60 + 60) for i in range(9)] + [("b", 0, 60), ("b", 180, 240)] + [("c", 0, 60)], "capture_id string, window_start bigint, window_end bigint")
     got = {r["capture_id"]: r["history_status"] for r in clean.history_status(w).collect()}
     assert got == {"a": "READY", "b": "GAPPED_HISTORY", "c": "INSUFFICIENT_HISTORY"}
+
+
+def test_missing_ports_are_a_key(spark):
+    """Ten ICMP flows 60 s apart: beaconing, periodic and tagged, with or without a port."""
+    from packetloom.operators import behavior, flows as fl
+    rows = [("a", "b", p, "ICMP", 1000.0 + 60 * i, 1001.0 + 60 * i, 0, 0) for p in (None, 80) for i in range(10)]
+    df = spark.createDataFrame(rows, "src_ip string, dst_ip string, dst_port int, protocol string, start_ts double, end_ts double, syn_count int, ack_count int")
+    beacons = behavior.beaconing(df)
+    assert {(r.dst_port, r.is_beaconing) for r in beacons.collect()} == {(None, True), (80, True)}
+    assert {(r.dst_port, r.interval_count, r.classification) for r in behavior.periodicity(df).collect()} == {(None, 9, "HIGHLY_PERIODIC"), (80, 9, "HIGHLY_PERIODIC")}
+    tagged = fl.session_tags(df, beacons)
+    assert tagged.filter("array_contains(split(cast(behavioral_tags as string), ','), 'PERIODIC_BEACONING') or cast(behavioral_tags as string) like '%PERIODIC%'").count() == 20
+
+
+def test_long_chains_and_many_ports(spark):
+    """A trace of more than 20 hops is whole; an episode keeps more than 20 ports; campaigns need a shared target or port."""
+    from packetloom.operators import entities, knowledge, patterns
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(40)], "source_id string, target_id string")
+    assert knowledge.backward_trace(edges, spark.createDataFrame([("n40",)], "id string")).count() == 41
+    found = [("e", b, "port_scan", "high") for b in (0, 2, 4)]
+    findings = spark.createDataFrame(found, "entity string, bucket long, attack_category string, severity string")
+    ends = [("e", 0, "p", 1000 + i, 1, True) for i in range(30)] + [("e", 2, "q", 1000, 1, True), ("e", 4, "r", 7, 1, True), ("e", 1, "z", 9, 1, True)]
+    ends = spark.createDataFrame(ends, "entity string, bucket long, peer string, dst_port int, n long, out boolean")
+    eps = entities.episodes(findings, ends, 1)
+    got = {r.start_window: (len(r.destination_ports), r.session_count) for r in eps.collect()}
+    assert got == {0: (30, 30), 2: (1, 1), 4: (1, 1)}
+    camps = patterns.campaigns(eps, entities.episode_targets(eps, ends), 3)
+    assert sorted((r.start_window, r.end_window, r.episode_count) for r in camps.collect()) == [(0, 2, 2), (4, 4, 1)]
