@@ -24,9 +24,10 @@ W = Window
 def flow_prefix_points(packets: DataFrame, seconds: int) -> DataFrame:
     """Per (flow, window with packets): the flow's running totals up to the window's end."""
     p = endpoint_key(packets).withColumn("bucket", bucket("ts", seconds))
-    order = F.struct("ts", "packet_index")
+    # microseconds, packet index and direction in one number: its minimum has a fixed-size buffer, a struct's has not
+    first = F.expr("cast(round(ts * 1000000) as decimal(18,0)) * 10000000000000000000BD + cast(coalesce(packet_index, 0) as decimal(18,0)) * 10BD + if(a_to_b, 1BD, 0BD)").cast("decimal(38,0)")
     size, pay = F.coalesce("packet_length", F.lit(0)), F.coalesce("payload_length", F.lit(0))
-    aggs = [F.min(order).alias("_first_at"), F.min_by("a_to_b", order).alias("_dir"), F.min("ts").alias("_t0"),
+    aggs = [F.min(first).alias("_first"), F.min("ts").alias("_t0"),
             F.max("ts").alias("_t1"), F.count("*").alias("_n"), F.sum(pay).alias("_pay")]
     for s, here in (("a", F.col("a_to_b")), ("b", ~F.col("a_to_b"))):
         aggs += [count_when(here).alias(f"_{s}_n"), F.coalesce(F.sum(F.when(here, size)), F.lit(0)).alias(f"_{s}_bytes"),
@@ -36,7 +37,7 @@ def flow_prefix_points(packets: DataFrame, seconds: int) -> DataFrame:
                  count_when(here & F.col("tcp_window").isNotNull()).alias(f"_{s}_nwin")]
     part = p.groupBy(*FLOW_KEY, "bucket").agg(*aggs)
     run = W.partitionBy(*FLOW_KEY).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    cols = {"_fwd_a": F.min_by("_dir", "_first_at").over(run), "start_ts": F.min("_t0").over(run),
+    cols = {"_fwd_a": F.min("_first").over(run) % 10 == 1, "start_ts": F.min("_t0").over(run),
             "_t1": F.max("_t1").over(run), "total_packets": F.sum("_n").over(run), "payload": F.sum("_pay").over(run)}
     for s in "ab":
         for f in ("n", "bytes", "ttl", "nttl", "win", "nwin"):

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from packetloom.functions.columns import bucket, clip, count_when, div, has_flag, r
 from packetloom.functions.ordered import segmented_lag
 from packetloom.functions.quantiles import group_quantiles
+from packetloom.session import shared
 
 KEYS = ["capture_id", "bucket"]
 
@@ -150,10 +151,12 @@ def scan_windows(packets: DataFrame, seconds: int = 60) -> DataFrame:
 
 def packet_window_stats(packets: DataFrame, seconds: int = 60) -> DataFrame:
     """The full statistics row of every window, about fifty columns."""
-    rows = interarrival(packets, seconds)
+    need = [x for x in ("ts", "packet_index", "src_ip", "dst_ip", "dst_port", "protocol", "packet_length", "payload_length", "tcp_flags", "ttl", "tcp_window", "more_fragments",
+                        "fragment_offset", "is_retransmission") if x in packets.columns]
+    rows = shared(interarrival(packets.select("capture_id", *need), seconds))  # four branches read it
     out = (base_stats(rows).join(distinct_endpoints(rows), KEYS)
            .join(group_quantiles(rows, KEYS, "iat", {"iat_median": 0.5, "iat_p95": 0.95}), KEYS, "left")
-           .join(packet_rate_peak(packets, seconds), KEYS, "left"))
+           .join(packet_rate_peak(rows, seconds), KEYS, "left"))
     return out.withColumns({
         "port_scan_score": port_scan_score(F.col("unique_dst_ports"), F.col("syn_attempts"), F.col("unique_dst_ips"),
                                            F.col("responses")),
