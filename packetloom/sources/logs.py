@@ -35,6 +35,23 @@ def zeek_json(lines: DataFrame, fields: list[str]) -> DataFrame:
     return lines.select(m.alias("_m")).filter("_m IS NOT NULL").select(*[c("_m")[n].alias(n) for n in fields])
 
 
+def zeek_logs(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """The named fields of all Zeek logs under ``path``, as text: each file by its own ``#fields`` line, JSON lines by name.
+
+    Rotated logs may order or choose their fields differently; a field that a file lacks is NULL. A file has one header.
+    Short rows, broken JSON and TSV files without a header give no rows. Headers are joined by file name, one row per file.
+    """
+    lines = spark.read.text(path).select("value", c("_metadata.file_path").alias("_file"))
+    heads = lines.filter(c("value").startswith("#fields")).groupBy("_file").agg(F.split(F.min("value"), "\\s+").alias("_names"))
+    body = lines.filter((F.trim("value") != "") & ~c("value").startswith("#")).join(heads, "_file", "left")
+    # the header's first word is "#fields", so a name's position is that of its cell plus one
+    parts, obj = F.split("value", "\t"), F.from_json("value", "map<string,string>")
+    cell = lambda n: F.nullif(F.get(parts, F.nullif(F.array_position("_names", n), F.lit(0)) - 2), F.lit("-"))
+    json = c("value").startswith("{")
+    rows = body.withColumn("_m", F.when(json, obj)).filter(F.when(json, c("_m").isNotNull()).otherwise(F.coalesce(F.size(parts) >= F.size("_names") - 1, F.lit(False))))
+    return rows.select(*[F.when(json, c("_m")[n]).otherwise(cell(n)).alias(n) for n in fields])
+
+
 def q(name: str) -> Column:
     return c(f"`{name}`")
 

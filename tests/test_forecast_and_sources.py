@@ -141,3 +141,13 @@ def test_cumulative_risk_with_a_certain_step(spark):
     df = spark.createDataFrame([("c", 1, 0.5), ("c", 2, 1.0), ("c", 3, 0.1)], "case_id string, horizon int, p double")
     got = [r["cumulative_risk"] for r in fc.cumulative_risk(df).orderBy("horizon").collect()]
     assert math.isclose(got[0], 0.5) and got[1:] == [1.0, 1.0]
+
+
+def test_rotated_zeek_logs(spark, tmp_path):
+    """Files with other headers, JSON files and broken lines in one folder."""
+    (tmp_path / "a.log").write_text("#separator \\x09\n#fields\tts\tuid\tproto\n1\tC1\ttcp\nshort\n")
+    (tmp_path / "b.log").write_text("#fields\tuid\tts\nC2\t-\nC3\t3\textra\n")
+    (tmp_path / "c.log").write_text('{"uid": "C4", "ts": 4}\n{broken\n\n')
+    (tmp_path / "d.log").write_text("no\theader\n")
+    got = logs.zeek_logs(spark, str(tmp_path), ["uid", "ts", "proto"]).collect()
+    assert sorted(map(tuple, got), key=repr) == [("C1", "1", "tcp"), ("C2", None, None), ("C3", "3", None), ("C4", "4", None)]
