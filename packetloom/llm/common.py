@@ -46,6 +46,15 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(df: DataFrame, **more) -> DataFrame:
+    """``df`` with its columns inside one struct ``_d``, clear of any name that an operator adds; ``unboxed`` undoes it."""
+    return df.select(F.struct("*").alias("_d"), *[value.alias(name) for name, value in more.items()])
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("_d.*")
+
+
 def join_lookup(df: DataFrame, lookup: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS) -> DataFrame:
     """Left join with a (written) table of unique, possibly null ``keys``.
 
@@ -57,7 +66,8 @@ def join_lookup(df: DataFrame, lookup: DataFrame, keys: Sequence[str], limit: in
     on = [df[k].eqNullSafe(right[n]) for k, n in names.items()]
     if lookup.limit(limit + 1).count() <= limit:
         return df.join(F.broadcast(right), on, "left").drop(*names.values())
-    left = df.withColumn("_salt", F.floor(F.rand(7) * 32).cast("int"))
+    # a hash of the row, not a random number: a task that runs again must deal its rows alike
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(*[df[c] for c, kind in df.dtypes if "map<" not in kind]), F.lit(32)).cast("int"))
     right = right.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(31))))
     on = [left[k].eqNullSafe(right[n]) for k, n in names.items()] + [left["_salt"] == right["_salt2"]]
     return left.join(right, on, "left").drop(*names.values(), "_salt", "_salt2")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from packetloom.llm.common import as_bytes, query, slices, staged, table
+from packetloom.llm.common import as_bytes, boxed, query, slices, staged, table, unboxed
 from packetloom.llm.components import components
 
 U = np.uint64
@@ -230,10 +230,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each near-duplicate group: that of the smallest id; of rows repeating an id, one stays. Rows without an id stay."""
     marks = minhash_components(docs, id_col, text_col, **options)
     kept = marks.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    held = docs.join(kept, docs[id_col] == kept["_kept"])
-    order = Window.partitionBy("_kept").orderBy(F.xxhash64(F.col(text_col)))
-    held = held.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth", "_kept")
-    return held.unionByName(docs.filter(F.col(id_col).isNull()))
+    held = boxed(docs, _kept=F.col(id_col).cast("long"), _text=F.xxhash64(F.col(text_col)))
+    order = Window.partitionBy("_kept").orderBy("_text")
+    first = held.join(kept, "_kept").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
+    return unboxed(first).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 _SHINGLES_SQL = r"""

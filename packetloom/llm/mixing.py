@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packetloom.functions.ordered import global_row_number
-from packetloom.llm.common import join_lookup, query, staged, table
+from packetloom.llm.common import boxed, join_lookup, query, staged, table, unboxed
 
 #: White-space separated words: the size of a text.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -133,9 +133,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     ``docs`` must be a written table, whose rows are numbered alike on every read.
     """
     marks = mix_sources(docs, **options).filter("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    both = numbered.join(marks, "_row").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return both.select(*[F.col(c) for c in docs.columns])
+    both = boxed(docs, _row=F.monotonically_increasing_id()).join(marks, "_row").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return unboxed(both)
 
 
 @query("op3_source_mixing")

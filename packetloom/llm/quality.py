@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from packetloom.llm.common import as_bytes, join_lookup, query, slices, staged, table
+from packetloom.llm.common import as_bytes, boxed, join_lookup, query, slices, staged, table, unboxed
 
 FEATURES = ["symbols", "upper", "digits", "bars", "distinct", "again", "word_bytes", "stops", "same_lines", "log_words"]
 SYMBOLS, UPPER, DIGITS = b"#$%&*@^~|<>{}[]=+_\\/!", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
@@ -137,7 +137,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` (a written table) that ``score_quality`` keeps, unchanged."""
     kept = score_quality(docs, labels, **options).filter("kept").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").drop("_row")
+    return unboxed(boxed(docs, _row=F.monotonically_increasing_id()).join(kept, "_row", "left_semi"))
 
 
 @query("op7_quality_classifier")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from packetloom.llm.common import join_lookup, query, staged, table
+from packetloom.llm.common import boxed, join_lookup, query, staged, table
 
 #: Kinds of spans in the order in which ties of position are listed.
 KINDS = ["assign", "access", "hex", "random"]
@@ -151,12 +151,13 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     written table.
     """
     marks = find_secrets(docs, id_col, text_col, **options).filter("size(spans) > 0").select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id()).join(marks, "_row", "left").withColumn("_old", F.col(text_col).cast("string"))
+    numbered = boxed(docs, _row=F.monotonically_increasing_id(), _old=F.col(text_col).cast("string")).join(marks, "_row", "left")
     step = ("(a, s) -> if(s.end <= a.pos, a, struct(s.end as pos, if(s.start < a.pos, a.out, concat(a.out, substring(_old, a.pos + 1, s.start - a.pos), '[SECRET]')) as out))")
     new = f"aggregate(_spans, struct(0 as pos, '' as out), {step}, a -> concat(a.out, substring(_old, a.pos + 1)))"
     out = numbered.withColumn("_new", F.expr(f"if(_spans is null, _old, {new})"))
-    replaced = {text_col: F.col("_new")} | ({length_col: F.when(F.col("_spans").isNull(), F.col(length_col)).otherwise(F.length("_new"))} if length_col else {})
-    return out.select(*[replaced.get(c, F.col(c)).alias(c) for c in docs.columns])
+    own = F.col("_d").getField
+    replaced = {text_col: F.col("_new")} | ({length_col: F.when(F.col("_spans").isNull(), own(length_col)).otherwise(F.length("_new"))} if length_col else {})
+    return out.select(*[replaced.get(c, own(c)).alias(c) for c in docs.columns])
 
 
 def listed(spans: str) -> Column:
