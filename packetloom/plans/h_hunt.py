@@ -225,6 +225,10 @@ register("pat10_incident_story_phases", f"SELECT incident, phase, min(bucket) AS
 register("pat10_incident_story_actors", f"SELECT incident, entity, events, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY incident ORDER BY events DESC, entity) AS rank FROM (SELECT incident, entity, count(*) AS events FROM ({STORY}) GROUP BY 1, 2))")(
     lambda t: pt.incident_story(story_events(t), "incident")[2])
 
+register("qry2_phase_query", f"SELECT incident, phase, min(bucket) AS start_window, max(bucket) AS end_window, count(*) AS events FROM ({STORY}) GROUP BY 1, 2 HAVING contains(phase, 'scan') AND max(bucket) >= 380 AND min(bucket) <= 420")(
+    lambda t: hunt.run(pt.incident_story(story_events(t), "incident")[1], hunt.Request("PHASE", [P("phase.state", "CONTAINS", "SCAN"), P("phase.state", "EXISTS")], hunt.Temporal("OVERLAPS", (380, 420))),
+                       "incident", "start_window", "end_window"))
+
 
 def run_summary(spark, d, half):
     from packetloom.plans.a_views import W
