@@ -280,5 +280,5 @@ def snk1(spark, d):
     a = f.groupBy("analysis_id").agg(F.max("risk_score").alias("risk_score"))
     store.upsert(a, f)
     store.upsert(a, f)  # a second upsert replaces, it does not add
-    store.delete(["a1973"])
+    store.delete(a.filter("analysis_id = 'a1973'"))
     return store.read("findings").groupBy("analysis_id").agg(F.count("*").alias("findings"), F.count_distinct("severity").alias("severities"))

@@ -12,40 +12,44 @@ def finding_values(findings: DataFrame) -> DataFrame:
 
 
 class AnalysisStore:
-    """``analyses`` and ``findings`` Parquet tables, partitioned by ``analysis_id``.
+    """``analyses`` and ``findings`` as versions: rows of a change are written first, then the ids it concerns, then one marker.
 
-    An upsert replaces the partitions of the analyses it holds (dynamic partition overwrite) and a
-    delete drops them from both tables, so child rows never outlive their analysis.
+    A version counts once its one-file marker exists, so a failed change leaves the analyses as they were, and readers
+    see either all of it or nothing. An id shows the rows of its latest version; a delete is a version without rows, so child
+    rows never outlive their analysis. Files are few and large, however many ids there are. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _write(self, df: DataFrame, table: str) -> None:
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-         .partitionBy("analysis_id").parquet(f"{self.root}/{table}"))
+    def _versions(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/markers")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], "version int")
+        return self.spark.read.schema("version int").parquet(f"{self.root}/markers")
+
+    def _change(self, ids: DataFrame, deleted: bool, tables: dict[str, DataFrame]) -> None:
+        number = (self._versions().agg(F.max("version")).first()[0] or 0) + 1  # one row per change
+        rows = {**tables, "ids": ids.select("analysis_id").distinct().withColumn("deleted", F.lit(deleted))}
+        for name, df in rows.items():
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}/version={number}")
+        self.spark.range(1).select(F.lit(number).alias("version")).coalesce(1).write.mode("append").parquet(f"{self.root}/markers")
 
     def upsert(self, analyses: DataFrame, findings: DataFrame) -> None:
-        self.delete([r.analysis_id for r in analyses.select("analysis_id").distinct().toLocalIterator()])
-        self._write(analyses, "analyses")
-        self._write(finding_values(findings), "findings")
+        self._change(analyses, False, {"analyses": analyses, "findings": finding_values(findings)})
+
+    def delete(self, ids: DataFrame) -> None:
+        self._change(ids, True, {})
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{table}")
+        ids = self.spark.read.parquet(f"{self.root}/ids").join(self._versions(), "version")
+        last = ids.groupBy("analysis_id").agg(F.max(F.struct("version", "deleted")).alias("_l")).select("analysis_id", "_l.*")
+        return self.spark.read.parquet(f"{self.root}/{table}").join(last.filter("NOT deleted").drop("deleted"), ["analysis_id", "version"]).drop("version")
 
     def get(self, analysis_id: str) -> tuple[DataFrame, DataFrame]:
         hit = F.col("analysis_id") == analysis_id
         return self.read("analyses").filter(hit), self.read("findings").filter(hit)
 
-    def delete(self, analysis_ids: list[str]) -> None:
-        jvm = self.spark._jvm
-        for table in ("findings", "analyses"):
-            for key in analysis_ids:
-                path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/analysis_id={key}")
-                fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-                if fs.exists(path):
-                    fs.delete(path, True)
-
 
 def experiment_summary(metrics: DataFrame) -> DataFrame:
     """Mean Brier score, F1 and calibration error per model over its horizons."""

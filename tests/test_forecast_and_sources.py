@@ -151,3 +151,26 @@ def test_rotated_zeek_logs(spark, tmp_path):
     (tmp_path / "d.log").write_text("no\theader\n")
     got = logs.zeek_logs(spark, str(tmp_path), ["uid", "ts", "proto"]).collect()
     assert sorted(map(tuple, got), key=repr) == [("C1", "1", "tcp"), ("C2", None, None), ("C3", "3", None), ("C4", "4", None)]
+
+
+def test_store_replaces_deletes_and_survives_a_failed_change(spark, tmp_path):
+    from packetloom.sinks import store as st
+    s = st.AnalysisStore(spark, str(tmp_path / "store"))
+    kind = "analysis_id string, evidence array<struct<rule_id:string,value:double,threshold:double>>, n int"
+    rows = lambda *x: spark.createDataFrame([(i, [("r", 1.0, 2.0)], n) for i, n in x], kind)
+    s.upsert(rows(("a", 0), ("b", 0)).select("analysis_id"), rows(("a", 1), ("a", 2), ("b", 3)))
+    s.upsert(rows(("a", 0)).select("analysis_id"), rows(("a", 9)))
+    assert sorted((r.analysis_id, r.n, r.rule_id) for r in s.read("findings").collect()) == [("a", 9, "r"), ("b", 3, "r")]
+    rows(("b", 7)).write.parquet(str(tmp_path / "store" / "findings" / "version=9"))  # a change that died before its marker
+    s.delete(rows(("a", 0)))
+    assert [(r.analysis_id, r.n) for r in s.read("findings").collect()] == [("b", 3)]
+    assert [r.analysis_id for r in s.read("analyses").collect()] == ["b"] and s.get("a")[1].count() == 0
+
+
+def test_experiment_output(spark, tmp_path):
+    from packetloom.sinks import store as st
+    metrics = spark.createDataFrame([("m", 1, 0.1, 0.5, 0.2), ("m", 2, 0.3, 0.7, 0.4)], "model string, horizon int, brier double, f1 double, ece double")
+    st.write_experiment(spark.createDataFrame([(1, 0.5)], "id int, p double"), metrics, str(tmp_path / "x"))
+    got = spark.read.json(str(tmp_path / "x" / "summary")).first()
+    assert (got.horizons, round(got.mean_brier, 6), round(got.mean_f1, 6)) == (2, 0.2, 0.6)
+    assert spark.read.json(str(tmp_path / "x" / "predictions")).count() == 1 and spark.read.json(str(tmp_path / "x" / "metrics")).count() == 2
