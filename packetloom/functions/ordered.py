@@ -80,7 +80,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str,
     """For each left row the latest right row of the same key at or before it (as-of join).
 
     Both sides are stacked and the last right payload is carried forward, segment by segment, so
-    neither a range join nor a per-key collect is needed.
+    neither a range join nor a per-key collect is needed. Of right rows with one key and time, the largest payload counts.
     """
     keys = list(keys)
     payload = F.struct(F.col(right_ts).alias("_at"), *columns)
@@ -91,11 +91,11 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str,
                           payload.alias("_r"))
     both = l_rows.unionByName(r_rows, allowMissingColumns=True).withColumn(
         "_seg", F.floor(F.col("_t") / segment_seconds))
-    inner = (Window.partitionBy(*keys, "_seg").orderBy("_t", "_side")
+    inner = (Window.partitionBy(*keys, "_seg").orderBy("_t", "_side", "_r")
              .rowsBetween(Window.unboundedPreceding, 0))
     rows = both.withColumn("_in", F.last("_r", ignorenulls=True).over(inner))
     ends = both.groupBy(*keys, "_seg").agg(
-        F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_end"))
+        F.max(F.when(F.col("_r").isNotNull(), F.struct("_t", "_r")))["_r"].alias("_end"))
     across = (Window.partitionBy(*keys).orderBy("_seg")
               .rowsBetween(Window.unboundedPreceding, -1))
     carry = ends.select(*keys, "_seg", F.last("_end", ignorenulls=True).over(across).alias("_carry"))
