@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packetloom.llm.bpe import load
 from packetloom.llm.common import query, scratch, slices, staged, table
@@ -57,43 +57,51 @@ class Feistel:
         return self._walk(slot, self._back)
 
 
-def _sequences(docs: DataFrame, path: str, length: int, id_col: str, text_col: str, end: int, keep_ids: bool) -> DataFrame:
-    """``part, nth, n_tokens, first_doc, ids``: the ids of each input partition end to end, cut into sequences of ``length``.
+def _sequences(docs: DataFrame, path: str, length: int, id_col: str, text_col: str, end: int, placed: tuple[dict[int, int], int, int, int] | None = None) -> DataFrame:
+    """The ids of each input partition end to end, cut into sequences of ``length``.
 
     Only the last sequence of a partition is short; its rest is filled with ``end``. Ids are 16-bit where they fit, else 32-bit.
+    Without ``placed`` only ``part, n``, the count of sequences of each input partition. With it (the first number of each
+    partition, all sequences, sequences per shard, key) ``slot, shard, sequence_id, n_tokens, first_doc, ids``.
     """
+    counting = placed is None
+    begins, total, per_shard, key = placed or ({}, 0, 1, 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part_id, nth = load(path, end), TaskContext.get().partitionId(), 0
         kind = "<u2" if bpe.library.get_vocab_size() <= 1 << 16 else "<u4"
         rest, rest_doc = np.empty(0, np.uint32), None
+        order = None if counting else Feistel(total, key)
 
         def rows(ids: np.ndarray, filled: list[int], first: list[int | None]) -> pa.RecordBatch:
-            n = len(filled)
-            size = length * np.dtype(kind).itemsize if keep_ids else 0
-            data = ids.astype(kind).tobytes() if keep_ids else b""
-            binary = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size).astype(np.int32)), pa.py_buffer(data)])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part_id, np.int32)), pa.array(np.arange(nth, nth + n)), pa.array(filled, pa.int64()), pa.array(first, pa.int64()), binary],
-                                              ["part", "nth", "n_tokens", "first_doc", "ids"])
+            n, size = len(filled), length * np.dtype(kind).itemsize
+            number = begins[part_id] + np.arange(nth, nth + n)
+            slot = order.slot(number.astype(U)).astype(np.int64)
+            binary = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size).astype(np.int32)), pa.py_buffer(ids.astype(kind).tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), pa.array(number), pa.array(filled, pa.int64()), pa.array(first, pa.int64()), binary],
+                                              ["slot", "shard", "sequence_id", "n_tokens", "first_doc", "ids"])
 
         for whole in batches:
-            for part in slices(whole, size=4 << 20):
+            for part in slices(whole, size=2 << 20):
                 ids, counts = bpe.encode(part.column("text").to_pylist())
                 ids = np.concatenate([rest, ids])
-                begins = np.concatenate([[0], len(rest) + np.cumsum(counts) - counts])
+                opens = np.concatenate([[0], len(rest) + np.cumsum(counts) - counts])
                 n = len(ids) // length
-                owner = np.searchsorted(begins, np.arange(n + 1) * length, "right") - 1
+                owner = np.searchsorted(opens, np.arange(n + 1) * length, "right") - 1
                 names = [rest_doc, *part.column("doc_id").to_pylist()]
                 if not len(rest):
                     owner = np.maximum(owner, 1)
-                if n:
+                if n and not counting:
                     yield rows(ids[:n * length], [length] * n, [names[k] for k in owner[:n]])
-                    nth += n
+                nth += n
                 rest, rest_doc = ids[n * length:], names[min(owner[n], len(names) - 1)]
-        if len(rest):
+        if counting:
+            yield pa.RecordBatch.from_arrays([pa.array([part_id], pa.int32()), pa.array([nth + (len(rest) > 0)], pa.int64())], ["part", "n"])
+        elif len(rest):
             yield rows(np.concatenate([rest, np.full(length - len(rest), end, np.uint32)]), [len(rest)], [rest_doc])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "part int, nth long, n_tokens long, first_doc long, ids binary")
+    return rows.mapInArrow(run, "part int, n long" if counting else "slot long, shard long, sequence_id long, n_tokens long, first_doc long, ids binary")
 
 
 def write_shards(docs: DataFrame, folder: str, length: int = 2048, per_shard: int = 1024, key: int = 2024, path: str | None = None, id_col: str = "doc_id",
@@ -112,20 +120,9 @@ def write_shards(docs: DataFrame, folder: str, length: int = 2048, per_shard: in
     texts are an end id alone; null or repeated ids are separate documents. An empty table gives no shards and no rows.
     """
     path = path or tokenizer_path()
-    make = lambda keep: _sequences(docs, path, length, id_col, text_col, end, keep)
-    per_part = staged(make(False).groupBy("part").agg(F.count("*").alias("n")), "sequence-counts")
-    total = per_part.agg(F.sum("n")).first()[0] or 0
-    # one row per input partition
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = per_part.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
-    numbered = make(True).join(F.broadcast(begins), "part").select((F.col("begin") + F.col("nth")).alias("sequence_id"), "n_tokens", "first_doc", "ids")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Feistel(max(total, 1), key)
-        for b in batches:
-            slot = order.slot(b.column("sequence_id").to_numpy().astype(U)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), *(b.column(c) for c in ("sequence_id", "n_tokens", "first_doc", "ids"))],
-                                             ["slot", "shard", "sequence_id", "n_tokens", "first_doc", "ids"])
+    counts = sorted(_sequences(docs, path, length, id_col, text_col, end).collect())  # one row per input partition
+    ends = np.cumsum([r.n for r in counts]).tolist() or [0]
+    total, begins = ends[-1], {r.part: e - r.n for r, e in zip(counts, ends)}
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
@@ -152,7 +149,7 @@ def write_shards(docs: DataFrame, folder: str, length: int = 2048, per_shard: in
         if out:
             close()
 
-    placed = numbered.mapInArrow(place, "slot long, shard long, sequence_id long, n_tokens long, first_doc long, ids binary")
+    placed = _sequences(docs, path, length, id_col, text_col, end, (begins, total, per_shard, key))
     # whole shards per task: a contiguous range of shards each, about 64 MB of ids
     tasks = max(1, -(-total * length * 2 // (64 << 20)), min(docs.sparkSession.sparkContext.defaultParallelism, -(-total // per_shard)))
     shards = max(1, -(-total // per_shard))
