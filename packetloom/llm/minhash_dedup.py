@@ -176,11 +176,10 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``doc_id, n_shingles, component_id, kept``, one row per input row, by links of Jaccard similarity >= ``similarity``.
 
     1. Rows with equal shingle sets are folded to their smallest id, so copies never meet in a bucket.
-    2. Every bucket (band key) first compares its members with its smallest id only; pairs pass the signature estimate
+    2. Every bucket (band key) first compares its members with its most central one only; pairs pass the signature estimate
        (five standard errors below the threshold) and then the exact comparison of full sets.
-    3. Buckets whose members still lie in several components compare them with one more member; what then remains is
-       compared across components, block against block. A pair inside one component needs no comparison, so every
-       candidate pair is settled, and no bucket's pairs are ever listed.
+    3. Buckets whose members still lie in several components compare them across components, block against block. A pair
+       inside one component needs no comparison, so every candidate pair is settled, and no bucket's pairs are ever listed.
 
     A pair of similarity ``s`` shares no bucket with probability ``(1 - s^rows)^bands`` (2e-8 at 0.85 with the defaults).
     Null, empty and blank texts have an empty set and link with nothing. A null id is its own row with a null component and
@@ -192,8 +191,8 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                    .filter("lead < last").drop("last"), "folds")
     copies = staged(full.select("doc_id", "d1", "d2").join(folds, ["d1", "d2"]).filter("doc_id > lead").select("doc_id", "lead"), "copies")
     keyed = full.select("doc_id", "keys").join(copies, "doc_id", "left_anti").select(F.explode("keys").alias("key"), "doc_id")
-    buckets = staged(keyed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead < last").drop("last"), "buckets")
-    members = staged(keyed.join(buckets, "key").select("key", "lead", "doc_id"), "members")
+    buckets = staged(keyed.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("key"), "buckets")
+    members = staged(keyed.join(buckets, "key"), "members")
     wanted = members.select("doc_id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = staged(shingle_sets(texts.join(wanted, "doc_id", "left_semi"), words), "sets")
@@ -212,12 +211,11 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         inter = F.size(F.array_intersect("items_a", "items_b"))
         return staged(both.withColumn("common", inter).filter(F.expr(f"100L * common >= {percent} * (size_a + size_b - common)")).select("a", "b").distinct(), "links")
 
-    first = confirmed(members.filter("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct())
-    # one cheap round against another member of the bucket shrinks what is left for the blocks
-    left = _open(_placed(members, first))
-    others = staged(left.groupBy("key").agg(F.min_by(F.struct("doc_id", "component"), F.xxhash64("key", "doc_id")).alias("other")), "leads")
-    pairs = left.join(others, "key").filter("component <> other.component")
-    links = first.unionByName(confirmed(pairs.select(F.least("doc_id", "other.doc_id").alias("a"), F.greatest("doc_id", "other.doc_id").alias("b")).distinct()))
+    # the member that shares most buckets is close to the others' common source: most of them link with it
+    central = staged(members.groupBy("doc_id").agg(F.count("*").alias("n")), "central")
+    leads = staged(members.join(central, "doc_id").groupBy("key").agg(F.max(F.struct("n", "doc_id")).alias("top")).select("key", F.col("top.doc_id").alias("lead")), "leads")
+    pairs = members.join(leads, "key").filter("doc_id <> lead").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
+    links = confirmed(pairs)
     second = _across(_open(_placed(members, links)), sets, percent)
     links = links.unionByName(second).unionByName(copies.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")))
     found = components(links, "a", "b").withColumnRenamed("node", "doc_id")
