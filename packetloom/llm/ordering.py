@@ -161,8 +161,11 @@ COLUMNS = ["sequence_id", "first_doc", "n_tokens", "slot", "shard", "place", "by
 
 
 def _ranged(rows: DataFrame, tasks: int) -> DataFrame:
-    """Rows by ranges of slots that never split a shard, each in slot order. Slots are dense, so equal ranges are even."""
-    return rows.repartitionByRange(tasks, "task").sortWithinPartitions("slot").drop("task")
+    """Rows by ranges of slots that never split a shard, each in slot order.
+
+    Slots are dense, so equal ranges are even and known beforehand: no sampling pass, which would tokenise everything again.
+    """
+    return rows.repartitionById(tasks, "task").sortWithinPartitions("slot").drop("task")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
