@@ -5,6 +5,8 @@ All of it is DataFrame and SQL functions; no Python runs on the executors.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from packetloom.llm.common import boxed, join_lookup, query, staged, table
@@ -31,6 +33,18 @@ BANDS = [20, 24, 32, 48, 96, 256]
 #: language come to 0.06 and more) or so many times as often as in random text; this share of the runs missing; this
 #: correlation of neighbours.
 EQUAL, REPEATS, FEWER_RUNS, CORRELATION = 0.04, 1.6, 0.4, 0.5
+#: Standard errors from uniform random text at which a token fails the battery: repeated symbols (a skewed statistic), too few
+#: or too many runs, dependent neighbours.
+UNEVEN, ODD_RUNS, DEPENDENT = 4.5, 3.5, 3.5
+#: Letters of written language in per mille (means over English, German, French and Spanish, five at least).
+LETTERS = dict(zip(LOWER, [89, 15, 31, 44, 153, 13, 17, 28, 72, 5, 7, 47, 25, 79, 60, 22, 6, 65, 72, 71, 40, 11, 11, 5, 9, 7], strict=True))
+VOWELS = "aeiouy"
+#: How structured tokens go from one class of symbols to the next (lower case, upper case, digits, signs): words and camel
+#: case; capitals; dates, versions and numbers; words with short numbers.
+STYLES = [[[.88, .04, .02, .06], [.60, .33, .03, .04], [.06, .06, .70, .18], [.65, .15, .15, .05]],
+          [[.60, .20, .05, .15], [.02, .86, .04, .08], [.05, .10, .75, .10], [.05, .75, .15, .05]],
+          [[.60, .05, .25, .10], [.05, .60, .25, .10], [.025, .025, .80, .15], [.10, .05, .80, .05]],
+          [[.80, .03, .12, .05], [.03, .80, .12, .05], [.27, .27, .36, .10], [.40, .25, .30, .05]]]
 
 
 def _quoted(pattern: str) -> str:
@@ -65,6 +79,54 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("base", F.expr(base)).select("row", "doc_id", "base", F.expr(free).alias("tokens"))
 
 
+def language() -> tuple[str, list[list[float]], list[float]]:
+    """Symbols of all encodings, and for each style the log-probability of every symbol after every other (row by row, without
+    the share of classes that an encoding lacks), and of a first symbol inside its class.
+
+    A letter after a letter is a vowel or a consonant as in language, whatever its case; letters have the frequencies of
+    language, digits and signs are even.
+    """
+    symbols = LOWER + UPPER + DIGITS + "+/-_"
+    kind = [0] * 26 + [1] * 26 + [2] * 10 + [3] * 4
+    vowel = [c.lower() in VOWELS for c in symbols]
+    mass = {v: sum(n for c, n in LETTERS.items() if (c in VOWELS) == v) for v in (True, False)}
+    share = {(True, True): 0.18, (True, False): 0.82, (False, True): 0.58, (False, False): 0.42}
+
+    def inside(x: int | None, y: int) -> float:
+        if kind[y] > 1:
+            return 1 / (10 if kind[y] == 2 else 4)
+        turn = share[vowel[x], vowel[y]] if x is not None and kind[x] < 2 else 0.4 if vowel[y] else 0.6
+        return turn * LETTERS[symbols[y].lower()] / mass[vowel[y]]
+
+    every = range(len(symbols))
+    return symbols, [[math.log(style[kind[x]][kind[y]] * inside(x, y)) for x in every for y in every] for style in STYLES], [math.log(inside(None, y)) for y in every]
+
+
+def _numbers(values: list[float]) -> str:
+    return f"array({', '.join(f'{v:.6f}D' for v in values)})"
+
+
+def structured(rows: DataFrame) -> DataFrame:
+    """Adds ``p_language`` to tokens (``body, alphabet, size``): the largest likelihood of a style over that of uniform text.
+
+    Were the token written in a style, such a ratio would be at most ``p`` with probability ``p`` at most, so it is a p-value
+    for each of them, at any length. An encoding that lacks classes of symbols takes their share from each step.
+    """
+    symbols, steps, first = language()
+    rows = rows.withColumn("sym", F.expr(f"transform(split(body, ''), c -> greatest(instr('{symbols}', c) - 1, 0))"))
+    classes = [F.expr(f"cast(translate(alphabet, '{part}', '') <> alphabet as int)") for part in (LOWER, UPPER, DIGITS, "+/-_")]
+    rows = rows.withColumn("has", F.array(*classes))
+    lost = ["array({})".format(", ".join("ln(" + " + ".join(f"{v}D * has[{i}]" for i, v in enumerate(row)) + " + 1e-9D)" for row in style)) for style in STYLES]
+    rows = rows.withColumns({f"lost{k}": F.expr(x) for k, x in enumerate(lost)})
+    rows = rows.withColumn("here", F.expr("transform(sym, v -> case when v < 26 then 0 when v < 52 then 1 when v < 62 then 2 else 3 end)"))
+    start = f"{_numbers(first)}[sym[0]] - ln(has[0] + has[1] + has[2] + has[3] + 0D)"
+    to_next = "zip_with(slice(sym, 1, size(sym) - 1), slice(sym, 2, size(sym) - 1), (x, y) -> x * {n} + y)"
+    rows = rows.withColumn("moves", F.expr(to_next.format(n=len(symbols))))
+    score = [F.expr(f"{start} + aggregate(moves, 0D, (s, v) -> s + {_numbers(step)}[v]) - aggregate(slice(here, 1, size(here) - 1), 0D, (s, v) -> s + lost{k}[v])") for k, step in enumerate(steps)]
+    best = F.greatest(*score) + F.col("n") * F.log(F.col("size").cast("double"))
+    return rows.withColumn("p_language", F.exp(F.least(best, F.lit(0.0)))).drop("sym", "has", "here", "moves", *[f"lost{k}" for k in range(len(STYLES))])
+
+
 def upper_tail(z: Column) -> Column:
     """P(Z > z) of a normal variable (a five-term rational approximation, good to 1e-7 and in relative terms far out)."""
     t = 1 / (1 + 0.2316419 * F.abs(z))
@@ -74,12 +136,17 @@ def upper_tail(z: Column) -> Column:
 
 
 def randomness(tokens: DataFrame) -> DataFrame:
-    """Adds ``encoding, size, p_uniform, p_runs, p_serial, p`` to tokens (``part``).
+    """Adds ``encoding, size, p_uniform, p_runs, p_serial, p_language, p`` to tokens (``part``).
+
+    Each p-value is for the hypothesis that the token *is* structured. Three are at the edge set by the constants above:
+    symbols that repeat as in language (chi-squared against the encoding's uniform alphabet), long runs on one side of the
+    alphabet's middle (runs test), and neighbours that depend on one another (lag-one serial correlation). Random text has
+    small ones in all three, but a short token can't, whatever it holds. ``p_language`` weighs the symbols and their
+    neighbours one by one and has them from 20 characters on.
 
-    Each p-value is for the hypothesis that the token *is* structured, at the edge set by the constants above: symbols that
-    repeat as in language (chi-squared against the encoding's uniform alphabet), long runs on one side of the alphabet's
-    middle (runs test), and neighbours that depend on one another (lag-one serial correlation). Random text has small ones in
-    all three, so the largest counts; short tokens can't have small ones, whatever they hold.
+    ``p`` is ``p_language`` where the three statistics agree with uniform random text (``UNEVEN, ODD_RUNS, DEPENDENT``), and 1
+    where one doesn't: counters, alphabets and repeats. Digits alone have no language; for them the largest of the three
+    p-values counts.
     """
     body = F.regexp_replace("part", "=+$", "")
     pick = F.lit(None).cast("string")
@@ -105,7 +172,9 @@ def randomness(tokens: DataFrame) -> DataFrame:
     rows = rows.withColumn("cov", F.expr("aggregate(zip_with(slice(at, 1, size(at) - 1), slice(at, 2, size(at) - 1), (x, y) -> (x - m) * (y - m)), 0D, (s, v) -> s + v)"))
     r = F.abs(F.col("cov") / F.col("var"))
     rows = rows.withColumn("p_serial", F.when(F.col("var") > 0, upper_tail((CORRELATION - r) * F.sqrt(n))).otherwise(1.0))
-    rows = rows.withColumn("p", F.greatest("p_uniform", "p_runs", "p_serial"))
+    fails = (((chi - (a - 1)) / F.sqrt(2 * (a - 1)) > UNEVEN) | (F.abs(F.col("runs") - mean) / spread > ODD_RUNS) | (F.col("var") == 0) | (r * F.sqrt(n) > DEPENDENT))
+    rows = structured(rows).withColumn("p", F.when(F.col("encoding") == "decimal", F.greatest("p_uniform", "p_runs", "p_serial"))
+                                       .when(F.coalesce(fails, F.lit(True)), 1.0).otherwise(F.col("p_language")))
     return rows.drop("body", "alphabet", "at", "squares", "high", "n1", "runs", "m", "var", "cov", "n")
 
 

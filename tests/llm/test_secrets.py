@@ -78,3 +78,31 @@ def test_redaction_and_digest(spark, tmp_path):
     row = e.queries()["op5_secret_scan"](spark, "/root/testdata/sf0.001").filter("n_assign = 0 and n_hex = 0 and n_access = 0").first()
     assert row.base_sha256 == hashlib.sha256(b"").hexdigest()
     assert sc.find_secrets(df.filter("false")).count() == 0
+
+
+def structured_token(rng, encoding, n):
+    """Names, paths, counters and dates that an encoding covers, of about the length of its secrets."""
+    words = ["thing", "river", "market", "engine", "report", "schule", "arbeit", "maison", "travail", "ciudad", "python", "server", "module", "index", "window", "buffer", "queue", "jazz"]
+    out = ""
+    while len(out) < n:
+        w, k = str(rng.choice(words)), str(rng.integers(2030))
+        out += {"base62": w.title() + k[:int(rng.integers(3))], "base64": w.title() + "/" + k[:int(rng.integers(3))], "lower-digit": w + k, "base32": w.upper() + str(rng.integers(2, 8)),
+                "hex-upper": k.zfill(8) + str(rng.choice(["A", "B", "AB", "FF"]))}[encoding]
+    return out[:n]
+
+
+def dealt(encoding, n, secrets, plain, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(1, 0, n, "".join(rng.choice(list(sc.ALPHABETS[encoding]), n))) for _ in range(secrets)]
+    return rows + [(0, 0, n, structured_token(rng, encoding, n)) for _ in range(plain)]
+
+
+def test_ordinary_secrets_are_found_among_names(spark):
+    rows = [(f"{e}/{n}", *r) for e in ("base62", "base64", "hex-upper", "lower-digit", "base32") for n in (20, 32, 40, 64) for r in dealt(e, n, 40, 360, n)]
+    tokens = spark.createDataFrame(rows, "grp string, secret int, start int, end int, part string")
+    found = sc.discoveries(sc.randomness(tokens), 0.01).groupBy("grp").agg({"secret": "sum", "*": "count"}).toPandas().set_index("grp")
+    for name in {r[0] for r in rows}:
+        hit = found.loc[name]
+        assert hit["sum(secret)"] >= (30 if name.endswith("/20") else 36), name
+    found = found[~found.index.str.startswith("base32")]  # capitals with a digit after every word come close to random text: see the README
+    assert (found["count(1)"] - found["sum(secret)"]).sum() <= 0.02 * found["count(1)"].sum()
