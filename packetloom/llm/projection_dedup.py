@@ -102,10 +102,62 @@ def _window_links(window: int, least: float):
     return run
 
 
+def _across_links(least: float):
+    """A spanning forest of the links between different components of two blocks (or of one)."""
+    def run(group: pa.Table) -> pa.Table:
+        ids, comp, side = (group.column(c).to_numpy() for c in ("vec_id", "component", "side"))
+        x = _matrix(group.column("unit").combine_chunks())
+        left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+        hit = (x[left] @ x[right].T >= least) & (comp[left][:, None] != comp[right][None, :])
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                root[c] = root.setdefault(root[c], root[c])
+                c = root[c]
+            return c
+
+        a, b = [], []
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            p, q = find(comp[left[i]]), find(comp[right[j]])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                a.append(ids[left[i]])
+                b.append(ids[right[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
+def across_runs(placed: DataFrame, units: DataFrame, found: DataFrame, window: int, prefix: int, similarity: float) -> DataFrame:
+    """``a, b``: links between different components inside runs of more than ``window`` + 1 rows of a pass that share their first
+    ``prefix`` hashes; shorter runs lie inside the window.
+
+    A run that is one component already needs no comparison. Of the others, the largest component and the remaining members are
+    cut into blocks of about ``BLOCK``; one task compares two blocks, of which at most one belongs to the largest component.
+    """
+    run = ["pass", "grp", "dim", "run"]
+    rows = placed.select("pass", "grp", "dim", F.substring("key", 1, 4 * prefix).alias("run"), "vec_id")
+    long = staged(rows.groupBy(*run).agg(F.count("*").alias("n")).filter(F.col("n") > window + 1).select(*run), "runs")
+    rows = rows.join(long, run).join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    rows = staged(rows.withColumn("component", F.coalesce("component", "vec_id")), "run-members")
+    count = rows.groupBy(*run, "component").agg(F.count("*").alias("n"))
+    top = count.groupBy(*run).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all")).filter(F.col("all") > F.col("top.n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    top = staged(top.select(*run, F.col("top.component").alias("top"), blocks(F.col("top.n")).alias("many"), blocks(F.col("all") - F.col("top.n")).alias("few")), "run-tops")
+    rows = rows.join(top, run).withColumn("main", F.col("component") == F.col("top"))
+    own = F.pmod(F.xxhash64("vec_id"), F.when(F.col("main"), F.col("many")).otherwise(F.col("few"))).cast("int")
+    # blocks of the largest component are -1, -2, ...; the others 0, 1, ...
+    rows = rows.withColumn("own", F.when(F.col("main"), -1 - own).otherwise(own))
+    rest = F.sequence(F.lit(0), F.col("few") - 1)
+    rows = rows.withColumn("other", F.explode(F.when(F.col("main"), rest).otherwise(F.concat(rest, F.sequence(-F.col("many"), F.lit(-1))))))
+    cells = rows.select(*run, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "vec_id", "component")
+    return cells.join(units.select("vec_id", "unit"), "vec_id").groupBy(*run, "i", "j").applyInArrow(_across_links(similarity), "a long, b long")
+
+
 def _block_counts(least: float):
-    """Links of each vector of one block with the vectors of another block (or of its own)."""
+    """Links of each vector of one block, copies included, with the vectors of another block (or of its own)."""
     def run(group: pa.Table) -> pa.Table:
-        ids, side = group.column("vec_id").to_numpy(), group.column("mine").to_numpy()
+        ids, side, copies = group.column("vec_id").to_numpy(), group.column("mine").to_numpy(), group.column("copies").to_numpy()
         x = _matrix(group.column("unit").combine_chunks())
         same = bool(group.column("same")[0].as_py())
         left = np.flatnonzero(side)
@@ -115,15 +167,15 @@ def _block_counts(least: float):
         hit = x[left] @ x[right].T >= least
         if same:
             hit &= ids[left][:, None] != ids[right][None, :]
-            counts, names = hit.sum(axis=1), ids[left]
+            counts, names = hit @ copies[right] + copies[left] - 1, ids[left]
         else:
-            counts, names = np.concatenate([hit.sum(axis=1), hit.sum(axis=0)]), np.concatenate([ids[left], ids[right]])
+            counts, names = np.concatenate([hit @ copies[right], copies[left] @ hit]), np.concatenate([ids[left], ids[right]])
         return pa.table({"vec_id": pa.array(names, pa.int64()), "n": pa.array(counts, pa.int64())})
     return run
 
 
 def count_links(members: DataFrame, similarity: float) -> DataFrame:
-    """``vec_id, n``: direct links of each member of a component (``vec_id, component, dim, unit``).
+    """``vec_id, n``: direct links of each member of a component (``vec_id, component, dim, unit, copies``).
 
     A component is cut into blocks of about ``BLOCK`` vectors by a hash of the id; one task compares one pair of blocks
     and returns counts, so no pair of vectors is ever emitted and memory stays bounded however large the component.
@@ -132,7 +184,7 @@ def count_links(members: DataFrame, similarity: float) -> DataFrame:
     rows = members.join(sizes, ["component", "dim"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "vec_id", "unit", (F.col("block") <= F.col("other")).alias("mine"), (F.col("block") == F.col("other")).alias("same"))
+        "vec_id", "unit", "copies", (F.col("block") <= F.col("other")).alias("mine"), (F.col("block") == F.col("other")).alias("same"))
     parts = cells.groupBy("component", "dim", "i", "j").applyInArrow(_block_counts(similarity), "vec_id long, n long")
     return parts.groupBy("vec_id").agg(F.sum("n").alias("n"))
 
@@ -141,29 +193,42 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
                          passes: int = 12, hashes: int = 4, window: int = 16, seed: int = 5) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, one row per input row, by links of cosine >= ``similarity`` inside a group.
 
-    Each pass sorts all vectors by (group, concatenated random hashes) in one global order, compares every vector with its
-    next ``window`` neighbours and keeps a spanning forest of the verified pairs; the passes' forests are united into
-    components. The order is cut into segments by position, so no key is too hot for a task. Links are then counted inside
-    components, block against block: every link lies inside one, so a count misses a link only if no chain of verified
-    pairs of any pass joins its ends.
+    Equal vectors are folded to the smallest id first. Each pass sorts the others by (group, concatenated random hashes) in one
+    global order, compares every vector with its next ``window`` neighbours and keeps a spanning forest of the verified pairs;
+    the passes' forests are united into components. The order is cut into segments by position, so no key is too hot for a
+    task. Vectors that share all hashes of a pass but the last are all compared unless they are in one component by then: in
+    the window, or block against block where they are more than it holds. Links are then counted inside components, block
+    against block: every link lies inside one, so a count misses a link only if no chain of verified pairs of any pass joins
+    its ends.
 
     Null, empty, zero and non-finite vectors and null groups or ids link with nothing (0 links, own component, kept).
     Vectors of unequal length don't link. Rows repeating an id are one vector with the content of the smallest row; each
-    such row is returned. Ties in the sort key are ordered by id. Other columns play no part.
+    such row is returned. Ties in the sort key are ordered by a hash of id and pass. Other columns play no part.
     """
     src = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(group_col).alias("label"))
     units = unit_vectors(src, "vec_id", "embedding", "label")
     units = staged(units.groupBy("vec_id").agg(F.min(F.struct("grp", "dim", "unit")).alias("x")).select("vec_id", "x.*"), "units")
-    order = ["pass", "grp", "dim", "key", "vec_id"]
-    rows, _ = running_sum(projected(units, passes, hashes, seed).withColumn("one", F.lit(1)), order, ["one"], "passes")
+    same = ["grp", "dim", "unit"]
+    folds = staged(units.groupBy(*same).agg(F.min("vec_id").alias("lead"), F.count("*").alias("copies")).filter("copies > 1"), "folds")
+    copies = staged(units.join(folds, same).filter("vec_id > lead").select("vec_id", "lead"), "copies")
+    leads = units.join(copies, "vec_id", "left_anti").join(folds.select(F.col("lead").alias("vec_id"), "copies"), "vec_id", "left")
+    leads = staged(leads.withColumn("copies", F.coalesce("copies", F.lit(1).cast("long"))), "leads")
+    order = ["pass", "grp", "dim", "key", "tie", "vec_id"]
+    keyed = projected(leads.drop("copies"), passes, hashes, seed).withColumn("one", F.lit(1)).withColumn("tie", F.xxhash64("pass", "vec_id"))
+    rows, placed = running_sum(keyed, order, ["one"], "passes")
     rows = rows.withColumnRenamed("before_one", "place")
     seg, rest = F.floor(F.col("place") / SEGMENT), F.col("place") % SEGMENT
     rows = rows.withColumn("segment", F.explode(F.when((rest < window) & (seg > 0), F.array(seg, seg - 1)).otherwise(F.array(seg))))
     # the running-sum row that opens a segment belongs to it; rows of the next one come after
     pairs = rows.select("segment", "place", "pass", "grp", "dim", "vec_id", "unit").groupBy("segment").applyInArrow(_window_links(window, similarity), "a long, b long")
+    pairs = staged(pairs, "near")
+    near = staged(components(pairs, "a", "b"), "near-components")
+    across = across_runs(placed, leads, near, window, max(1, hashes - 1), similarity)
+    pairs = pairs.unionByName(staged(across, "across")).unionByName(copies.select(F.col("lead").alias("a"), F.col("vec_id").alias("b")))
     found = staged(components(pairs, "a", "b"), "components")
-    members = staged(units.join(found.withColumnRenamed("node", "vec_id"), "vec_id"), "members")
-    links = count_links(members, similarity)
+    members = staged(leads.join(found.withColumnRenamed("node", "vec_id"), "vec_id"), "members")
+    links = staged(count_links(members, similarity), "link-counts")
+    links = links.unionByName(copies.join(links.withColumnRenamed("vec_id", "lead"), "lead").select("vec_id", "n"))
     out = src.select("vec_id").join(found.withColumnRenamed("node", "vec_id"), "vec_id", "left").join(links, "vec_id", "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"),
                       F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -55,3 +55,26 @@ def test_odd_vectors_link_with_nothing(spark):
 
 def test_empty_table(spark):
     assert embedding_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("background", [0.90, 0.95, 0.965])
+def test_links_in_a_dense_background(spark, background):
+    """Vectors around one centre, mostly not linked, and partners just above the threshold."""
+    rng = np.random.default_rng(int(1000 * background))
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    def beside(x, cosine):
+        other = rng.standard_normal(x.shape)
+        other = unit(other - (other * x).sum(axis=1, keepdims=True) * x)
+        return cosine * x + np.sqrt(1 - cosine**2) * other
+
+    centre = np.repeat(unit(rng.standard_normal((1, 64))), 4000, axis=0)
+    cloud = beside(centre, np.sqrt(background))
+    x = np.concatenate([cloud, beside(cloud[:400], 0.982), np.repeat(cloud[1000:1001], 60, axis=0)]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    links, comp = brute(x, np.zeros(len(x), int))
+    df = spark.createDataFrame([(i, v.tolist(), 0, "clash", 1.0) for i, v in enumerate(x)], SCHEMA).repartition(5)
+    got = embedding_components(df).toPandas().sort_values("vec_id")
+    lost, wrong = (links - got["n_links"].to_numpy()), got["component_id"].to_numpy() != comp
+    print(f"background {background}: {int(lost.sum()) // 2} of {int(links.sum()) // 2} links lost, {int(wrong.sum())} of {len(x)} components differ")
+    assert (lost >= 0).all() and lost.sum() <= 0.002 * links.sum() and wrong.sum() <= 0.002 * len(x)
