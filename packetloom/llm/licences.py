@@ -33,8 +33,12 @@ OPENINGS = ["licensed", "released", "distributed", "available", "published", "th
 #: Words that say nothing by themselves; an n-gram of these alone is no feature.
 COMMON = set("a an and are as be by for from in is it its not of on or that the this to with you your all any may can use which has have was were will at we our".split())
 UNKNOWN, NONE = "unknown", "none"
+#: Words that open a comment line (signs that do are no words).
+REMARKS = {b"rem", b"dnl"}
 #: Paragraphs above twice this many words are classified in windows of so many, half overlapping.
 WINDOW = 32
+#: Step between the windows that slide over the words of several lines.
+STEP = 8
 #: Share of a template's word pairs that a paragraph must hold to confirm its family.
 CONFIRM = 0.8
 
@@ -154,10 +158,13 @@ class Classifier:
         return UNKNOWN, float(1 - p[-1]), share
 
     def scan(self, text: bytes) -> list[tuple[int, int, str, float, float]]:
-        """``begin, end`` (bytes) of each paragraph with a licence notice, with its family, probability and template share."""
-        out, begin = [], 0
+        """``begin, end`` (bytes) of each line, or run of lines, with a licence notice, with its family, probability and template share."""
+        out, begin, block = [], 0, []
         for line in text.split(b"\n"):
             tokens = words(line)
+            if not tokens and block:
+                out += self._block(block)
+                block = []
             if not self.anchors.isdisjoint(tokens):
                 step = len(tokens) if len(tokens) <= 2 * WINDOW else WINDOW // 2
                 best = {}
@@ -170,9 +177,60 @@ class Classifier:
                         best[family] = (p, share)
                 if len(best) > 1:  # a window that cuts a notice in two is no notice of its own
                     best.pop(UNKNOWN, None)
-                out += [(begin, begin + len(line), f, p, s) for f, (p, s) in sorted(best.items())]
+                found = [(begin, begin + len(line), f, p, s) for f, (p, s) in sorted(best.items())]
+            else:
+                found = []
+            if tokens:
+                block.append((begin, begin + len(line), tokens[1:] if tokens[0] in REMARKS else tokens, found))
             begin += len(line) + 1
-        return out
+        return out + self._block(block)
+
+    def _block(self, lines: list[tuple[int, int, list[bytes], list[tuple[int, int, str, float, float]]]]) -> list[tuple[int, int, str, float, float]]:
+        """The findings of a run of lines without a blank one: those of its lines, and of notices that go over line ends.
+
+        Windows slide over the words of all lines. A family that they confirm, and no line among theirs does, is a finding from
+        the first to the last line that holds its words; lines of it that read like another, unknown licence are none by
+        themselves. An unknown notice over several lines counts where no line of the window has a finding.
+        """
+        own = [x for _, _, _, found in lines for x in found]
+        tokens = [w for _, _, ws, _ in lines for w in ws]
+        if len(lines) < 2 or self.anchors.isdisjoint(tokens):
+            return own
+        line_of = [k for k, (_, _, ws, _) in enumerate(lines) for _ in ws]
+        known, unknown = [], []
+        for i in range(0, max(1, len(tokens) - WINDOW + STEP), STEP):
+            part, at = tokens[i:i + WINDOW], line_of[i:i + WINDOW]
+            if not part or at[0] == at[-1] or self.anchors.isdisjoint(part):
+                continue
+            family, p, share = self.judge(part)
+            if family == NONE:
+                continue
+            if family == UNKNOWN:
+                marks = [k for k, w in zip(at, part, strict=True) if w in self.anchors]
+                unknown.append((marks[0], marks[-1], at[0], at[-1], p, share))
+                continue
+            template = max(self.templates[family], key=lambda t, held=pairs(part): len(t & held) / len(t))
+            marks = [k for k, pair in zip(range(len(part)), zip(part, part[1:])) if pair in template]
+            known.append((at[marks[0]], at[marks[-1] + 1], family, p, share))
+        spans: list[list] = []  # per family, overlapping windows are one notice
+        for a, b, family, p, share in sorted(known, key=lambda x: (x[2], x[0], x[1])):
+            if any(f == family for k in range(a, b + 1) for _, _, f, *_ in lines[k][3]):
+                continue
+            if spans and spans[-1][2] == family and a <= spans[-1][1]:
+                spans[-1][1:] = [max(b, spans[-1][1]), family, *max((p, share), tuple(spans[-1][3:]))]
+            else:
+                spans.append([a, b, family, p, share])
+        inside = {k for a, b, *_ in spans for k in range(a, b + 1)}
+        own = [x for k, (_, _, _, found) in enumerate(lines) for x in found if x[2] != UNKNOWN or k not in inside]
+        taken = inside | {k for k, (_, _, _, found) in enumerate(lines) if found}
+        loose: list[list] = []
+        for a, b, first, last, p, share in unknown:
+            if taken.isdisjoint(range(first, last + 1)):
+                if loose and a <= loose[-1][1]:
+                    loose[-1][1:] = [max(b, loose[-1][1]), UNKNOWN, *max((p, share), tuple(loose[-1][3:]))]
+                else:
+                    loose.append([a, b, UNKNOWN, p, share])
+        return sorted(own + [(lines[a][0], lines[b][1], f, p, s) for a, b, f, p, s in spans + loose])
 
 
 @functools.lru_cache(1)
@@ -183,9 +241,10 @@ def classifier() -> Classifier:
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, findings`` per input row: an array of ``start, end, family, probability, template_share`` per licence paragraph.
 
-    Every paragraph (line) of the whole text is classified, long ones in overlapping windows. A family needs a calibrated
-    probability and the words of one of its templates; what reads like a licence otherwise is ``unknown``. Offsets are code
-    points of the paragraph.
+    Every line of the whole text is classified, long ones in overlapping windows, and so are windows over the words of all
+    lines between two blank ones (lines of comment signs are blank), so hard-wrapped notices are found. A family needs a
+    calibrated probability and the words of one of its templates; what reads like a licence otherwise is ``unknown``. Offsets
+    are code points of the line, or of the lines that a notice goes over.
 
     Null and empty texts have no findings. Null or repeated ids are separate rows. Other columns play no part.
     """

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from packetloom.llm import licences as lc
 
@@ -44,3 +45,60 @@ def test_odd_rows(spark):
     got = lc.scan_licences(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == 5 and [(f.start, f.end, f.family) for r in got for f in r.findings] == [(2, 33, "MIT")]
     assert lc.scan_licences(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.""",
+    "GPL": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+}
+
+
+def test_wrapped_notices():
+    model = lc.classifier()
+    prose = "Thwhing onwh the haheble of oneawhwh in to, thon and\nontion than reti therre the.\n" * 20
+    for family, text in WRAPPED.items():
+        for prefix in ("", " * ", "// ", "# ", "dnl "):
+            for width in (None, 40):
+                lines = text.split("\n") if width is None else [x for part in text.split("\n\n") for x in [*textwrap.wrap(" ".join(part.split()), width), ""]]
+                notice = "\n".join(prefix + x for x in lines)
+                for before, after in (("", ""), (prose, "\n" + prose), ("é\n\n", "\n\ncode()")):
+                    found = [x for x in model.scan((before + notice + after).encode()) if x[2] != lc.UNKNOWN]
+                    assert {x[2] for x in found} == {family}, (family, prefix, width, found)
+                    start = len(before.encode())
+                    assert all(start <= a < b <= start + len(notice) for a, b, *_ in found)
+    assert {x[2] for x in model.scan(b"code\n\nDistributed under the Kestrel\nCommunity License, version 2.\n\ncode")} == {lc.UNKNOWN}
+    assert [x[2] for x in model.scan(b"under the\nMIT License\n\nReleased under CC\nBY-SA 4.0")] == ["MIT", "CC-BY-SA"]
+    assert model.scan(prose.encode()) == []
