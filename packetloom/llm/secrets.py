@@ -75,7 +75,13 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("row", "doc_id", found(ASSIGN, group=2).alias("assign"), found(ACCESS).alias("access"), found(HEX).alias("hex"), found(TOKEN).alias("tokens"))
     base = f"sort_array(concat({_spans('assign', 'assign', 'length(x.part) >= 6')}, {_spans('access', 'access')}, {_spans('hex', 'hex')}))"
-    free = "filter(tokens, t -> not exists(base, b -> b.start < t.end and t.start < b.end))"
+    # what base spans leave of a token: the pieces before, between and behind them that are long enough by themselves
+    kind = "array<struct<start:int,end:int,part:string>>"
+    piece = "struct(a.pos as start, {end} as end, substring(t.part, a.pos - t.start + 1, {end} - a.pos) as part)"
+    cut = (f"(a, b) -> struct(greatest(a.pos, b.end) as pos, if(b.start > a.pos, concat(a.out, array({piece.format(end='b.start')})), a.out) as out)")
+    rest = f"a -> if(t.end > a.pos, concat(a.out, array({piece.format(end='t.end')})), a.out)"
+    pieces = f"aggregate(filter(base, b -> b.start < t.end and t.start < b.end), struct(t.start as pos, cast(array() as {kind}) as out), {cut}, {rest})"
+    free = (f"flatten(transform(tokens, t -> if(exists(base, b -> b.start < t.end and t.start < b.end), filter({pieces}, x -> length(rtrim('=', x.part)) >= 20), array(t))))")
     return rows.withColumn("base", F.expr(base)).select("row", "doc_id", "base", F.expr(free).alias("tokens"))
 
 
