@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packetloom.llm.common import as_bytes, boxed, query, slices, staged, table, unboxed
 from packetloom.llm.components import components
@@ -225,13 +225,20 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the smallest id; of rows repeating an id, one stays. Rows without an id stay."""
-    marks = minhash_components(docs, id_col, text_col, **options)
-    kept = marks.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    held = boxed(docs, _kept=F.col(id_col).cast("long"), _text=F.xxhash64(F.col(text_col)))
-    order = Window.partitionBy("_kept").orderBy("_text")
-    first = held.join(kept, "_kept").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
-    return unboxed(first).unionByName(docs.filter(F.col(id_col).isNull()))
+    """``docs`` with one row of each near-duplicate group: that of the smallest id. Rows without an id stay.
+
+    Groups are of rows, by their number: rows that repeat an id with unrelated texts are no group, and rows of one id that are
+    near copies keep one. ``docs`` must be a written table.
+    """
+    held = boxed(docs, _row=F.monotonically_increasing_id(), _id=F.col(id_col).cast("long"), _text=F.col(text_col).cast("string"))
+    rows = held.select("_row", "_id", "_text").filter("_id is not null")
+    marks = minhash_components(rows, "_row", "_text", **options).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+    # only groups of several rows lose any
+    many = staged(marks.groupBy("_component").agg(F.count("*").alias("n")).filter("n > 1").select("_component"), "groups")
+    grouped = staged(rows.select("_row", "_id").join(marks.join(many, "_component"), "_row"), "grouped")
+    first = grouped.groupBy("_component").agg(F.min(F.struct("_id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
+    gone = staged(grouped.select("_row").join(first, "_row", "left_anti"), "gone")
+    return unboxed(held.join(gone, "_row", "left_anti"))
 
 
 _SHINGLES_SQL = r"""

@@ -75,3 +75,11 @@ def test_components_of_paths_and_hubs(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(71)}, **{1000 + i: 1000 for i in range(300)}, 1999: 1999, 2000: 1999}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_unrelated_rows_of_one_id_stay(spark, tmp_path):
+    texts = ["a b c d e f g", "quite other words stand in here now", "a b c d e f g", "x y z u v w q", "x y z u v w q", "rows of text that nobody repeats at all"]
+    rows = [(i, t, 1, 2, "x") for i, t in zip([3, 3, 3, 3, 1, 1], texts)]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "d"))
+    out = md.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, texts[5]), (1, texts[3]), (3, texts[0]), (3, texts[1])]
