@@ -18,7 +18,9 @@ from packetloom.llm.common import query, slices, staged, table
 from packetloom.llm.packing import tokenizer_path
 
 #: Texts are tokenised and aligned in blocks of about so many bytes; pair counts are summed inside a block first.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: How the ids of a block are kept on disk and in shuffles.
+CODEC = "zstd"
 
 
 class Tokens:
@@ -147,11 +149,6 @@ def _shown(tokens: Tokens, a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_c
     return ["".join(names[i:j])[:-1] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
 
 
-def _binary(flat: np.ndarray, counts: np.ndarray, kind: np.dtype) -> pa.Array:
-    bounds = np.append(0, np.cumsum(counts) * kind.itemsize).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bounds), pa.py_buffer(flat.astype(kind).tobytes())])
-
-
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -185,16 +182,14 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
 
 
 def alignment_blocks(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Aligned texts in blocks; write the result before use, since a row's block is a matter of the task that made it.
+    """Aligned texts, a row for each block of them; write the result before use, since a block is a matter of the task that made it.
 
-    Rows of texts have ``block, doc_id, n_groups, groups, a_ids, b_ids`` (``groups`` is the digest of the alignment, ids are 16
-    or 32 bits, little-endian). One more row for each block has ``pairs, counts``: the id pairs linked in it, as
-    ``a * size of B's vocabulary + b``, and their links.
+    ``doc_ids, a_counts, b_counts, n_groups, groups`` have one entry a text (``groups`` is the digest of its alignment), ``ids``
+    has all A ids and then all B ids, 16 or 32 bits each, compressed. ``pairs, counts`` are the id pairs linked in the
+    block, as ``a * size of B's vocabulary + b``, and their links.
     """
     paths = _paths(a_path, b_path)
-    schema = "block long, doc_id long, n_groups long, groups string, a_ids binary, b_ids binary, pairs array<long>, counts array<long>"
-    names = [c.split()[0] for c in schema.split(", ")]
-    empty = {"doc_id": pa.int64(), "n_groups": pa.int64(), "groups": pa.string(), "a_ids": pa.binary(), "b_ids": pa.binary()}
+    schema = "block long, doc_ids array<long>, a_counts array<long>, b_counts array<long>, n_groups array<long>, groups array<string>, ids binary, pairs array<long>, counts array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, block = load(*paths), TaskContext.get().partitionId() << 36
@@ -206,14 +201,12 @@ def alignment_blocks(docs: DataFrame, a_path: str | None = None, b_path: str | N
                 a_cuts, b_cuts = shared_cuts(a_end, b_end, a_count, b_count)
                 digests = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in _shown(tokens, a, b, a_cuts, b_cuts, a_count, b_count)]
                 n_groups = np.diff(np.searchsorted(a_cuts, np.append(0, np.cumsum(a_count)), "right"))
-                n, none = part.num_rows, pa.nulls(part.num_rows, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), part.column("doc_id"), pa.array(n_groups), pa.array(digests, pa.string()),
-                                                  _binary(a, a_count, tokens.kind), _binary(b, b_count, tokens.kind), none, none], names)
                 i, j, _ = links(a_end, b_end)
                 pairs, counts = np.unique(a[i].astype(tokens.key) * tokens.key.type(len(tokens.b_bytes)) + b[j].astype(tokens.key), return_counts=True)
-                one = pa.array([0, len(pairs)], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([block]), *[pa.nulls(1, t) for t in empty.values()], pa.ListArray.from_arrays(one, pa.array(pairs.astype(np.int64))),
-                                                  pa.ListArray.from_arrays(one, pa.array(counts.astype(np.int64)))], names)
+                ids = pa.compress(np.concatenate([a, b]).astype(tokens.kind).tobytes(), codec=CODEC, asbytes=True)
+                cells = [part.column("doc_id"), *map(pa.array, (a_count, b_count, n_groups)), pa.array(digests, pa.string())]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (*cells, pa.array(pairs.astype(np.int64)), pa.array(counts.astype(np.int64)))]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *lists[:5], pa.array([ids], pa.binary()), *lists[5:]], [c.split()[0] for c in schema.split(", ")])
                 block += 1
 
     return _rows(docs, id_col, text_col).mapInArrow(run, schema)
@@ -221,7 +214,7 @@ def alignment_blocks(docs: DataFrame, a_path: str | None = None, b_path: str | N
 
 def pair_counts(blocks: DataFrame, b_size: int) -> DataFrame:
     """``pair, total, best``: links of each id pair over all texts, and whether no other pair has more for its B id (ties are all best)."""
-    each = blocks.filter("pairs is not null").select(F.explode(F.arrays_zip("pairs", "counts")).alias("p"))
+    each = blocks.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p"))
     totals = each.groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.counts").alias("total")).withColumn("b", F.col("pair") % b_size)
     totals = staged(totals, "pair-counts")
     most = totals.groupBy("b").agg(F.max("total").alias("most"))
@@ -247,23 +240,25 @@ def alignment_counts(docs: DataFrame, a_path: str | None = None, b_path: str | N
     b_size = load(*paths).b.get_piece_size()
     blocks = staged(alignment_blocks(docs, a_path, b_path, id_col, text_col), "aligned")
     scored = pair_counts(blocks, b_size)
-    own = blocks.filter("pairs is not null").select(F.col("block").alias("home"), F.explode("pairs").alias("pair"))
+    own = blocks.select(F.col("block").alias("home"), F.explode("pairs").alias("pair"))
     back = own.join(scored, "pair").select("home", "pair", "total", "best")
-    texts = blocks.filter("pairs is null").select("block", "doc_id", "n_groups", "groups", "a_ids", "b_ids")
+    texts = blocks.drop("pairs", "counts")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        tokens = load(*paths)
-        out, pair = [], right.column("pair").to_numpy()
+        tokens, out = load(*paths), []
+        pair = right.column("pair").to_numpy()
         order = np.argsort(pair)
         pair, total, best = pair[order].astype(tokens.key), right.column("total").to_numpy()[order], right.column("best").to_numpy()[order]
-        for part in left.to_batches():
-            (a, a_count), (b, b_count) = (_flat([np.frombuffer(x, tokens.kind) for x in part.column(c).to_pylist()]) for c in ("a_ids", "b_ids"))
+        for row in left.to_pylist():  # one block
+            a_count, b_count = (np.array(row[c], np.int64) for c in ("a_counts", "b_counts"))
+            size = (a_count.sum() + b_count.sum()) * tokens.kind.itemsize
+            a, b = np.split(np.frombuffer(pa.decompress(row["ids"], int(size), codec=CODEC, asbytes=True), tokens.kind), [a_count.sum()])
             i, j, n = links(*tokens.ends(a, b))
             at = np.searchsorted(pair, a[i].astype(tokens.key) * tokens.key.type(b_size) + b[j].astype(tokens.key))
             n_links = _sums(n, a_count)
-            out.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a_count), pa.array(b_count), part.column("n_groups"), pa.array(n_links), pa.array(_sums(best[at].astype(np.int64), n_links)),
-                                                   pa.array(_sums(total[at], n_links)), part.column("groups")], [c.split()[0] for c in schema.split(", ")]))
-        return pa.Table.from_batches(out, pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in schema.split(", ")]))
+            out.append(pa.Table.from_arrays([pa.array(row["doc_ids"], pa.int64()), *map(pa.array, (a_count, b_count, np.array(row["n_groups"], np.int64), n_links, _sums(best[at].astype(np.int64), n_links), _sums(total[at], n_links))),
+                                             pa.array(row["groups"], pa.string())], [c.split()[0] for c in schema.split(", ")]))
+        return pa.concat_tables(out)
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
     return texts.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(run, schema)
