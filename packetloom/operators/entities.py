@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packetloom.functions.columns import bucket, choose, count_when, set_size, stable_id, tag_string
 from packetloom.functions.ordered import global_row_number
+from packetloom.functions.spans import join_spans
 
 W = Window
 c = F.col
@@ -197,7 +198,7 @@ def episodes(findings: DataFrame, ends: DataFrame, per_window_gap: int | None =
         F.bool_or(F.upper("severity").isin("HIGH", "CRITICAL")).alias("_hi"), F.bool_or(cat.rlike("recon|scan")).alias("_scan"),
         F.bool_or(cat.rlike("dos|flood")).alias("_dos"), F.bool_or(cat.contains("dos")).alias("_dos_only"))
     # an entity's episodes don't overlap: each of its windows belongs to one at most
-    during = ends.join(g.select("entity", "_ep", F.explode(F.sequence("start_window", "end_window")).alias("bucket")), ["entity", "bucket"])
+    during = join_spans(ends, g.select("entity", "_ep", "start_window", "end_window"), ["entity"], "bucket", "start_window", "end_window")
     met = during.groupBy("entity", "_ep").agg(F.array_sort(F.collect_set("dst_port")).alias("destination_ports"), F.sum("n").alias("session_count"))
     g = g.join(met, ["entity", "_ep"], "left")
     return g.select(
@@ -211,8 +212,9 @@ def episodes(findings: DataFrame, ends: DataFrame, per_window_gap: int | None =
 
 def episode_targets(episode_rows: DataFrame, ends: DataFrame) -> DataFrame:
     """``entity, episode_id, target``: the peers an entity contacted during each of its episodes."""
-    cover = episode_rows.select("entity", "episode_id", F.explode(F.sequence("start_window", "end_window")).alias("bucket"))
-    return ends.filter("out").select("entity", "bucket", c("peer").alias("target")).distinct().join(cover, ["entity", "bucket"]).select("entity", "episode_id", "target").distinct()
+    met = ends.filter("out").select("entity", "bucket", c("peer").alias("target")).distinct()
+    spans = episode_rows.select("entity", "episode_id", "start_window", "end_window")
+    return join_spans(met, spans, ["entity"], "bucket", "start_window", "end_window").select("entity", "episode_id", "target").distinct()
 
 
 def entity_facts(profile: DataFrame, trajectory: DataFrame, changes: DataFrame, deviations: DataFrame, campaigns: DataFrame,

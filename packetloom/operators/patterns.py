@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packetloom.functions.columns import choose, count_when, stable_id, tag_string
 from packetloom.functions.ordered import segmented_lag
+from packetloom.functions.spans import join_spans
 from packetloom.operators.graph import connected_components
 
 W = Window
@@ -100,15 +101,15 @@ def campaign_members(campaign_rows: DataFrame, ends: DataFrame) -> DataFrame:
     """(campaign, entity, role): the primary entity and the peers it contacted while the campaign ran."""
     primary = campaign_rows.select("campaign_id", "entity", F.lit("PRIMARY").alias("role"))
     peers = ends.filter("out").select("entity", "bucket", "peer").distinct()
-    cover = campaign_rows.select("campaign_id", "entity", F.explode(F.sequence("start_window", "end_window")).alias("bucket"))
-    tgt = cover.join(peers, ["entity", "bucket"]).select("campaign_id", c("peer").alias("entity"), F.lit("TARGET").alias("role")).distinct()
+    spans = campaign_rows.select("campaign_id", "entity", "start_window", "end_window")
+    tgt = join_spans(peers, spans, ["entity"], "bucket", "start_window", "end_window").select("campaign_id", c("peer").alias("entity"), F.lit("TARGET").alias("role")).distinct()
     return primary.unionByName(tgt)
 
 
 def campaign_dossier(campaign_rows: DataFrame, episodes: DataFrame) -> DataFrame:
     """Campaign joined to its episodes; the action follows the severity."""
-    e = campaign_rows.select("campaign_id", "entity", c("severity").alias("campaign_severity"), F.explode(F.sequence("start_window", "end_window")).alias("start_window"))
-    j = e.join(episodes, ["entity", "start_window"])  # campaigns are runs of whole episodes, so its start places an episode
+    e = campaign_rows.select("campaign_id", "entity", c("severity").alias("campaign_severity"), c("start_window").alias("_from"), c("end_window").alias("_to"))
+    j = join_spans(episodes.drop("campaign_id", "campaign_severity"), e, ["entity"], "start_window", "_from", "_to")  # campaigns are runs of whole episodes, so its start places an episode
     return j.select("campaign_id", "entity", "episode_id", "start_window", "end_window", "finding_count",
                     choose((c("campaign_severity") == "CRITICAL", "ISOLATE"), (c("campaign_severity") == "HIGH", "INVESTIGATE"),
                            default="MONITOR").alias("action"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packetloom.functions.columns import bucket, clip, count_when, div, has_flag, r
 from packetloom.functions.ordered import segmented_lag
 from packetloom.functions.quantiles import group_quantiles
+from packetloom.functions.spans import join_spans, window_sums
 from packetloom.session import shared
 
 KEYS = ["capture_id", "bucket"]
@@ -24,16 +25,35 @@ def tumbling_windows(packets: DataFrame, seconds: int = 60) -> DataFrame:
 
 
 def flow_buckets(flows: DataFrame, seconds: int, occupied: DataFrame | None = None) -> DataFrame:
-    """One row per (flow, window it overlaps); ``occupied`` restricts to windows that hold packets.
+    """One row per (flow, window it overlaps); ``occupied`` restricts to the windows listed there.
 
-    Meant for flows that span few windows; for long-lived flows the change-point form in
-    ``features.flow_window_features`` avoids this expansion.
+    A flow meets the listed windows by the blocks of its span, so what it costs follows the rows that come out, not its
+    duration. Without ``occupied`` it is the covered windows that are listed, which grow with time, not with traffic. Sums
+    over windows need no such rows: see ``flow_window_totals``.
     """
-    out = flows.withColumn("bucket", F.explode(F.sequence(bucket("start_ts", seconds), bucket("end_ts", seconds))))
-    if occupied is not None:
-        keys = [k for k in KEYS if k in flows.columns or k == "bucket"]
-        out = out.join(occupied.select(*keys).distinct(), keys, "left_semi")
-    return out
+    keys = [k for k in KEYS if k in flows.columns and k != "bucket"]
+    spans = flows.withColumns({"_first": bucket("start_ts", seconds), "_last": bucket("end_ts", seconds)})
+    if occupied is None:
+        occupied = covered_windows(spans.select(*keys, "_first", "_last"), keys)
+    out = join_spans(occupied.select(*keys, "bucket").distinct(), spans, keys, "bucket", "_first", "_last")
+    return out.select(*flows.columns, "bucket")
+
+
+def covered_windows(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, bucket`` of every window in at least one span ``_first .. _last``: overlapping and touching spans are merged before they are listed."""
+    edges = spans.filter("_first <= _last").select(*keys, F.explode(F.array(F.struct(F.col("_first").alias("bucket"), F.lit(1).alias("_d")), F.struct((F.col("_last") + 1).alias("bucket"), F.lit(-1).alias("_d")))).alias("_e"))
+    steps = edges.groupBy(*keys, "_e.bucket").agg(F.sum("_e._d").alias("_d"))
+    # one row per window of time with a start or an end
+    upto = Window.partitionBy(*keys, F.lit(0)).orderBy("bucket")
+    live = steps.withColumns({"_live": F.sum("_d").over(upto), "_next": F.lead("bucket").over(upto)}).filter("_live > 0")
+    return live.select(*keys, F.explode(F.sequence(F.col("bucket"), F.col("_next") - 1)).alias("bucket"))
+
+
+def flow_window_totals(flows: DataFrame, seconds: int, occupied: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Per listed window the sums of ``sums`` over the flows that overlap it; no row per (flow, window) is made."""
+    keys = [k for k in KEYS if k in flows.columns and k != "bucket"]
+    spans = flows.withColumns({"_first": bucket("start_ts", seconds), "_last": bucket("end_ts", seconds)})
+    return window_sums(spans, occupied, keys, "bucket", "_first", "_last", sums)
 
 
 def interarrival(packets: DataFrame, seconds: int) -> DataFrame:

@@ -27,8 +27,7 @@ SELECT bucket, count(*) AS flow_count, CAST(sum(fwd_bytes) AS BIGINT) AS fwd_byt
 def win2(spark, d):
     f = base.flows(spark, d).select("start_ts", "end_ts", "fwd_bytes")
     occupied = f.select(F.floor(F.col("start_ts") / 86400).cast("bigint").alias("bucket"))
-    return win.flow_buckets(f, 86400, occupied).groupBy("bucket").agg(
-        F.count("*").alias("flow_count"), F.sum("fwd_bytes").alias("fwd_bytes"))
+    return win.flow_window_totals(f, 86400, occupied, {"flow_count": F.lit(1), "fwd_bytes": F.col("fwd_bytes")})
 
 
 STAT3 = ("ttl_variance", "tcp_window_variance", "packet_size_variance", "payload_variance", "iat_variance", "tcp_window_mean",
