@@ -184,10 +184,11 @@ def src11(spark, d):
 
 
 # --- streams ------------------------------------------------------------------------------------------------
-def live_packets(spark, d):
-    """The packet view over a file stream of the event table."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    e = live.files(spark, d, "events.parquet", schema)
+def live_packets(spark, d, stream=True):
+    """The packet view over a file stream of the event table, or over the table itself."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    if stream:
+        e = live.files(spark, d, "events.parquet", e.schema)
     k = F.get_json_object("props", "$.k").cast("int")
     kind = col("event_type")
     return e.select(F.timestamp_micros((views.epoch("ts") * 1e6).cast("bigint")).alias("event_time"), col("event_id").alias("packet_index"), F.concat(F.lit("u"), "user_id").alias("src_ip"),
@@ -237,17 +238,43 @@ f AS (SELECT *, i > 1 AND (row_number() OVER (PARTITION BY entity, peer ORDER BY
 l AS (SELECT entity, count(*) AS observations, count(DISTINCT peer) AS peers, count(DISTINCT port) AS ports, list(CASE WHEN novel THEN 0.15::DOUBLE ELSE -0.02::DOUBLE END ORDER BY i) AS steps FROM f GROUP BY 1)
 SELECT entity, observations, peers, ports, round(list_reduce(list_prepend(0.0::DOUBLE, steps), lambda a, x: greatest(0.0::DOUBLE, least(1.0::DOUBLE, a + x))), 4) AS divergence_score FROM l""")
 def str4(spark, d):
-    p = live_packets(spark, d).select("event_time", "packet_index", col("src_ip").alias("entity"), col("dst_ip").alias("peer"), col("dst_port").alias("port"))
-    t, _ = live.run_available(live.entity_memory(p), "update")
+    p = live_packets(spark, d, False).select("event_time", "packet_index", col("src_ip").alias("entity"), col("dst_ip").alias("peer"), col("dst_port").alias("port"))
+    root = live.stream_root(spark)
+    for stream in arrivals(spark, p):
+        t, _ = live.run_available(live.entity_memory(stream), "update", root=root, rocksdb=True)
     last = t.groupBy("entity").agg(F.max_by(F.struct("observations", "peers", "ports", "divergence_score"), "observations").alias("x")).select("entity", "x.*")
     return last.withColumn("divergence_score", r(col("divergence_score"), 4))
 
 
-@query("str5_late_data", "SELECT count(*) AS packets, 0 AS dropped_late FROM packets_v")
+SLICES = 3
+#: The third of the covered time in which a packet falls.
+SLICE_SQL = f"CAST(least({SLICES - 1}, floor((ts - lo) * {SLICES} / (hi - lo))) AS BIGINT)"
+SLICED = "b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM packets_v)"
+
+
+def arrivals(spark, rows, late=None):
+    """``rows`` as a file stream that grows by a third of the covered time at each step; rows in ``late`` come a step later."""
+    t = F.unix_micros("event_time") / 1e6
+    ends = rows.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
+    at = F.least(F.lit(SLICES - 1), F.floor((t - ends.lo) * SLICES / (ends.hi - ends.lo)))
+    sliced = rows.withColumn("_step", at if late is None else at + late.cast("int"))
+    folder = f"{live.stream_root(spark)}/in"
+    for step in range(SLICES + (late is not None)):
+        sliced.filter(col("_step") == step).drop("_step").write.mode("append").parquet(folder)
+        yield spark.readStream.schema(rows.schema).parquet(folder)
+
+
+@query("str5_late_data", f"""
+WITH {SLICED}, a AS (SELECT ts, {SLICE_SQL} + CASE WHEN packet_index % 10 = 0 THEN 1 ELSE 0 END AS batch FROM packets_v, b),
+m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 120 AS mark FROM a GROUP BY batch)
+SELECT batch, count(*) AS packets, count(*) FILTER (WHERE ts < mark) AS late, count(*) FILTER (WHERE (floor(ts / {W}) + 1) * {W} <= mark) AS dropped, round(max(CASE WHEN ts < mark THEN mark - ts END), 2) AS max_lateness
+FROM a JOIN m USING (batch) GROUP BY 1""")
 def str5(spark, d):
-    _, progress = live.run_available(live.window_stats(live_packets(spark, d), f"{W} seconds"))
-    n = live.dropped_late(progress)
-    return base.packets(spark, d).agg(F.count("*").alias("packets")).withColumn("dropped_late", F.lit(n).cast("int"))
+    report = live.LateRows(f"{live.stream_root(spark)}/late", 120, W)
+    root = live.stream_root(spark)
+    for stream in arrivals(spark, live_packets(spark, d, False), col("packet_index") % 10 == 0):
+        live.run_available(stream, each=report.split, root=root)
+    return report.counts(spark).select(col("batch").cast("bigint").alias("batch"), "packets", "late", "dropped", r(col("max_lateness"), 2).alias("max_lateness"))
 
 
 @query("str6_live_alert_enrich", """
@@ -269,6 +296,22 @@ def str7(spark, d):
     return t
 
 
+@query("str7_belief_table", f"""
+WITH {SLICED}, e AS (SELECT src_ip AS case_id, {SLICE_SQL} AS batch, count(*) FILTER (WHERE packet_length < 12) AS c, count(*) FILTER (WHERE packet_length >= 12) AS s FROM packets_v, b GROUP BY 1, 2),
+f AS (SELECT case_id, list(CASE WHEN c > s THEN 0.75::DOUBLE WHEN s > 0 THEN 1.15::DOUBLE ELSE 1::DOUBLE END ORDER BY batch) AS fs FROM e GROUP BY 1),
+p AS (SELECT src_ip AS case_id, unnest([1, 2, 3]) AS horizon, greatest(0.05, count(*) FILTER (WHERE protocol = 'ICMP') / count(*)) AS share FROM packets_v GROUP BY 1)
+SELECT case_id, horizon, round(list_reduce(list_prepend((share / horizon)::DOUBLE, fs), lambda a, x: greatest(0.01::DOUBLE, least(0.99::DOUBLE, a * x))), 6) AS p, len(fs) AS revisions FROM p JOIN f USING (case_id)""")
+def str7_table(spark, d):
+    rows = live_packets(spark, d, False).select("event_time", col("src_ip").alias("case_id"), "protocol", F.when(col("packet_length") < 12, 0).otherwise(col("packet_length")).alias("bytes"))
+    share = rows.groupBy("case_id").agg(F.greatest(F.lit(0.05), F.count_if(col("protocol") == "ICMP") / F.count("*")).alias("share"))
+    points = share.select("case_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("horizon"), "share").withColumn("p", col("share") / col("horizon"))
+    beliefs = live.BeliefTable(points, f"{live.stream_root(spark)}/beliefs")
+    root = live.stream_root(spark)
+    for stream in arrivals(spark, rows):
+        live.run_available(stream, each=beliefs.revise, root=root)
+    return beliefs.read().select("case_id", "horizon", r(col("p")).alias("p"), "revisions")
+
+
 @query("snk1_analysis_store", "SELECT 'a' || CAST(floor(bucket / 240) AS BIGINT) AS analysis_id, count(*) AS findings, count(DISTINCT severity) AS severities FROM findings_v WHERE CAST(floor(bucket / 240) AS BIGINT) <> 1973 GROUP BY 1")
 def snk1(spark, d):
     import uuid
