@@ -13,16 +13,24 @@ c = F.col
 NODE = ("id", "node_type", "label", "entity_key", "scope", "window")
 
 
-def _node(df: DataFrame, kind: str, key: Column, label: Column, entity: Column | None = None, scope: str = "OBSERVED",
+#: What identifies a node: a column, or several that ``stable_id`` keeps apart.
+Key = Column | tuple[Column, ...]
+
+
+def _id(kind: str, key: Key) -> Column:
+    return stable_id(kind.lower(), *(key if isinstance(key, tuple) else (key,)))
+
+
+def _node(df: DataFrame, kind: str, key: Key, label: Column, entity: Column | None = None, scope: str = "OBSERVED",
           window: Column | None = None) -> DataFrame:
     null = F.lit(None)
-    return df.select(stable_id(kind.lower(), key).alias("id"), F.lit(kind).alias("node_type"), label.cast("string").alias("label"),
+    return df.select(_id(kind, key).alias("id"), F.lit(kind).alias("node_type"), label.cast("string").alias("label"),
                      (entity if entity is not None else null).cast("string").alias("entity_key"), F.lit(scope).alias("scope"),
                      (window if window is not None else null).cast("bigint").alias("window"))
 
 
-def _edge(df: DataFrame, kind: str, src_kind: str, src: Column, dst_kind: str, dst: Column) -> DataFrame:
-    a, b = stable_id(src_kind.lower(), src), stable_id(dst_kind.lower(), dst)
+def _edge(df: DataFrame, kind: str, src_kind: str, src: Key, dst_kind: str, dst: Key) -> DataFrame:
+    a, b = _id(src_kind, src), _id(dst_kind, dst)
     return df.select(a.alias("source_id"), b.alias("target_id"), F.lit(kind).alias("edge_type"))
 
 
@@ -34,17 +42,17 @@ def build_graph(sessions: DataFrame, findings: DataFrame, beacons: DataFrame, ep
     only ends that exist as nodes.
     """
     s = shared(sessions.groupBy("src_ip", "dst_ip", "dst_port").agg(F.count("*").alias("n")))
-    skey = F.concat_ws(":", "src_ip", "dst_ip", c("dst_port").cast("string"))
+    skey = (c("src_ip"), c("dst_ip"), c("dst_port"))
     f, b = findings, beacons.filter("is_beaconing")
-    bkey = F.concat_ws(":", "src_ip", "dst_ip", c("dst_port").cast("string"), "protocol")
-    ckey = F.concat_ws(":", "entity", c("bucket").cast("string"), "change_type")
+    bkey = (*skey, c("protocol"))
+    ckey = (c("entity"), c("bucket"), c("change_type"))
     tech = F.when(F.lower("attack_category").rlike("scan|recon"), "T1046").when(F.lower("attack_category").rlike("dos|flood"), "T1498")
     ft = f.withColumn("_t", tech).filter("_t IS NOT NULL")
-    skey_state = lambda col: F.concat_ws(":", "entity", col)
+    skey_state = lambda col: (c("entity"), c(col))
     nodes = [
         _node(s, "IP", c("src_ip"), c("src_ip"), c("src_ip")), _node(s, "IP", c("dst_ip"), c("dst_ip"), c("dst_ip")),
         _node(f, "IP", c("entity"), c("entity"), c("entity")),
-        _node(s, "PORT", c("dst_port"), c("dst_port"), c("dst_port")), _node(s, "TCP_SESSION", skey, skey, c("src_ip")),
+        _node(s, "PORT", c("dst_port"), c("dst_port"), c("dst_port")), _node(s, "TCP_SESSION", skey, F.concat_ws(":", *skey), c("src_ip")),
         _node(f, "FINDING", c("finding_id"), c("attack_category"), c("entity"), window=c("bucket")),
         _node(ft, "MITRE_TECHNIQUE", c("_t"), c("_t"), c("_t")), _node(b, "BEHAVIOR_SIGNAL", bkey, F.lit("beaconing"), c("src_ip")),
         _node(episodes, "EPISODE", c("episode_id"), c("categories"), c("entity"), window=c("start_window")),
@@ -143,6 +151,58 @@ def backward_trace(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return seen
 
 
+def parent_pointers(edges: DataFrame, kinds: Sequence[str] = ("DERIVED_FROM", "INDICATES", "FORECASTS")) -> DataFrame:
+    """``id, parent``: the one node a backward trace goes on to: the target of a node's own edge, else the source of an edge of
+    ``kinds`` that points to it; of several the smallest id. Nodes with neither have no row."""
+    own = edges.groupBy(c("source_id").alias("id")).agg(F.min("target_id").alias("_own"))
+    held = edges.filter(c("edge_type").isin(*kinds)).groupBy(c("target_id").alias("id")).agg(F.min("source_id").alias("_held"))
+    return own.join(held, "id", "full").select("id", F.coalesce("_own", "_held").alias("parent"))
+
+
+def trace_roots(parents: DataFrame, starts: DataFrame) -> DataFrame:
+    """``start, root, depth, cyclic`` for each start (``id``): where its chain of parents ends, and after how many steps.
+
+    Pointer doubling: round ``k`` knows the node ``2**k`` steps up, so the rounds are the logarithm of the longest chain, and
+    every round is one join of the pointers with themselves. A chain that runs into a cycle has no end: its root is the
+    smallest id of that cycle, ``cyclic`` is true and ``depth`` is null. A start without a parent is its own root.
+    """
+    first = parents.filter("parent IS NOT NULL").select("id", "parent").groupBy("id").agg(F.min("parent").alias("parent"))
+    known = first.select("id").unionByName(first.select(c("parent").alias("id"))).unionByName(starts.select("id")).distinct()
+    # up: the node reached, steps: how many it took, open: whether the chain goes on, low: the smallest id on the way, the start included
+    now = durable(known.join(first, "id", "left").select("id", F.coalesce("parent", "id").alias("up"), c("parent").isNotNull().cast("bigint").alias("steps"),
+                                                         c("parent").isNotNull().alias("open"), c("id").alias("low")))
+    n, reach = now.count(), 1
+    while True:
+        far = now.select(c("id").alias("up"), c("up").alias("_up"), c("steps").alias("_steps"), c("open").alias("_open"), c("low").alias("_low"))
+        now = durable(now.join(far, "up").select("id", c("_up").alias("up"), (c("steps") + c("_steps")).alias("steps"), c("_open").alias("open"), F.least("low", "_low").alias("low")))
+        reach *= 2
+        # a chain that goes on after as many steps as there are nodes is a cycle
+        if reach >= n or now.filter("open").isEmpty():
+            break
+    ring = now.filter("open").select(c("id").alias("up"), c("low").alias("_ring"))
+    out = starts.select("id").distinct().join(now, "id").join(ring, "up", "left")
+    return out.select(c("id").alias("start"), F.coalesce("_ring", "up").alias("root"), F.when(c("_ring").isNull(), c("steps")).alias("depth"), c("_ring").isNotNull().alias("cyclic"))
+
+
+def trace_path(parents: DataFrame, starts: DataFrame) -> DataFrame:
+    """``start, depth, id``: the whole chain of each start, a row a step, the start at depth 0; a cycle is walked once.
+
+    The known part of each path is doubled in every round.
+    """
+    jump = durable(parents.filter("parent IS NOT NULL").groupBy("id").agg(F.min("parent").alias("up")))
+    path = durable(starts.select(c("id").alias("start"), F.lit(0).cast("bigint").alias("depth"), "id").distinct())
+    length = 1
+    while True:
+        more = path.join(jump, "id").select("start", (c("depth") + length).alias("depth"), c("up").alias("id"))
+        seen = path.unionByName(more).groupBy("start", "id").agg(F.min("depth").alias("depth"))
+        grown = durable(seen.select("start", "depth", "id"))
+        if grown.count() == path.count():
+            return grown
+        path, length = grown, 2 * length
+        far = jump.select(c("id").alias("up"), c("up").alias("_up"))
+        jump = durable(jump.join(far, "up").select("id", c("_up").alias("up")))
+
+
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     a = nodes.groupBy(F.lit("node_type").alias("kind"), c("node_type").alias("value")).agg(F.count("*").alias("n"))
     s = nodes.groupBy(F.lit("scope").alias("kind"), c("scope").alias("value")).agg(F.count("*").alias("n"))

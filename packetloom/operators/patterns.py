@@ -143,17 +143,46 @@ def incident_fingerprint(sessions: DataFrame, incident: str, is_attack: Column,
         "dominant_category": F.when(c("actor_count") > 0, "NETWORK_RECONNAISSANCE").otherwise("SUSPICIOUS_TRAFFIC")}).drop("_failed")
 
 
-def incident_correlate(fingerprints: DataFrame, members: DataFrame, incident: str) -> DataFrame:
-    """Related incident pairs that share an actor or a target, with relation and evolution.
+def incident_links(fingerprints: DataFrame, members: DataFrame, incident: str) -> DataFrame:
+    """Every incident linked to the representative (the smallest incident) of each actor and target it shares: one row per ``incident_a`` (representative) and ``incident_b``.
+
+    A shared item is a star, so rows grow with memberships: a gateway seen by 100,000 incidents is 99,999 links, not five billion
+    pairs. ``shared_actors`` and ``shared_targets`` count the stars that the representative leads and the incident is in;
+    relation and evolution are those of the two. Items come from attack sessions, and incidents that have some are all in the
+    same attack state, so all members of a star are related to its representative and to each other: components over links
+    equal components over pairs. ``incident_correlate`` lists the pairs themselves, for named incidents or all.
+    """
+    k = members.filter(c("kind").isin("ACTOR", "TARGET"))
+    lead = k.groupBy("kind", "item").agg(F.min(incident).alias("incident_a"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    p = k.withColumnRenamed(incident, "incident_b").join(lead, ["kind", "item"]).filter("incident_a <> incident_b")
+    return _relations(p.groupBy("incident_a", "incident_b").agg(*_shared()), fingerprints, members, incident)
+
+
+def _shared() -> list[Column]:
+    return [count_when(c("kind") == "ACTOR").alias("shared_actors"), count_when(c("kind") == "TARGET").alias("shared_targets")]
+
+
+def incident_correlate(fingerprints: DataFrame, members: DataFrame, incident: str, named: DataFrame | None = None) -> DataFrame:
+    """Related incident pairs that share an actor or a target, with relation and evolution; with ``named`` (a column ``incident``) those with a named incident.
 
     Candidate pairs come from the keys that identify infrastructure (actors and targets); the dimensions
     that nearly everyone shares (ports, protocols, states) are compared on the pair's fingerprints, so
-    they never generate pairs. Shared items are counted per pair before the fingerprints are joined.
+    they never generate pairs. Shared items are counted per pair before the fingerprints are joined. Without ``named`` the
+    result has all pairs of every shared item: ``incident_links`` grows with memberships instead.
     """
     k = members.filter(c("kind").isin("ACTOR", "TARGET"))
-    a, b = k.withColumnRenamed(incident, "incident_a"), k.withColumnRenamed(incident, "incident_b")
-    p = a.join(b, ["kind", "item"]).filter("incident_a < incident_b").groupBy("incident_a", "incident_b").agg(
-        count_when(c("kind") == "ACTOR").alias("shared_actors"), count_when(c("kind") == "TARGET").alias("shared_targets"))
+    some = k if named is None else k.join(named.select(incident).distinct(), incident, "left_semi")
+    p = some.withColumnRenamed(incident, "_x").join(k.withColumnRenamed(incident, "_y"), ["kind", "item"])
+    if named is None:
+        p = p.filter("_x < _y")
+    p = p.filter("_x <> _y").select("kind", "item", F.least("_x", "_y").alias("incident_a"), F.greatest("_x", "_y").alias("incident_b"))
+    if named is not None:
+        p = p.distinct()  # two named incidents meet from both sides
+    return _relations(p.groupBy("incident_a", "incident_b").agg(*_shared()), fingerprints, members, incident)
+
+
+def _relations(p: DataFrame, fingerprints: DataFrame, members: DataFrame, incident: str) -> DataFrame:
+    """Relation and evolution of pairs ``incident_a, incident_b, shared_actors, shared_targets``."""
     ports = members.filter("kind = 'PORT'").groupBy(incident).agg(F.collect_set("item").alias("_ports"))  # at most 65,536 ports
     f = fingerprints.join(ports, incident, "left").withColumn("_ports", F.coalesce("_ports", F.array().cast("array<string>")))
     cols = ("target_count", "protocols", "failure_ratio", "attack_state", "dominant_category", "_ports")

@@ -15,36 +15,39 @@ from packetloom.session import shared
 
 HASH = lambda kind, key: f"'{kind}_' || sha256(replace(replace(CAST({key} AS VARCHAR), chr(92), chr(92) || chr(92)), ':', chr(92) || ':'))"
 cte("fid_v", "SELECT *, 'f-' || entity || '-' || bucket || '-' || attack_category AS finding_id FROM fe_v")
-cte("ks_v", "SELECT DISTINCT src_ip, dst_ip, dst_port, src_ip || ':' || dst_ip || ':' || dst_port AS k FROM flows_v")
+ESC = lambda key: f"coalesce(replace(replace(CAST({key} AS VARCHAR), chr(92), chr(92) || chr(92)), ':', chr(92) || ':'), chr(92) || 'N')"
+KEYED = lambda kind, *keys: f"'{kind}_' || sha256({" || ':' || ".join(map(ESC, keys))})"
+SESSION = KEYED("tcp_session", "src_ip", "dst_ip", "dst_port")
+cte("ks_v", "SELECT DISTINCT src_ip, dst_ip, dst_port FROM flows_v")
 cte("kg_nodes", f"""
 SELECT id, min(node_type) AS node_type, min(entity_key) AS entity_key, min(scope) AS scope, min(win) AS win FROM (
  SELECT {HASH('ip', 'src_ip')} AS id, 'IP' AS node_type, src_ip AS entity_key, 'OBSERVED' AS scope, NULL::BIGINT AS win FROM ks_v UNION ALL
  SELECT {HASH('ip', 'dst_ip')}, 'IP', dst_ip, 'OBSERVED', NULL FROM ks_v UNION ALL SELECT {HASH('ip', 'entity')}, 'IP', entity, 'OBSERVED', NULL FROM fid_v UNION ALL
- SELECT {HASH('port', 'dst_port')}, 'PORT', CAST(dst_port AS VARCHAR), 'OBSERVED', NULL FROM ks_v UNION ALL SELECT {HASH('tcp_session', 'k')}, 'TCP_SESSION', src_ip, 'OBSERVED', NULL FROM ks_v UNION ALL
+ SELECT {HASH('port', 'dst_port')}, 'PORT', CAST(dst_port AS VARCHAR), 'OBSERVED', NULL FROM ks_v UNION ALL SELECT {SESSION}, 'TCP_SESSION', src_ip, 'OBSERVED', NULL FROM ks_v UNION ALL
  SELECT {HASH('finding', 'finding_id')}, 'FINDING', entity, 'OBSERVED', bucket FROM fid_v UNION ALL
  SELECT {HASH('mitre_technique', 't')}, 'MITRE_TECHNIQUE', t, 'OBSERVED', NULL FROM (SELECT CASE attack_category WHEN 'port_scan' THEN 'T1046' WHEN 'dos_flood' THEN 'T1498' END AS t FROM fe_v) WHERE t IS NOT NULL UNION ALL
- SELECT {HASH('behavior_signal', "src_ip || ':' || dst_ip || ':' || dst_port || ':' || protocol")}, 'BEHAVIOR_SIGNAL', src_ip, 'OBSERVED', NULL FROM be_v UNION ALL
+ SELECT {KEYED('behavior_signal', 'src_ip', 'dst_ip', 'dst_port', 'protocol')}, 'BEHAVIOR_SIGNAL', src_ip, 'OBSERVED', NULL FROM be_v UNION ALL
  SELECT {HASH('episode', 'episode_id')}, 'EPISODE', entity, 'OBSERVED', start_window FROM epi_v UNION ALL
- SELECT {HASH('change_signal', "entity || ':' || bucket || ':' || change_type")}, 'CHANGE_SIGNAL', entity, 'OBSERVED', bucket FROM chg_v UNION ALL
+ SELECT {KEYED('change_signal', 'entity', 'bucket', 'change_type')}, 'CHANGE_SIGNAL', entity, 'OBSERVED', bucket FROM chg_v UNION ALL
  SELECT {HASH('campaign', 'campaign_id')}, 'CAMPAIGN', entity, 'OBSERVED', start_window FROM camp_v UNION ALL
  SELECT {HASH('pattern', 'pid')}, 'PATTERN', entity, 'OBSERVED', start_window FROM pid_v UNION ALL
- SELECT {HASH('attack_state', "entity || ':' || from_state")}, 'ATTACK_STATE', entity, 'OBSERVED', NULL FROM kt_v UNION ALL
- SELECT {HASH('attack_state', "entity || ':' || to_state")}, 'ATTACK_STATE', entity, 'OBSERVED', NULL FROM kt_v UNION ALL
+ SELECT {KEYED('attack_state', 'entity', 'from_state')}, 'ATTACK_STATE', entity, 'OBSERVED', NULL FROM kt_v UNION ALL
+ SELECT {KEYED('attack_state', 'entity', 'to_state')}, 'ATTACK_STATE', entity, 'OBSERVED', NULL FROM kt_v UNION ALL
  SELECT {HASH('forecast_signal', 'h')}, 'FORECAST_SIGNAL', NULL, 'FORECAST', NULL FROM (SELECT unnest(range(1, 6)) AS h)) GROUP BY 1""")
 cte("pid_v", """
 SELECT *, 'pat_' || (sha256(entity || ':' || CASE pattern_type WHEN 'VOLUME_AMPLIFICATION' THEN 'VOL_AMP' ELSE pattern_type END || ':' || start_window)) AS pid FROM pat_v""")
 cte("kg_edges", f"""
 SELECT DISTINCT * FROM (
- SELECT {HASH('ip', 'src_ip')} AS source_id, {HASH('tcp_session', 'k')} AS target_id, 'COMMUNICATES_WITH' AS edge_type FROM ks_v UNION ALL
- SELECT {HASH('tcp_session', 'k')}, {HASH('ip', 'dst_ip')}, 'TARGETS' FROM ks_v UNION ALL SELECT {HASH('tcp_session', 'k')}, {HASH('port', 'dst_port')}, 'USES_PORT' FROM ks_v UNION ALL
+ SELECT {HASH('ip', 'src_ip')} AS source_id, {SESSION} AS target_id, 'COMMUNICATES_WITH' AS edge_type FROM ks_v UNION ALL
+ SELECT {SESSION}, {HASH('ip', 'dst_ip')}, 'TARGETS' FROM ks_v UNION ALL SELECT {SESSION}, {HASH('port', 'dst_port')}, 'USES_PORT' FROM ks_v UNION ALL
  SELECT {HASH('finding', 'finding_id')}, {HASH('mitre_technique', "CASE attack_category WHEN 'port_scan' THEN 'T1046' ELSE 'T1498' END")}, 'MAPS_TO_TECHNIQUE' FROM fid_v WHERE attack_category <> 'exploit_attempt' UNION ALL
- SELECT {HASH('behavior_signal', "src_ip || ':' || dst_ip || ':' || dst_port || ':' || protocol")}, {HASH('finding', 'finding_id')}, 'INDICATES' FROM be_v JOIN fid_v ON src_ip = entity UNION ALL
+ SELECT {KEYED('behavior_signal', 'src_ip', 'dst_ip', 'dst_port', 'protocol')}, {HASH('finding', 'finding_id')}, 'INDICATES' FROM be_v JOIN fid_v ON src_ip = entity UNION ALL
  SELECT {HASH('finding', 'finding_id')}, {HASH('episode', 'episode_id')}, 'PART_OF_EPISODE' FROM fid_v f JOIN epi_v e ON f.entity = e.entity AND f.bucket BETWEEN e.start_window AND e.end_window UNION ALL
- SELECT {HASH('ip', 'entity')}, {HASH('change_signal', "entity || ':' || bucket || ':' || change_type")}, 'MANIFESTS_CHANGE' FROM chg_v UNION ALL
+ SELECT {HASH('ip', 'entity')}, {KEYED('change_signal', 'entity', 'bucket', 'change_type')}, 'MANIFESTS_CHANGE' FROM chg_v UNION ALL
  SELECT {HASH('episode', 'episode_id')}, {HASH('campaign', 'campaign_id')}, 'PART_OF_CAMPAIGN' FROM epi_v e JOIN camp_v c ON e.entity = c.entity AND e.start_window >= c.start_window AND e.end_window <= c.end_window UNION ALL
  SELECT {HASH('ip', 'entity')}, {HASH('pattern', 'pid')}, 'PARTICIPATES_IN_PATTERN' FROM pid_v UNION ALL
- SELECT {HASH('attack_state', "entity || ':' || from_state")}, {HASH('attack_state', "entity || ':' || to_state")}, 'TRANSITIONS_TO' FROM kt_v WHERE from_state <> to_state UNION ALL
- SELECT {HASH('ip', 'entity')}, {HASH('attack_state', "entity || ':' || to_state")}, 'EXHIBITS_STATE' FROM kt_v UNION ALL
+ SELECT {KEYED('attack_state', 'entity', 'from_state')}, {KEYED('attack_state', 'entity', 'to_state')}, 'TRANSITIONS_TO' FROM kt_v WHERE from_state <> to_state UNION ALL
+ SELECT {HASH('ip', 'entity')}, {KEYED('attack_state', 'entity', 'to_state')}, 'EXHIBITS_STATE' FROM kt_v UNION ALL
  SELECT {HASH('finding', 'fid')}, {HASH('forecast_signal', 'h')}, 'TEMPORALLY_PRECEDES' FROM (SELECT arg_max(finding_id, lpad(CAST(bucket AS VARCHAR), 12, '0') || finding_id) AS fid FROM fid_v GROUP BY entity), (SELECT unnest(range(1, 6)) AS h))""")
 
 
@@ -72,6 +75,12 @@ register("gra17_kg_backward_trace", """
 WITH RECURSIVE s AS (SELECT DISTINCT target_id AS id, source_id AS prev FROM kg_edges),
 tr AS (SELECT id AS start, id FROM kg_nodes WHERE node_type = 'CAMPAIGN' UNION SELECT tr.start, s.prev FROM tr JOIN s ON s.id = tr.id)
 SELECT start, id FROM tr""")(lambda t: (lambda g: kg.backward_trace(g[1], g[0].filter("node_type = 'CAMPAIGN'").select("id")).select("start", "id"))(graph(t)))
+cte("par_v", """SELECT coalesce(o.id, h.id) AS id, coalesce(o.p, h.p) AS p FROM (SELECT source_id AS id, min(target_id) AS p FROM kg_edges GROUP BY 1) o
+ FULL JOIN (SELECT target_id AS id, min(source_id) AS p FROM kg_edges WHERE edge_type IN ('DERIVED_FROM', 'INDICATES', 'FORECASTS') GROUP BY 1) h ON o.id = h.id""")
+register("gra17_kg_parent_trace", """
+WITH RECURSIVE w AS (SELECT id AS start, id, 0::BIGINT AS depth FROM kg_nodes WHERE node_type IN ('FINDING', 'BEHAVIOR_SIGNAL') UNION ALL SELECT w.start, par_v.p, w.depth + 1 FROM w JOIN par_v ON par_v.id = w.id WHERE w.depth < 64)
+SELECT start, arg_max(id, depth) AS root, max(depth) AS depth, false AS cyclic FROM w GROUP BY 1""")(
+    lambda t: (lambda g: kg.trace_roots(kg.parent_pointers(g[1]), g[0].filter("node_type IN ('FINDING', 'BEHAVIOR_SIGNAL')").select("id")))(graph(t)))
 register("gra18_kg_stats", """
 SELECT 'node_type' AS kind, node_type AS value, count(*) AS n FROM kg_nodes GROUP BY 2 UNION ALL SELECT 'scope', scope, count(*) FROM kg_nodes GROUP BY 2 UNION ALL SELECT 'edge_type', edge_type, count(*) FROM kg_edges GROUP BY 2""")(
     lambda t: kg.graph_stats(*graph(t)))
@@ -203,6 +212,27 @@ def pat8(spark, d):
     return pt.incident_correlate(fp, m, "incident")
 
 
+LINK_SQL = """
+WITH l AS (SELECT kind, item, min(incident) AS a FROM im_v GROUP BY 1, 2 HAVING count(*) > 1),
+s AS (SELECT a AS incident_a, incident AS incident_b, count(*) FILTER (WHERE kind = 'A') AS shared_actors, count(*) FILTER (WHERE kind = 'T') AS shared_targets FROM im_v JOIN l USING (kind, item) WHERE incident <> a GROUP BY 1, 2)
+SELECT s.*, concat_ws(',', CASE WHEN s.shared_actors > 0 THEN 'ENTITY_OVERLAP' END, CASE WHEN s.shared_targets > 0 THEN 'TARGET_OVERLAP' END, CASE WHEN supporting_dimensions LIKE '%PORT_PATTERN%' THEN 'PORT_PATTERN_SIMILARITY' END,
+ CASE WHEN supporting_dimensions LIKE '%SCAN_DYNAMICS%' THEN 'SCAN_DYNAMICS_SIMILARITY' END, 'ATTACK_STATE_SIMILARITY', 'MITRE_TECHNIQUE_OVERLAP') AS supporting_dimensions, relationship,
+ CASE WHEN s.shared_actors = 0 AND supporting_dimensions LIKE '%PORT_PATTERN%' THEN 'CHANGING_INFRASTRUCTURE' WHEN s.shared_targets > 0 AND y.target_count > x.target_count THEN 'EXPANDING_TARGET_SCOPE' ELSE 'REPEATED_RECONNAISSANCE' END AS evolution
+FROM s JOIN corr_v USING (incident_a, incident_b) JOIN fp_v x ON x.incident = incident_a JOIN fp_v y ON y.incident = incident_b"""
+
+
+@query("pat8_incident_links", LINK_SQL)
+def pat8_links(spark, d):
+    return pt.incident_links(*incidents(spark, d), "incident")
+
+
+@query("pat8_named_incidents", "SELECT * FROM corr_v WHERE incident_a IN (SELECT min(incident) FROM im_v UNION ALL SELECT max(incident) FROM im_v) OR incident_b IN (SELECT min(incident) FROM im_v UNION ALL SELECT max(incident) FROM im_v)")
+def pat8_named(spark, d):
+    fp, m = incidents(spark, d)
+    ends = m.filter("kind IN ('ACTOR', 'TARGET')").agg(F.array(F.min("incident"), F.max("incident")).alias("x")).select(F.explode("x").alias("incident"))
+    return pt.incident_correlate(fp, m, "incident", ends)
+
+
 @query("pat9_campaign_clusters", """
 WITH RECURSIVE e AS (SELECT incident_a AS a, incident_b AS b FROM corr_v WHERE relationship = 'RELATED_CAMPAIGN' UNION SELECT incident_b, incident_a FROM corr_v WHERE relationship = 'RELATED_CAMPAIGN'),
 reach AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM reach r JOIN e ON r.y = e.a), c AS (SELECT x, min(y) AS component FROM reach GROUP BY 1)
@@ -210,7 +240,7 @@ SELECT component, count(*) AS members, min(first_window) AS first_window, max(la
  'cluster_' || (sha256(component)) AS cluster_id FROM c JOIN fp_v ON x = incident GROUP BY 1 HAVING count(*) > 1""")
 def pat9(spark, d):
     fp, m = incidents(spark, d)
-    return pt.campaign_clusters(pt.incident_correlate(fp, m, "incident"), fp, "incident")
+    return pt.campaign_clusters(pt.incident_links(fp, m, "incident"), fp, "incident")
 
 
 def story_events(t):
