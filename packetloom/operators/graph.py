@@ -326,7 +326,8 @@ def world_diff(entities: DataFrame, relationships: DataFrame, a: Column, b: Colu
 def entity_timeline_grid(entities: DataFrame, entity: str | None = None) -> DataFrame:
     """Every observed window of each entity's capture, with NOT_OBSERVED rows where it was absent.
 
-    Absent stretches are generated per entity from its gaps to the next observation, so the work is
+    Meant for one ``entity``: a grid of all of them has entities x windows rows (``presence_intervals`` says the same in as
+    many rows as there are observations). Absent stretches are generated from the gap to the next observation, so the work is
     the size of the result.
     """
     e = entities if entity is None else entities.filter(F.col("entity") == entity)
@@ -340,4 +341,28 @@ def entity_timeline_grid(entities: DataFrame, entity: str | None = None) -> Data
     gap = lambda lo, hi: F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
     holes = F.concat(gap(F.col("idx") + 1, F.col("_next") - 1), gap(F.lit(1), F.col("_lead") - 1))
     miss = x.select("entity", F.explode(holes).alias("idx")).withColumn("presence", F.lit("NOT_OBSERVED"))
-    return own.unionByName(miss, allowMissingColumns=True).join(F.broadcast(idx), "idx").drop("idx")
+    return own.unionByName(miss, allowMissingColumns=True).join(idx, "idx").drop("idx")
+
+
+def presence_intervals(entities: DataFrame) -> DataFrame:
+    """``entity, presence, first_bucket, last_bucket, windows``: each entity's time line as runs of one state, NOT_OBSERVED included.
+
+    The windows are those observed for anyone; a run goes on over windows that follow one another there. An observation
+    starts or prolongs a run and may end an absence, so rows grow with observations, not with entities x windows.
+    """
+    idx = observed_window_index(entities)
+    # one row per window of time
+    near = W.partitionBy(F.lit(0)).orderBy("idx")
+    idx = idx.withColumns({"_before": F.lag("bucket").over(near), "_after": F.lead("bucket").over(near)})
+    ends = idx.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"), F.max("idx").alias("n"))
+    first, last, n = (ends.select(x).scalar() for x in "abn")
+    x = entities.groupBy("entity", "bucket").agg(F.max("presence").alias("presence")).join(idx, "bucket")
+    w = W.partitionBy("entity").orderBy("idx")
+    island = F.col("idx") - F.row_number().over(W.partitionBy("entity", "presence").orderBy("idx"))
+    runs = x.withColumn("_run", island).groupBy("entity", "presence", "_run").agg(F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket"), F.count("*").alias("windows")).drop("_run")
+    at = x.withColumns({"_pi": F.lag("idx").over(w), "_pa": F.lag("_after").over(w), "_end": F.lead("idx").over(w).isNull()})
+    gap = lambda lo, hi, k: F.when(k > 0, F.struct(lo.alias("first_bucket"), hi.alias("last_bucket"), k.cast("bigint").alias("windows")))
+    holes = F.array_compact(F.array(gap(F.coalesce("_pa", first), F.col("_before"), F.col("idx") - F.coalesce("_pi", F.lit(0)) - 1),
+                                    gap(F.col("_after"), last, F.when(F.col("_end"), n - F.col("idx")))))
+    absent = at.select("entity", F.lit("NOT_OBSERVED").alias("presence"), F.explode(holes).alias("_h")).select("entity", "presence", "_h.*")
+    return runs.unionByName(absent)

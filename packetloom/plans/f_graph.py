@@ -232,6 +232,15 @@ def gra11(spark, d):
     return gr.entity_timeline_grid(ents(spark, d))
 
 
+@query("gra11_presence_intervals", """
+WITH w AS (SELECT bucket, row_number() OVER (ORDER BY bucket) AS i FROM (SELECT DISTINCT bucket FROM ent_v)),
+g AS (SELECT entity, i, w.bucket, coalesce(presence, 'NOT_OBSERVED') AS presence FROM (SELECT DISTINCT entity FROM ent_v) CROSS JOIN w LEFT JOIN ent_v USING (entity, bucket)),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY entity, presence ORDER BY i) AS run FROM g)
+SELECT entity, presence, min(bucket) AS first_bucket, max(bucket) AS last_bucket, count(*) AS windows FROM r GROUP BY entity, presence, run""")
+def gra11_intervals(spark, d):
+    return gr.presence_intervals(ents(spark, d))
+
+
 @query("ent3_host_profile", """
 WITH pr AS (SELECT bucket, src_ip AS ip, count(DISTINCT dst_port) AS ports FROM ge_v WHERE dst_port > 0 GROUP BY 1, 2),
 x AS (SELECT n.*, coalesce(ports, 0) AS probed_ports, CASE WHEN pf IS NULL THEN 0.0 ELSE least(1.0, abs(fan_out - pf) * 0.1::DOUBLE + least(0.5, abs(vol - pv) / greatest(1.0, pv) * 0.1::DOUBLE)) END AS tc

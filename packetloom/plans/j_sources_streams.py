@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from packetloom.functions.columns import r
 from packetloom.operators import features as ft, flows as fl
@@ -68,6 +68,27 @@ def src3(spark, d):
     return x.groupBy("label", "attack_family").agg(F.count("*").alias("n"), r(F.sum(col("ts") - 1499414400.0), 3).alias("offset_sum"), r(F.sum("flow_bytes_s"), 3).alias("bytes"))
 
 
+THIRD = "CAST(floor(event_id * 3 / (SELECT max(event_id) + 1 FROM ev_k)) AS INT)"
+
+
+@query("src3_cic_folder", f"""
+SELECT label, attack_family, count(*) AS n, round(sum(pos * 0.1::DOUBLE), 3) AS offset_sum, round(sum(value), 3) AS bytes FROM (
+ SELECT CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS label, CASE event_type WHEN 'view' THEN 'BENIGN' ELSE 'DoS ' || event_type END AS attack_family, value, k,
+  row_number() OVER (PARTITION BY {THIRD} ORDER BY event_id) - 1 AS pos FROM ev_k) WHERE k <> 9 GROUP BY 1, 2""")
+def src3_folder(spark, d):
+    """Three files of the corpus; each counts its own rows, those with a missing cell too."""
+    e = events(spark, d)
+    third = F.floor(col("event_id") * 3 / e.agg(F.max("event_id") + 1).scalar()).cast("int")
+    label = F.when(col("event_type") == "view", "benign").otherwise(F.concat(F.lit("DoS   "), "event_type"))
+    line = F.when(col("k") == 9, F.concat_ws(",", label)).otherwise(F.concat_ws(",", label, col("value").cast("string")))
+    rows = e.select("event_id", third.alias("third"), line.alias("value")).withColumn("first", F.row_number().over(Window.partitionBy("third").orderBy("event_id")) == 1)
+    lines = rows.select("third", "event_id", F.posexplode(F.when(col("first"), F.array(F.lit(" Label, Flow Bytes/s"), "value")).otherwise(F.array("value"))).alias("pos", "value"))
+    folder = live.stream_root(spark)
+    lines.repartitionById(3, "third").sortWithinPartitions("event_id", "pos").select("value").write.text(folder)
+    x = corpora.read_labelled_csv(spark, folder)
+    return x.groupBy("label", "attack_family").agg(F.count("*").alias("n"), r(F.sum(col("ts") - 1499414400.0), 3).alias("offset_sum"), r(F.sum("flow_bytes_s"), 3).alias("bytes"))
+
+
 @query("src4_toniot_csv", """
 SELECT CASE WHEN k % 3 = 0 THEN 1 WHEN k % 3 = 1 THEN 0 END AS label, CASE WHEN k % 3 = 0 THEN event_type WHEN k % 3 = 1 THEN 'BENIGN' END AS attack_family, count(*) AS n, CAST(sum(CASE WHEN k < 30 THEN 0 ELSE k END) AS DOUBLE) AS src_bytes
 FROM ev_k WHERE event_type <> 'signup' GROUP BY 1, 2""")
@@ -99,6 +120,24 @@ def src5(spark, d):
     return logs.zeek_tsv(conn_lines(spark, d)).groupBy("conn_state").agg(F.count("*").alias("n"), F.count("duration").alias("with_duration"))
 
 
+@query("src5_zeek_headers", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST(sum(k) AS BIGINT) AS k, count(*) FILTER (WHERE floor(event_id / 100) % 2 = 0) AS with_proto FROM ev_k GROUP BY 1")
+def src5_headers(spark, d):
+    """Concatenated logs: a new header, with another choice and order of fields, every hundred lines."""
+    e = events(spark, d).withColumn("hundred", F.floor(col("event_id") / 100))
+    first = F.row_number().over(Window.partitionBy("hundred").orderBy("event_id")) == 1
+    cells = {True: ["uid", "service", "port", "proto"], False: ["port", "uid", "service"]}
+    text = {"uid": col("event_id").cast("string"), "service": col("event_type"), "port": col("k").cast("string"), "proto": F.lit("tcp")}
+    even = col("hundred") % 2 == 0
+    line = F.when(even, F.concat_ws("\t", *[text[n] for n in cells[True]])).otherwise(F.concat_ws("\t", *[text[n] for n in cells[False]]))
+    head = F.when(even, F.lit("#fields\t" + "\t".join(cells[True]))).otherwise(F.lit("#fields\t" + "\t".join(cells[False])))
+    lines = e.withColumn("first", first).select("hundred", "event_id", F.posexplode(F.when(col("first"), F.array(F.lit("#separator \\x09"), head, line)).otherwise(F.array(line))).alias("pos", "value"))
+    folder = live.stream_root(spark)
+    # files end between headers; lines keep their order inside
+    lines.repartitionByRange("hundred").sortWithinPartitions("hundred", "event_id", "pos").select("value").write.text(folder)
+    x = logs.zeek_logs(spark, folder, ["service", "uid", "port", "proto"])
+    return x.groupBy(col("service").alias("event_type")).agg(F.count("*").alias("n"), F.sum(col("uid").cast("bigint")).alias("ids"), F.sum(col("port").cast("bigint")).alias("k"), F.count("proto").alias("with_proto"))
+
+
 @query("src5_zeek_json", "SELECT 'h' || (k % 20) AS server, count(*) AS n FROM ev_k WHERE event_type <> 'error' GROUP BY 1")
 def src5_json(spark, d):
     e = events(spark, d)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from packetloom.operators.clean import normalize_column_names
+from packetloom.sources.ordered import placed, with_ordinal
 
 c = F.col
 WIDTH = 49
@@ -41,6 +42,19 @@ def labelled_csv(rows: DataFrame, ordinal: str, base_ts: float = 1499414400.0) -
                     F.when(benign, "BENIGN").otherwise(F.regexp_replace(raw, r"\s+", " ")).alias("attack_family"), *[finite(n).alias(n) for n in feats])
 
 
+def read_labelled_csv(spark: SparkSession, path: str, base_ts: float = 1499414400.0) -> DataFrame:
+    """:func:`labelled_csv` over the CSV files of a folder; a row's time counts the rows above it in its own file.
+
+    All files have the header of the first. Rows with too few or too many cells count, but are dropped.
+    """
+    names = spark.read.csv(path, header=True).columns
+    raw = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join(f"{n} string" for n in [*raw, "_bad"])
+    rows = placed(spark.read.csv(path, header=True, schema=schema, columnNameOfCorruptRecord="_bad", mode="PERMISSIVE").select(*raw, "_bad", "_metadata")).drop("_metadata")
+    rows = with_ordinal(rows, "_row").filter("_bad IS NULL").drop("_bad")
+    return labelled_csv(rows.toDF(*names, "row_ordinal_of_file"), "row_ordinal_of_file", base_ts)
+
+
 def dash_zero(col: Column | str) -> Column:
     """``-`` and unreadable numbers count as 0 in this corpus."""
     col = c(col) if isinstance(col, str) else col

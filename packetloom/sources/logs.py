@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from packetloom.functions.columns import choose, private_ip
+from packetloom.sources.ordered import last_above, placed
 
 c = F.col
 
@@ -36,14 +37,20 @@ def zeek_json(lines: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def zeek_logs(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """The named fields of all Zeek logs under ``path``, as text: each file by its own ``#fields`` line, JSON lines by name.
+    """The named fields of all Zeek logs under ``path``, as text: each line by the latest ``#fields`` line above it, JSON lines by name.
 
-    Rotated logs may order or choose their fields differently; a field that a file lacks is NULL. A file has one header.
-    Short rows, broken JSON and TSV files without a header give no rows. Headers are joined by file name, one row per file.
+    Rotated and concatenated logs may order or choose their fields differently; a field that a header lacks is NULL. Lines
+    above a file's first header, short rows and broken JSON give no rows; long rows are cut. Files with one header, as a rule
+    all, take it from a join by file name; only lines of files with several are put in order.
     """
-    lines = spark.read.text(path).select("value", c("_metadata.file_path").alias("_file"))
-    heads = lines.filter(c("value").startswith("#fields")).groupBy("_file").agg(F.split(F.min("value"), "\\s+").alias("_names"))
-    body = lines.filter((F.trim("value") != "") & ~c("value").startswith("#")).join(heads, "_file", "left")
+    lines = placed(spark.read.text(path).select("value", "_metadata"))
+    names = F.when(c("value").startswith("#fields"), F.split(F.trim("value"), "\\s+"))
+    heads = lines.filter(c("value").startswith("#fields")).groupBy("_file").agg(F.min(F.struct("_block", "_id", names.alias("names"))).alias("_head"), F.count("*").alias("_heads"))
+    many = heads.filter("_heads > 1").select("_file")
+    plain = lines.join(many, "_file", "left_anti").join(heads.filter("_heads = 1").select("_file", "_head"), "_file", "left")
+    plain = plain.withColumn("_names", c("_head.names")).drop("_head")
+    mixed = last_above(lines.join(many, "_file", "left_semi"), names, "_names")
+    body = plain.unionByName(mixed).filter((F.trim("value") != "") & ~c("value").startswith("#"))
     # the header's first word is "#fields", so a name's position is that of its cell plus one
     parts, obj = F.split("value", "\t"), F.from_json("value", "map<string,string>")
     cell = lambda n: F.nullif(F.get(parts, F.nullif(F.array_position("_names", n), F.lit(0)) - 2), F.lit("-"))
