@@ -51,6 +51,16 @@ def boxed(df: DataFrame, **more) -> DataFrame:
     return df.select(F.struct("*").alias("_d"), *[value.alias(name) for name, value in more.items()])
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` boxed, with a row number ``_row``, written once: every later read has the same numbers, whatever its splits.
+
+    A number made anew by each read would depend on how files are split, and so on the executors of the moment.
+    """
+    path, rows = scratch(docs.sparkSession, name), boxed(docs, _row=F.monotonically_increasing_id())
+    rows.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def unboxed(df: DataFrame) -> DataFrame:
     return df.select("_d.*")
 

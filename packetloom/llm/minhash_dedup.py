@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from packetloom.llm.common import as_bytes, boxed, query, slices, staged, table, unboxed
+from packetloom.llm.common import as_bytes, numbered, query, slices, staged, table, unboxed
 from packetloom.llm.components import components
 
 U = np.uint64
@@ -228,10 +228,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each near-duplicate group: that of the smallest id. Rows without an id stay.
 
     Groups are of rows, by their number: rows that repeat an id with unrelated texts are no group, and rows of one id that are
-    near copies keep one. ``docs`` must be a written table.
+    near copies keep one. Rows are numbered in a copy of ``docs`` that is written first. Null, empty and blank texts stay; an
+    empty table gives an empty one.
     """
-    held = boxed(docs, _row=F.monotonically_increasing_id(), _id=F.col(id_col).cast("long"), _text=F.col(text_col).cast("string"))
-    rows = held.select("_row", "_id", "_text").filter("_id is not null")
+    held = numbered(docs, "near-dedup")
+    own = F.col("_d").getField
+    rows = held.select("_row", own(id_col).cast("long").alias("_id"), own(text_col).cast("string").alias("_text")).filter("_id is not null")
     marks = minhash_components(rows, "_row", "_text", **options).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
     # only groups of several rows lose any
     many = staged(marks.groupBy("_component").agg(F.count("*").alias("n")).filter("n > 1").select("_component"), "groups")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packetloom.functions.ordered import global_row_number
-from packetloom.llm.common import boxed, join_lookup, query, staged, table, unboxed
+from packetloom.llm.common import join_lookup, numbered, query, staged, table, unboxed
 
 #: White-space separated words: the size of a text.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,7 +90,7 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int)
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", total_share: float = 1.5, most: float = 2.0,
-                weights: tuple[float, ...] = WEIGHTS, seed: int = 29) -> DataFrame:
+                weights: tuple[float, ...] = WEIGHTS, seed: int = 29, row_col: str | None = None) -> DataFrame:
     """``row, doc_id, size, source, source_size, target, copies, taken``: how often the mix takes each input row.
 
     A source whose target passes its size gives every document once (or more often) and the rest of its target again.
@@ -98,11 +98,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     and that many documents of each length are chosen by a seeded hash of id and row. The plan per source holds its
     distinct lengths only, which the longest document bounds.
 
-    ``row`` numbers the input rows. Null texts have size 0, null sources are one source (the last). Null or repeated ids are
+    ``row`` numbers the input rows; with ``row_col`` it is that column. Null texts have size 0, null sources are one source (the last). Null or repeated ids are
     separate documents. Empty texts are chosen like any other length and add nothing; a source without words is not taken.
     """
     text = F.col(text_col).cast("string")
-    sizes = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+    sizes = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sizes = staged(sizes.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "source", "size")), "sizes")
     targets = staged(source_targets(sizes, total_share, most, weights), "targets")
@@ -127,13 +127,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     return out.withColumn("copies", copies).select("row", "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """``docs`` as the mix takes them: rows it doesn't take are left out, rows it takes twice appear twice.
 
-    ``docs`` must be a written table, whose rows are numbered alike on every read.
+    Rows are numbered in a copy of ``docs`` that is written first. Null and empty texts have no words and are chosen like any other
+    length; a source without words is not taken, and an empty table gives an empty one.
     """
-    marks = mix_sources(docs, **options).filter("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
-    both = boxed(docs, _row=F.monotonically_increasing_id()).join(marks, "_row").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    held = numbered(docs, "mixing")
+    own = F.col("_d").getField
+    narrow = held.select("_row", own(id_col).alias("id"), own(source_col).alias("source"), own(text_col).alias("text"))
+    marks = mix_sources(narrow, "id", "source", "text", row_col="_row", **options).filter("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
+    both = held.join(marks, "_row").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return unboxed(both)
 
 

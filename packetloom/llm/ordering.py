@@ -116,10 +116,24 @@ def write_shards(docs: DataFrame, folder: str, length: int = 2048, per_shard: in
     A shard is written under a name of its task attempt and then renamed, so a lost executor or a second attempt leaves one
     whole file with the same bytes. ``folder`` is any place pyarrow's file systems reach from the executors.
 
-    Sequences are numbered by input partition; ``docs`` must be a written table, split alike on both passes. Null and empty
-    texts are an end id alone; null or repeated ids are separate documents. An empty table gives no shards and no rows.
+    Sequences are numbered by input partition. ``docs`` must be a written table; the count that its split size goes by is fixed
+    for both passes, so executors that come or go between them move no border. The shards are written before the call
+    returns, the result is a written table too. Null and empty texts are an end id alone; null or repeated ids are separate
+    documents. An empty table gives no shards and no rows.
     """
-    path = path or tokenizer_path()
+    conf, splits = docs.sparkSession.conf, "spark.sql.files.minPartitionNum"
+    before = conf.get(splits, None)
+    if before is None:
+        conf.set(splits, conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(docs.sparkSession.sparkContext.defaultParallelism))
+    try:
+        return staged(_written(docs, folder, length, per_shard, key, path or tokenizer_path(), id_col, text_col, end), "manifest")
+    finally:
+        if before is None:
+            conf.unset(splits)
+
+
+def _written(docs: DataFrame, folder: str, length: int, per_shard: int, key: int, path: str, id_col: str, text_col: str, end: int) -> DataFrame:
+    """Both passes of ``write_shards``; shards are written when the result is."""
     counts = sorted(_sequences(docs, path, length, id_col, text_col, end).collect())  # one row per input partition
     ends = np.cumsum([r.n for r in counts]).tolist() or [0]
     total, begins = ends[-1], {r.part: e - r.n for r, e in zip(counts, ends)}
@@ -188,6 +202,6 @@ def read_shards(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFr
 @query("op10_training_order")
 def op10_training_order(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch(spark, "shards")
-    manifest = staged(write_shards(table(spark, d, "documents"), folder), "manifest")
+    manifest = write_shards(table(spark, d, "documents"), folder)
     read = read_shards(spark, manifest, folder).withColumnRenamed("ids_crc32", "read_crc32")
     return manifest.join(read, "slot").select("sequence_id", "first_doc", "n_tokens", "slot", "shard", "place", "byte_offset", "read_crc32", (F.col("ids_crc32") == F.col("read_crc32")).alias("intact"))

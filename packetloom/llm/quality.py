@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from packetloom.llm.common import as_bytes, boxed, join_lookup, query, slices, staged, table, unboxed
+from packetloom.llm.common import as_bytes, join_lookup, numbered, query, slices, staged, table, unboxed
 
 FEATURES = ["symbols", "upper", "digits", "bars", "distinct", "again", "word_bytes", "stops", "same_lines", "log_words"]
 SYMBOLS, UPPER, DIGITS = b"#$%&*@^~|<>{}[]=+_\\/!", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
@@ -30,9 +30,9 @@ def features(text: bytes) -> list[float]:
             stops / n, 1 - len(set(lines)) / len(lines), np.log1p(n) / 10]
 
 
-def featured(docs: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
+def featured(docs: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, row_col: str | None = None) -> DataFrame:
     """``row, doc_id, host, path, blank, x`` per input row."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"),
+    rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"),
                        F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +102,7 @@ def _strength(groups: DataFrame, n: str, s: str, centre: Column) -> float:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang",
-                  label_col: str = "quality", threshold: float = 0.5, sample: int = 20_000, seed: int = 3) -> DataFrame:
+                  label_col: str = "quality", threshold: float = 0.5, sample: int = 20_000, seed: int = 3, row_col: str | None = None) -> DataFrame:
     """``row, doc_id, evidence, host_prior, path_prior, quality, kept`` per input row.
 
     ``evidence`` is the log-likelihood ratio of a logistic classifier trained on at most ``sample`` labelled documents. Its
@@ -112,10 +112,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     that it reaches ``threshold``.
 
     Null or blank texts have quality 0 and are not kept. Null hosts and paths are groups of their own. Null or repeated ids are
-    separate rows. Without labels of both classes every text is kept. ``row`` numbers the input rows, alike on every read of a
-    written table. Other columns play no part.
+    separate rows. Without labels of both classes every text is kept. ``row`` numbers the input rows; with ``row_col`` it is
+    that column. Other columns play no part.
     """
-    rows = staged(featured(docs, id_col, text_col, host_col, path_col), "features")
+    rows = staged(featured(docs, id_col, text_col, host_col, path_col, row_col), "features")
     w, share = train(rows, labels, id_col, label_col, sample, seed)
     k = len(FEATURES)
     terms = [F.lit(float(w[0]))] + [F.col("x")[i] * float(w[1 + i]) + F.col("x")[i] * F.col("x")[i] * float(w[1 + k + i]) for i in range(k)]
@@ -137,10 +137,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return out.withColumn("quality", quality).select("row", "doc_id", "evidence", "host_prior", "path_prior", "quality", (F.col("quality") >= threshold).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (a written table) that ``score_quality`` keeps, unchanged."""
-    kept = score_quality(docs, labels, **options).filter("kept").select(F.col("row").alias("_row"))
-    return unboxed(boxed(docs, _row=F.monotonically_increasing_id()).join(kept, "_row", "left_semi"))
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` that ``score_quality`` keeps, unchanged. Rows are numbered in a copy of ``docs`` that is written first.
+
+    Null, empty and blank texts go; an empty table gives an empty one.
+    """
+    held = numbered(docs, "quality")
+    narrow = held.select("_row", *[F.col("_d").getField(c).alias(n) for n, c in ((id_col, id_col), ("_text", text_col), ("_host", host_col), ("_path", path_col))])
+    kept = score_quality(narrow, labels, id_col, "_text", "_host", "_path", row_col="_row", **options).filter("kept").select(F.col("row").alias("_row"))
+    return unboxed(held.join(kept, "_row", "left_semi"))
 
 
 @query("op7_quality_classifier")

@@ -9,7 +9,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from packetloom.llm.common import boxed, join_lookup, query, staged, table
+from packetloom.llm.common import join_lookup, numbered, query, staged, table
 
 #: Kinds of spans in the order in which ties of position are listed.
 KINDS = ["assign", "access", "hex", "random"]
@@ -219,18 +219,19 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return both.withColumn("spans", F.expr("if(extra is null, base, sort_array(concat(base, extra)))")).drop("extra")
 
 
-def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
     """``docs`` with every secret span of the text replaced by ``[SECRET]``; overlapping spans give one mark. Every row stays.
 
-    ``length_col`` names a column that holds the text's code points and is set anew where the text changes. ``docs`` must be a
-    written table.
+    ``length_col`` names a column that holds the text's code points and is set anew where the text changes. Rows are numbered in
+    a copy of ``docs`` that is written first. Null and empty texts stay as they are; an empty table gives an empty one.
     """
-    marks = find_secrets(docs, id_col, text_col, **options).filter("size(spans) > 0").select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    numbered = boxed(docs, _row=F.monotonically_increasing_id(), _old=F.col(text_col).cast("string")).join(marks, "_row", "left")
+    held, own = numbered(docs, "secrets"), F.col("_d").getField
+    found_ = find_secrets(held.select("_row", own(text_col).alias("_text")), "_row", "_text", **options).filter("size(spans) > 0")
+    marks = found_.select(F.col("doc_id").alias("_row"), F.col("spans").alias("_spans"))
+    numbered_rows = held.withColumn("_old", own(text_col).cast("string")).join(marks, "_row", "left")
     step = ("(a, s) -> if(s.end <= a.pos, a, struct(s.end as pos, if(s.start < a.pos, a.out, concat(a.out, substring(_old, a.pos + 1, s.start - a.pos), '[SECRET]')) as out))")
     new = f"aggregate(_spans, struct(0 as pos, '' as out), {step}, a -> concat(a.out, substring(_old, a.pos + 1)))"
-    out = numbered.withColumn("_new", F.expr(f"if(_spans is null, _old, {new})"))
-    own = F.col("_d").getField
+    out = numbered_rows.withColumn("_new", F.expr(f"if(_spans is null, _old, {new})"))
     replaced = {text_col: F.col("_new")} | ({length_col: F.when(F.col("_spans").isNull(), own(length_col)).otherwise(F.length("_new"))} if length_col else {})
     return out.select(*[replaced.get(c, own(c)).alias(c) for c in docs.columns])
 

@@ -65,3 +65,23 @@ def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path, per_shard):
 
 def test_empty_table(spark, tmp_path):
     assert write_shards(spark.createDataFrame([], SCHEMA), str(tmp_path / "none")).count() == 0
+
+
+def test_more_executors_between_the_passes_move_no_border(spark, tmp_path, monkeypatch):
+    from packetloom.llm import ordering
+    rows = [(i, f"text {i} " * (i % 40), 1, "x") for i in range(400)]
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.option("parquet.block.size", 1024).parquet(str(tmp_path / "d"))
+    settings_ = {"spark.sql.files.openCostInBytes": "1", "spark.sql.leafNodeDefaultParallelism": "2"}
+    [spark.conf.set(k, v) for k, v in settings_.items()]
+    whole = write_shards(spark.read.parquet(str(tmp_path / "d")), str(tmp_path / "a"), length=64, key=5).toPandas()
+    plain = ordering._ranged
+
+    def grown(*args):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "16")
+        return plain(*args)
+
+    monkeypatch.setattr(ordering, "_ranged", grown)
+    again = write_shards(spark.read.parquet(str(tmp_path / "d")), str(tmp_path / "b"), length=64, key=5).toPandas()
+    [spark.conf.unset(k) for k in settings_]
+    key = ["slot", "sequence_id", "ids_crc32"]
+    assert whole[key].sort_values("slot").to_numpy().tolist() == again[key].sort_values("slot").to_numpy().tolist()
