@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from packetloom.session import checkpoint_root
@@ -51,14 +52,38 @@ def boxed(df: DataFrame, **more) -> DataFrame:
     return df.select(F.struct("*").alias("_d"), *[value.alias(name) for name, value in more.items()])
 
 
+#: A table of so many files has its list of file names broadcast (some 150 bytes each); a longer one is joined.
+BROADCAST_FILES = 200_000
+#: Plan nodes over a file scan that keep its rows as they are, or leave some out.
+PLAIN_NODES = {"Project", "Filter", "SubqueryAlias"}
+
+
+def _scanned(docs: DataFrame) -> bool:
+    """Whether ``docs`` is rows of files, each at most once."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in PLAIN_NODES:
+        node = node.children().apply(0)
+    return node.getClass().getSimpleName() == "LogicalRelation"
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` boxed, with a row number ``_row``, written once: every later read has the same numbers, whatever its splits.
+    """``docs`` boxed, with a row number ``_row`` that is the same on every read, whatever its splits and executors.
 
-    A number made anew by each read would depend on how files are split, and so on the executors of the moment.
+    Rows of Parquet files are numbered by file and place in the file, which need no copy. Anything else is written once with numbers;
+    a number that each read made anew would depend on how files are split, and so on the executors of the moment.
     """
-    path, rows = scratch(docs.sparkSession, name), boxed(docs, _row=F.monotonically_increasing_id())
-    rows.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+    try:
+        placed = docs.select(F.struct("*").alias("_d"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index")) if _scanned(docs) else None
+    except AnalysisException:  # not Parquet
+        placed = None
+    if placed is None:
+        path, rows = scratch(docs.sparkSession, name), boxed(docs, _row=F.monotonically_increasing_id())
+        rows.write.option("compression", "zstd").parquet(path)
+        return docs.sparkSession.read.schema(rows.schema).parquet(path)
+    # one row per file
+    nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_file")).cast("long")
+    files = staged(placed.select("_file").distinct().withColumn("_nth", nth), "files")
+    return join_lookup(placed, files, ["_file"], BROADCAST_FILES).select("_d", (F.shiftleft("_nth", 36) + F.col("_index")).alias("_row"))
 
 
 def unboxed(df: DataFrame) -> DataFrame:

@@ -228,7 +228,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each near-duplicate group: that of the smallest id. Rows without an id stay.
 
     Groups are of rows, by their number: rows that repeat an id with unrelated texts are no group, and rows of one id that are
-    near copies keep one. Rows are numbered in a copy of ``docs`` that is written first. Null, empty and blank texts stay; an
+    near copies keep one. Rows keep their numbers on every read (see ``numbered``). Null, empty and blank texts stay; an
     empty table gives an empty one.
     """
     held = numbered(docs, "near-dedup")

@@ -130,7 +130,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """``docs`` as the mix takes them: rows it doesn't take are left out, rows it takes twice appear twice.
 
-    Rows are numbered in a copy of ``docs`` that is written first. Null and empty texts have no words and are chosen like any other
+    Rows keep their numbers on every read (see ``numbered``). Null and empty texts have no words and are chosen like any other
     length; a source without words is not taken, and an empty table gives an empty one.
     """
     held = numbered(docs, "mixing")

@@ -138,7 +138,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` that ``score_quality`` keeps, unchanged. Rows are numbered in a copy of ``docs`` that is written first.
+    """The rows of ``docs`` that ``score_quality`` keeps, unchanged. Rows keep their numbers on every read (see ``numbered``).
 
     Null, empty and blank texts go; an empty table gives an empty one.
     """

@@ -222,8 +222,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:
     """``docs`` with every secret span of the text replaced by ``[SECRET]``; overlapping spans give one mark. Every row stays.
 
-    ``length_col`` names a column that holds the text's code points and is set anew where the text changes. Rows are numbered in
-    a copy of ``docs`` that is written first. Null and empty texts stay as they are; an empty table gives an empty one.
+    ``length_col`` names a column that holds the text's code points and is set anew where the text changes. Rows keep their
+    numbers on every read (see ``numbered``). Null and empty texts stay as they are; an empty table gives an empty one.
     """
     held, own = numbered(docs, "secrets"), F.col("_d").getField
     found_ = find_secrets(held.select("_row", own(text_col).alias("_text")), "_row", "_text", **options).filter("size(spans) > 0")

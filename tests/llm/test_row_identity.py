@@ -61,3 +61,12 @@ def test_an_empty_table_gives_an_empty_one(spark, folder, name):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     made = STAGES[name](docs.filter("false"), labels)
     assert made.dtypes == docs.dtypes and made.count() == 0
+
+
+def test_numbers_are_unique_with_and_without_a_copy(spark, folder):
+    docs = spark.read.parquet(folder)
+    doubled = docs.crossJoin(spark.range(2).withColumnRenamed("id", "extra"))
+    for df, n in ((docs, 602), (docs.filter("doc_id < 100").select("doc_id", "text"), 101), (doubled, 1204), (docs.unionByName(docs), 1204), (spark.createDataFrame([(1, "a")], "doc_id long, text string"), 1)):
+        held = common.numbered(df, "test")
+        assert held.count() == n == held.select("_row").distinct().count()
+        assert common.unboxed(held).dtypes == df.dtypes
