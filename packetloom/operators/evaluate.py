@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from packetloom.functions.columns import choose, count_when, r
+from packetloom.operators.solvers import Logistic, complete, newton_logistic, newton_logistics
 
 W = Window
 c = F.col
@@ -214,73 +215,62 @@ def rolling_origin(windows: DataFrame, folds: int = 5) -> DataFrame:
                                  count_when(te & pos).alias("test_attacks"))
 
 
-# --- spark.ml -----------------------------------------------------------------------------------------
-def _features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=list(columns), outputCol="raw", handleInvalid="skip").transform(df)
+# --- fitted models ------------------------------------------------------------------------------------
+def fit_logistic(train: DataFrame, columns: Sequence[str], label: str, l2: float = 1e-3) -> Logistic | None:
+    """Class-balanced logistic regression on standardised columns; None when only one class is present.
 
+    A missing value counts as the mean of its column and sets an indicator that has a weight of its own, so no row is left out.
+    """
+    return newton_logistic(train, columns, label, l2)
 
-def fit_logistic(train: DataFrame, columns: Sequence[str], label: str, l2: float = 1e-3, elastic: float = 0.0):
-    """Class-balanced logistic regression on standardised columns; None when only one class is present."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    n = train.agg(F.count("*").alias("n"), F.sum(c(label).cast("double")).alias("p")).first()
-    if not n["p"] or n["p"] == n["n"]:
-        return None
-    wp, wn = n["n"] / (2.0 * n["p"]), n["n"] / (2.0 * (n["n"] - n["p"]))
-    t = train.withColumns({"_w": F.when(c(label) == 1, wp).otherwise(wn), "_y": c(label).cast("double")})
-    stages = [VectorAssembler(inputCols=list(columns), outputCol="raw", handleInvalid="skip"),
-              StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
-              LogisticRegression(featuresCol="scaled", labelCol="_y", weightCol="_w", regParam=l2, elasticNetParam=elastic, maxIter=50)]
-    return Pipeline(stages=stages).fit(t)
-
-
-def score(model, df: DataFrame, name: str = "p") -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-    out = model.transform(df)
-    return out.withColumn(name, vector_to_array("probability")[1]).drop("raw", "scaled", "rawPrediction", "probability", "prediction")
+
+def score(model: Logistic, df: DataFrame, name: str = "p") -> DataFrame:
+    return df.withColumn(name, model.probability())
 
 
 def logistic_forecast(train: DataFrame, test: DataFrame, columns: Sequence[str], horizons: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
-    """One balanced logistic model per horizon; a horizon with a single class in training gives NULL."""
-    out = None
-    for k in horizons:
-        m = fit_logistic(train, columns, f"y{k}")
-        s = score(m, test) if m is not None else test.withColumn("p", F.lit(None).cast("double"))
-        s = s.select("episode_id", "source_bucket", c("attack_state").alias("current"), F.lit(k).alias("horizon"), c(f"y{k}").alias("target"), "p")
-        out = s if out is None else out.unionByName(s)
-    return out.withColumn("model", F.lit("logistic"))
+    """One balanced logistic model per horizon, fitted in common passes; a horizon with a single class in training gives NULL."""
+    models = newton_logistics(train, columns, [f"y{k}" for k in horizons])
+    points = [F.struct(F.lit(k).alias("horizon"), c(f"y{k}").alias("target"), (m.probability() if m else F.lit(None).cast("double")).alias("p")) for k, m in zip(horizons, models)]
+    return test.select("episode_id", "source_bucket", c("attack_state").alias("current"), F.inline(F.array(*points))).withColumn("model", F.lit("logistic"))
 
 
 def platt(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Logistic on the logit of ``p``; refuses single-class validation data."""
+    """Logistic on the logit of ``p``; refuses single-class validation data. Rows without ``p`` take no part and stay uncalibrated."""
     logit = lambda p: F.log(F.greatest(p, F.lit(1e-6)) / F.greatest(1.0 - p, F.lit(1e-6)))
-    m = fit_logistic(train.withColumn("_l", logit(c("p"))), ["_l"], "target", 0.0)
+    m = newton_logistic(train.filter("p IS NOT NULL").withColumn("_l", logit(c("p"))), ["_l"], "target", 0.0)
     if m is None:
         return test.withColumns({"p_calibrated": F.lit(None).cast("double"), "calibration_status": F.lit("CALIBRATION_UNSUPPORTED")})
-    return score(m, test.withColumn("_l", logit(c("p"))), "p_calibrated").drop("_l").withColumn("calibration_status", F.lit("CALIBRATED"))
+    return test.withColumn("_l", logit(c("p"))).withColumns({
+        "p_calibrated": F.when(c("p").isNotNull(), m.probability()),
+        "calibration_status": F.when(c("p").isNull(), "NO_PROBABILITY").otherwise("CALIBRATED" if m.converged else "CALIBRATED_AT_STEP_LIMIT")}).drop("_l")
 
 
 def candidate_search(train: DataFrame, test: DataFrame, views: dict[str, Sequence[str]], label: str = "y1") -> DataFrame:
-    """Feature views x models on the same cases; one result row each, with an eligibility gate."""
+    """Feature views x models on the same cases; one result row each, with an eligibility gate.
+
+    Missing values are completed as in ``fit_logistic``, for the perceptron too.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
     out = None
     for view, cols in views.items():
-        models = {"logistic": fit_logistic(train, cols, label, 1e-3, 0.0), "ridge": fit_logistic(train, cols, label, 1e-1, 0.0)}
-        if models["logistic"] is not None:
-            mlp = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="raw", handleInvalid="skip"),
-                                   StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
-                                   MultilayerPerceptronClassifier(featuresCol="scaled", labelCol="_y", layers=[len(cols), 8, 2], seed=7, maxIter=30)])
-            models["mlp"] = mlp.fit(train.withColumn("_y", c(label).cast("double")))
-        for name, m in models.items():
-            if m is None:
+        first = fit_logistic(train, cols, label, 1e-3)
+        scored = {"logistic": first and score(first, test), "ridge": first and score(fit_logistic(train, cols, label, 1e-1), test)}
+        if first is not None:
+            names = [f"_c{i}" for i in range(2 * len(cols))]
+            full = lambda df: df.withColumns(dict(zip(names, complete(cols, first.fill))))  # noqa: E731, B023
+            mlp = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
+                                   MultilayerPerceptronClassifier(featuresCol="_scaled", labelCol="_y", layers=[len(names), 8, 2], seed=7, maxIter=30)])
+            fitted = mlp.fit(full(train.filter(c(label).isNotNull())).withColumn("_y", c(label).cast("double")))
+            scored["mlp"] = fitted.transform(full(test)).withColumn("p", vector_to_array("probability")[1])
+        for name, s in scored.items():
+            if s is None:
                 row = test.agg(F.count("*").alias("n")).select(F.lit(view).alias("view"), F.lit(name).alias("model"), F.lit("TRAINING_CLASS_DIVERSITY_UNSUPPORTED").alias("status"),
                                                                "n", F.lit(None).cast("double").alias("f1"), F.lit(None).cast("double").alias("brier"))
             else:
-                s = score(m, test).withColumn("target", c(label))
-                row = confusion(s).select(F.lit(view).alias("view"), F.lit(name).alias("model"), F.lit("EVALUATED").alias("status"), "n", "f1", "brier")
+                row = confusion(s.withColumn("target", c(label))).select(F.lit(view).alias("view"), F.lit(name).alias("model"), F.lit("EVALUATED").alias("status"), "n", "f1", "brier")
             out = row if out is None else out.unionByName(row)
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packetloom.functions.columns import r
-from packetloom.operators import entities as en, evaluate as ev, forecast as fc, graph as gr, windows as win
+from packetloom.operators import entities as en, evaluate as ev, forecast as fc, graph as gr, solvers, windows as win
 from packetloom.plans import base
 from packetloom.plans.a_views import EP, W
 from packetloom.plans.registry import cte, query
@@ -473,7 +473,19 @@ def ev8(spark, d):
     return ev.lead_time(e.filter("share >= 0.25"), fc.onset_events(e).filter("event = 'ONSET'"))
 
 
-@query("ev9_platt")
+# Newton steps for the two parameters; single-class training is refused
+@query("ev9_platt", """
+WITH RECURSIVE one AS (SELECT source_bucket, target, p, ln(greatest(p, 1e-6) / greatest(1.0::DOUBLE - p, 1e-6)) AS l, (SELECT (min(source_bucket) + max(source_bucket)) / 2 FROM share_pts WHERE horizon = 1) AS cut
+ FROM share_pts WHERE horizon = 1),
+cls AS (SELECT count(*) AS n, sum(target) AS pos FROM one WHERE source_bucket < cut AND p IS NOT NULL),
+fit AS (SELECT l, target AS y, CASE WHEN target = 1 THEN 0.5::DOUBLE / pos ELSE 0.5::DOUBLE / (n - pos) END AS w FROM one, cls WHERE source_bucket < cut AND p IS NOT NULL AND pos > 0 AND pos < n),
+st AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL
+ SELECT i + 1, a - (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1), b - (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) FROM (
+  SELECT i, a, b, sum(w * (q - y)) AS g0, sum(w * (q - y) * l) AS g1, sum(w * q * (1 - q)) AS h0, sum(w * q * (1 - q) * l) AS h1, sum(w * q * (1 - q) * l * l) AS h2
+  FROM (SELECT st.i, st.a, st.b, l, y, w, 1 / (1 + exp(-(st.a + st.b * l))) AS q FROM st, fit WHERE st.i < 30) GROUP BY i, a, b))
+SELECT source_bucket, target, CASE WHEN pos > 0 AND pos < n AND p IS NOT NULL THEN round(1 / (1 + exp(-(a + b * l))), 4) END AS p_calibrated,
+ CASE WHEN NOT (pos > 0 AND pos < n) THEN 'CALIBRATION_UNSUPPORTED' WHEN p IS NULL THEN 'NO_PROBABILITY' ELSE 'CALIBRATED' END AS calibration_status
+FROM one, cls, (SELECT a, b FROM st ORDER BY i DESC LIMIT 1) WHERE source_bucket >= cut""")
 def ev9(spark, d):
     x = share_points(spark, d).filter("horizon = 1")
     cut = x.agg(((F.min("source_bucket") + F.max("source_bucket")) / 2).alias("c")).scalar()
@@ -481,23 +493,37 @@ def ev9(spark, d):
         "source_bucket", "target", r(col("p_calibrated"), 4).alias("p_calibrated"), "calibration_status")
 
 
-EMB = [f"e{i}" for i in range(8)]
+# complete vectors in long form, and the moments of the training labels
+cte("emb_v", """
+SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, CAST(generate_subscripts(embedding, 1) AS INT) AS i FROM embeddings
+WHERE len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding) AND len(embedding) = (SELECT max(len(embedding)) FROM embeddings WHERE label < 5)""")
+cte("emb_mean", "SELECT i, avg(v) AS m, var_samp(v) AS s2 FROM emb_v WHERE label < 5 GROUP BY i")
 
 
-def emb(spark, d):
-    return base.views.table(spark, d, "embeddings").select("vec_id", "label", *[col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-
-
-@query("ev10_diag_mahalanobis", "WITH x AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8)) + " FROM embeddings), m AS (SELECT "
-       + ", ".join(f"avg(e{i}) AS m{i}, greatest(var_samp(e{i}), 1e-4) AS v{i}" for i in range(8)) + " FROM x WHERE label < 5)\nSELECT vec_id, round(sqrt((" + " + ".join(
-           f"pow(e{i} - m{i}, 2) / v{i}" for i in range(8)) + ") / 8), 5) AS ood_score, sqrt((" + " + ".join(f"pow(e{i} - m{i}, 2) / v{i}" for i in range(8)) + ") / 8) > 3.5 AS is_ood FROM x, m")
+@query("ev10_diag_mahalanobis", """
+WITH z AS (SELECT vec_id, sqrt(avg(pow(v - m, 2) / greatest(s2, 1e-4))) AS d FROM emb_v JOIN emb_mean USING (i) GROUP BY vec_id)
+SELECT vec_id, round(d, 5) AS ood_score, d > 3.5 AS is_ood FROM embeddings LEFT JOIN z USING (vec_id)""")
 def ev10(spark, d):
-    return ev.diag_mahalanobis(emb(spark, d), EMB, col("label") < 5).select("vec_id", r(col("ood_score"), 5).alias("ood_score"), "is_ood")
-
-
-@query("ev11_full_mahalanobis")
+    x = base.views.table(spark, d, "embeddings")
+    return solvers.vector_diag_mahalanobis(x, "embedding", col("label") < 5).select("vec_id", r(col("ood_score"), 5).alias("ood_score"), "is_ood")
+
+
+# the inverse of the covariance by Gauss-Jordan steps, one row of the matrix as pivot in each
+@query("ev11_full_mahalanobis", """
+WITH RECURSIVE dev AS (SELECT vec_id, label, i, v - m AS x FROM emb_v JOIN emb_mean USING (i)),
+cov AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (count(*) - 1) + CASE WHEN a.i = b.i THEN 1e-3 ELSE 0 END AS c FROM dev a JOIN dev b USING (vec_id) WHERE a.label < 5 GROUP BY 1, 2),
+wide AS (SELECT i, list_concat(list(c ORDER BY j), list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY j)) AS l FROM cov GROUP BY i),
+gauss AS (SELECT 0 AS k, list(l ORDER BY i) AS a, len(any_value(l)) // 2 AS n FROM wide UNION ALL
+ SELECT k + 1, list_transform(a, lambda l, i: CASE WHEN i = k + 1 THEN list_transform(l, lambda e: e / l[k + 1])
+  ELSE list_transform(l, lambda e, j: e - l[k + 1] / a[k + 1][k + 1] * a[k + 1][j]) END), n FROM gauss WHERE k < n),
+inv AS (SELECT i, j, a[i][n + j] AS c FROM gauss, range(1, n + 1) AS p(i), range(1, n + 1) AS q(j) WHERE k = n),
+dist AS (SELECT a.vec_id, any_value(a.label) AS label, sqrt(sum(a.x * c * b.x)) AS d FROM dev a JOIN inv ON inv.i = a.i JOIN dev b ON b.vec_id = a.vec_id AND b.i = inv.j GROUP BY 1),
+lim AS (SELECT quantile_cont(d, 0.95) AS p95, quantile_cont(d, 0.99) AS p99 FROM dist WHERE label < 5)
+SELECT vec_id, round(d, 4) AS distance, round(least(1.0::DOUBLE, d / p99), 4) AS epistemic, CASE WHEN d > p99 THEN 'OUT' WHEN d > p95 THEN 'BORDER' WHEN d IS NOT NULL THEN 'IN' END AS ood_level
+FROM embeddings LEFT JOIN dist USING (vec_id), lim""")
 def ev11(spark, d):
-    return ev.full_mahalanobis(emb(spark, d), EMB, col("label") < 5).select("vec_id", r(col("distance"), 4).alias("distance"), r(col("epistemic"), 4).alias("epistemic"), "ood_level")
+    x = base.views.table(spark, d, "embeddings")
+    return solvers.vector_full_mahalanobis(x, "embedding", col("label") < 5).select("vec_id", r(col("distance"), 4).alias("distance"), r(col("epistemic"), 4).alias("epistemic"), "ood_level")
 
 
 @query("ev12_model_rank", """

@@ -9,8 +9,8 @@ from packetloom.plans import load_all
 from packetloom.plans.registry import QUERIES, oracles
 
 SF = "/root/testdata/sf0.001"
-# results that SQL cannot state (fitted models, a driver-side inverse)
-NO_SQL = {"fc12_logistic", "ev9_platt", "ev11_full_mahalanobis", "ev14_static_detection", "ev15_candidate_search"}
+# results that SQL cannot state (fitted models)
+NO_SQL = {"fc12_logistic", "ev14_static_detection", "ev15_candidate_search"}
 SAMPLE = ["win4_port_scan_score", "cln4_capture_quality", "flw6_history_string", "beh3_beaconing", "gra2_graph_metrics", "ent13_investigation_value",
           "fc17_attack_horizon", "ev3_auc", "jn1_as_of_join", "src7_eve_json_alerts", "str3_live_sessions"]
 
