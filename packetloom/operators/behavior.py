@@ -88,24 +88,67 @@ def interval_shape(rows: DataFrame, keys: Sequence[str], bins: int = 10) -> Data
             F.floor((x - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)), F.lit(bins - 1)))})
     mad = group_quantiles(back, keys, "_dev", {"mad_interval": 0.5})
     ent = group_entropy(back, keys, "_b", "interval_entropy")
+    return shape_of(base.join(mad, keys).join(ent, keys, "left").drop("_lo", "_hi"))
+
+
+def shape_of(stats: DataFrame) -> DataFrame:
+    """Bowley skewness from the hinges; a single bin has entropy 0, a single interval jitter 0."""
     iqr = F.col("q3") - F.col("q1")
-    out = base.join(mad, keys).join(ent, keys, "left")
-    return out.withColumns({
+    return stats.withColumns({
         "interval_entropy": F.coalesce("interval_entropy", F.lit(0.0)), "jitter": F.coalesce("jitter", F.lit(0.0)),
         "bowley_skewness": F.when(F.col("interval_count") < 4, None).when(iqr < 1e-6, 0.0).otherwise(
-            clip((F.col("q3") + F.col("q1") - 2 * F.col("median_interval")) / iqr, -1.0, 1.0))}).drop("_lo", "_hi")
+            clip((F.col("q3") + F.col("q1") - 2 * F.col("median_interval")) / iqr, -1.0, 1.0))})
+
 
+def interval_shape_arrays(events: DataFrame, keys: Sequence[str], ts: str, bins: int = 10) -> DataFrame:
+    """``interval_shape`` of the intervals between distinct times, from one sorted array per key: a single shuffle.
 
-def periodicity(flows: DataFrame, min_connections: int = 4, segment_seconds: int = 86400) -> DataFrame:
-    """Five-class regularity of every (src, dst, port, protocol), with its destination consistency."""
+    For keys of a bounded number of events; others go through ``interval_rows``. Both give the same values.
+    """
+    keys = list(keys)
+    d = events.groupBy(*keys).agg(F.array_sort(F.collect_set(ts)).alias("_t"))
+    d = d.filter(F.size("_t") > 1).withColumn("_n", F.size("_t") - 1)
+    d = d.withColumn("_x", F.zip_with(F.slice("_t", 2, F.col("_n")), F.slice("_t", 1, F.col("_n")), lambda b, a: b - a))
+    d = d.withColumns({"_s": F.array_sort("_x"), "_j": F.zip_with(F.slice("_x", 2, F.col("_n")), F.slice("_x", 1, F.col("_n") - 1), lambda b, a: F.abs(b - a))})
+    n = F.col("_n")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
+
+    def at(a: str, pos: Column) -> Column:
+        lo, hi = F.get(a, F.floor(pos).cast("int")), F.get(a, F.ceil(pos).cast("int"))
+        return lo + (hi - lo) * (pos - F.floor(pos))
+
+    middle = (n - 1) * 0.5
+    d = d.withColumns({"mean_interval": total("_x") / n, "median_interval": at("_s", middle), "q1": at("_s", LOWER_HINGE(n)), "q3": at("_s", UPPER_HINGE(n)),
+                       "_lo": F.get("_s", F.lit(0)), "_hi": F.get("_s", n - 1)})
+    spread = F.col("_hi") - F.col("_lo")
+    place = F.when(spread >= 1e-6, F.transform("_x", lambda v: F.least(F.floor((v - F.col("_lo")) / (spread / bins)), F.lit(bins - 1))))
+    d = d.withColumns({
+        "std_interval": F.sqrt(F.aggregate("_x", F.lit(0.0), lambda acc, v: acc + (v - F.col("mean_interval")) * (v - F.col("mean_interval"))) / n),
+        "jitter": F.when(n > 1, total("_j") / (n - 1)),
+        "_dev": F.array_sort(F.transform("_x", lambda v: F.abs(v - F.col("median_interval")))),
+        "_c": F.aggregate(place, F.array_repeat(F.lit(0), bins), lambda acc, b: F.transform(acc, lambda k, i: k + (i == b).cast("int")))})
+    d = d.withColumns({"mad_interval": at("_dev", middle), "interval_entropy": F.log2(n) - F.aggregate(
+        "_c", F.lit(0.0), lambda acc, k: acc + F.when(k > 0, k * F.log2(k.cast("double"))).otherwise(0.0)) / n})
+    return shape_of(d.select(*keys, n.cast("bigint").alias("interval_count"), "mean_interval", "std_interval", "jitter", "median_interval", "q1", "q3",
+                             "mad_interval", "interval_entropy"))
+
+
+def periodicity(flows: DataFrame, min_connections: int = 4, segment_seconds: int = 86400, array_events: int = 1 << 16) -> DataFrame:
+    """Five-class regularity of every (src, dst, port, protocol), with its destination consistency.
+
+    Pairs of at most ``array_events`` events are judged from one sorted array, busier ones by segments and value bins, with equal results.
+    """
     # a missing port or protocol is a key like any other; stand-ins keep the joins below on plain equality
     none = {"dst_port": F.lit(-1), "protocol": F.lit("")}
-    f = flows.filter("src_ip IS NOT NULL AND dst_ip IS NOT NULL").select(*[F.coalesce(F.col(k), none[k]).alias(k) if k in none else k for k in PAIR], "start_ts")
-    ev = f.groupBy(*PAIR).agg(F.count("*").alias("event_count"), F.min("start_ts").alias("_a"), F.max("start_ts").alias("_b"))
+    f = shared(flows.filter("src_ip IS NOT NULL AND dst_ip IS NOT NULL").select(*[F.coalesce(F.col(k), none[k]).alias(k) if k in none else k for k in PAIR], "start_ts"))
+    ev = shared(f.groupBy(*PAIR).agg(F.count("*").alias("event_count"), F.min("start_ts").alias("_a"), F.max("start_ts").alias("_b")))
     src = ev.groupBy("src_ip").agg(F.sum("event_count").alias("_src_total"))
     # rare pairs cannot be judged: they are dropped before any interval is formed
-    often = f.join(ev.filter(F.col("event_count") >= min_connections).select(*PAIR), PAIR, "left_semi")
-    s = interval_shape(interval_rows(often, PAIR, "start_ts", segment_seconds), PAIR)
+    busy = F.col("event_count") > array_events
+    often = lambda which: f.join(ev.filter((F.col("event_count") >= min_connections) & which).select(*PAIR), PAIR, "left_semi")
+    s = interval_shape_arrays(often(~busy), PAIR, "start_ts")
+    if not ev.filter(busy).isEmpty():
+        s = s.unionByName(interval_shape(interval_rows(often(busy), PAIR, "start_ts", segment_seconds), PAIR))
     j = ev.join(s, PAIR, "left").join(src, "src_ip")
     enough = (F.col("event_count") >= min_connections) & (F.coalesce("interval_count", F.lit(0)) >= 3)
     cv = F.col("std_interval") / F.greatest("mean_interval", F.lit(1e-6))
