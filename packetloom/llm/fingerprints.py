@@ -56,12 +56,8 @@ class OrderMinHash:
                     width *= 2
         h = mix(acc)
         # occurrence numbers: position inside the run of equal k-mers once sorted by (k-mer, place)
-        if n <= 1 << 24:
-            both = np.sort((h & ~U((1 << 24) - 1)) | np.arange(n, dtype=U))
-            place, group = (both & U((1 << 24) - 1)).astype(np.int64), both >> U(24)
-        else:
-            place = np.argsort(h, kind="stable")
-            group = h[place]
+        place = np.argsort(h, kind="stable")
+        group = h[place]
         fresh = np.empty(n, bool)
         fresh[0] = True
         np.not_equal(group[1:], group[:-1], out=fresh[1:])
@@ -161,7 +157,8 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    done = staged(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, held), "fingerprints")
+    # the beginning of a text is a range key so that rows of one id spread; it agrees with the order by whole text
+    done = staged(rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text").mapInArrow(run, held), "fingerprints")
     # one row per range; the texts themselves are joined, not gathered
     ends = done.filter("edge = 'last'").select("range")
     ring = ends.select("range", F.coalesce(F.lead("range").over(Window.partitionBy(F.lit(0)).orderBy("range")), F.min("range").over(Window.partitionBy(F.lit(0)))).alias("next"))

@@ -76,3 +76,28 @@ def test_small_tables(spark):
     one = fp.edited_likeness(spark.createDataFrame([(1, "abcdefgh", 1, "", "")], SCHEMA)).collect()
     assert [(r.doc_id, r.edited_sha256, r.near_next) for r in one] == [(1, hashlib.sha256(b"abcdefab").hexdigest(), 1.0)]
     assert [tuple(r) for r in fp.fingerprints(spark.createDataFrame([(1, None, 1, "", ""), (2, "", 1, "", "")], SCHEMA)).select("fingerprint").distinct().collect()] == [("0" * 256,)]
+
+
+def test_kmers_that_share_high_bits_are_counted_apart():
+    sketch = fp.OrderMinHash()
+    points = np.random.default_rng(6).integers(97, 123, 5_000_000).astype(np.uint32)
+    h, _ = sketch.kmers(points)
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    at = np.flatnonzero((s[1:] >> np.uint64(24) == s[:-1] >> np.uint64(24)) & (s[1:] != s[:-1]))
+    assert len(at)
+    i, j = order[at[0]], order[at[0] + 1]
+    h, numbered = sketch.kmers(np.concatenate([points[i:i + 8], points[j:j + 8]]))
+    assert numbered[0] == h[0].astype(np.uint32) and numbered[-1] == h[-1].astype(np.uint32)  # the first occurrence of each
+
+
+def test_one_id_with_all_rows(spark):
+    """Rows of one id go in the order of their texts, over several ranges."""
+    texts = [None, "", *(("shared beginning " * 5 if i % 2 else "") + f"text {i * 7919 % 400:04d}" for i in range(400))]
+    got = fp.edited_likeness(spark.createDataFrame([(5, t) for t in texts], "doc_id long, text string").repartition(6)).collect()
+    ring = sorted(t or "" for t in texts)
+    want = []
+    for one, two in zip(ring, ring[1:] + ring[:1]):
+        n, take = len(one), len(one) // 4
+        want.append((n, hashlib.sha256((one[:n - take] + two[:take]).encode()).hexdigest()))
+    assert sorted((r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
