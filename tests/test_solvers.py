@@ -1,6 +1,7 @@
 """Moments, Mahalanobis scores and logistic fits against NumPy."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 from packetloom.operators import evaluate as ev, solvers as so
 
 
-def numpy_newton(x, y, l2, balanced=True):
-    """Dense Newton on standardised columns of positive spread; returns the probabilities of ``x``."""
+def numpy_newton(x, y, l2, balanced=True, at=None):
+    """Dense Newton on standardised columns of positive spread; returns the probabilities of ``x``, or of ``at``."""
     mean, std = x.mean(axis=0), x.std(axis=0, ddof=1)
     on = std > 0
     z = np.column_stack([np.ones(len(x)), (x[:, on] - mean[on]) / std[on]])
@@ -20,6 +21,8 @@ def numpy_newton(x, y, l2, balanced=True):
     for _ in range(60):
         q = 1 / (1 + np.exp(-z @ b))
         b -= np.linalg.solve((z * (w * q * (1 - q))[:, None]).T @ z + np.diag(pen), z.T @ (w * (q - y)) + pen * b)
+    if at is not None:
+        z = np.column_stack([np.ones(len(at)), (at[:, on] - mean[on]) / std[on]])
     return 1 / (1 + np.exp(-z @ b))
 
 
@@ -134,3 +137,37 @@ def test_vector_scores_of_empty_and_single_rows(spark):
     one = spark.createDataFrame([(1, [1.0, 2.0])], "id int, v array<double>")
     assert so.vector_diag_mahalanobis(one, "v", F.lit(True)).first()["ood_score"] is None
     assert so.vector_full_mahalanobis(one, "v", F.lit(True)).first()["distance"] is None
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="test tables absent")
+def test_horizon_models_equal_numpy_on_the_tables(spark):
+    """Every prediction of the registered forecast, all horizons."""
+    from packetloom.plans import i_forecast as plan
+    train, test = (t.toPandas() for t in plan.train_test(spark, SF))
+    got = {(r["source_bucket"], r["horizon"]): r["p"] for r in plan.fc12(spark, SF).collect()}
+    fill = train[plan.FLAT].astype(float).mean()
+    design = lambda t: np.column_stack([t[plan.FLAT].astype(float).fillna(fill).to_numpy(), t[plan.FLAT].isna().to_numpy(float)])
+    assert len(got) == 5 * len(test)
+    for k in range(1, 6):
+        want = numpy_newton(design(train), train[f"y{k}"].to_numpy(float), 1e-3, at=design(test))
+        assert max(abs(got[(b, k)] - w) for b, w in zip(test["source_bucket"], want)) <= 0.5e-4 + 1e-6  # shown with four places
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="test tables absent")
+def test_static_detection_equals_numpy_on_the_tables(spark):
+    """The confusion counts of the registered query; flows without a port take part."""
+    from packetloom.plans import base, i_forecast as plan
+    cols = ["fwd_bytes", "rev_bytes", "fwd_packets", "rev_packets", "dst_port"]
+    f = base.flows(spark, SF).select("start_ts", "end_ts", "state", *cols).toPandas()
+    day, y = np.floor(f["start_ts"] / 86400), (f["state"] == "REJECTED").to_numpy(float)
+    raw = np.column_stack([f["end_ts"] - f["start_ts"], f[cols].astype(float)])
+    early = (day < (day.min() + day.max()) / 2).to_numpy()
+    x = np.column_stack([np.where(np.isnan(raw), np.nanmean(raw[early], axis=0), raw), np.isnan(raw)])
+    p = numpy_newton(x[early], y[early], 1e-3, at=x[~early])
+    assert np.abs(p - 0.5).min() > 1e-7  # no row on the border
+    got = plan.ev14(spark, SF).first()
+    t = y[~early] == 1
+    assert (got["n"], got["tp"], got["fp"], got["fn"], got["tn"]) == (len(p), *(int(v.sum()) for v in ((p >= 0.5) & t, (p >= 0.5) & ~t, (p < 0.5) & t, (p < 0.5) & ~t)))
