@@ -27,6 +27,8 @@ ALPHABETS = {
     "decimal": DIGITS, "hex": DIGITS + LOWER[:6], "hex-upper": DIGITS + UPPER[:6], "lower": LOWER, "upper": UPPER, "base32": UPPER + DIGITS[2:8], "lower-digit": LOWER + DIGITS,
     "upper-digit": UPPER + DIGITS, "letters": UPPER + LOWER, "base62": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_",
 }
+#: Elements of a block of running results, and code points of a piece of a text.
+BLOCK, PIECE = 64, 1024
 #: Lengths from which a new stratum starts.
 BANDS = [20, 24, 32, 48, 96, 256]
 #: Structure that a token must be shown not to have: two symbols being equal with at least this probability (letters of a
@@ -51,19 +53,50 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _before(values: str, join: str = "{0} + {1}", levels: int = 2) -> str:
+    """Array: for each of ``values`` (bigint) what ``join`` makes of 0 and all values before it, in about linear time.
+
+    Appending to an array copies it, so results are made in blocks, those of the blocks in blocks again.
+    """
+    step = join.format("a.so_far", "x")
+    plain = lambda of: f"aggregate({of}, struct(0L as so_far, cast(array() as array<bigint>) as out), (a, x) -> struct({step} as so_far, concat(a.out, array(a.so_far)) as out)).out"
+    if not levels:
+        return plain(values)
+    v, b = f"v{levels}", f"b{levels}"
+    blocks = f"transform(sequence(0, (size({v}) - 1) div {BLOCK}), k -> slice({v}, cast(k * {BLOCK} + 1 as int), {BLOCK}))"
+    totals = f"transform({b}, y -> aggregate(y, 0L, (s, x) -> {join.format('s', 'x')}))"
+    whole = f"flatten(zip_with({b}, {_before(totals, join, levels - 1)}, (y, t) -> transform({plain('y')}, x -> {join.format('t', 'x')})))"
+    return _let(v, values, _let(b, blocks, whole))
+
+
+def _pieces(text: str) -> str:
+    """The text in pieces of ``PIECE`` code points: a place in a text is found by reading it from its beginning, one in a piece is near."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0)"
+
+
+def _cut(pieces: str, start: str, end: str) -> str:
+    """Code points ``start`` to ``end`` (exclusive) of a text in pieces."""
+    low = f"greatest({start} - k * {PIECE}, 0)"
+    part = f"substring({pieces}[k], cast({low} + 1 as int), cast(least({end} - k * {PIECE}, {PIECE}) - {low} as int))"
+    return f"if({end} > {start}, array_join(transform(sequence({start} div {PIECE}, ({end} - 1) div {PIECE}), k -> {part}), ''), '')"
+
+
 def found(pattern: str, text: str = "text", group: int = 0) -> Column:
     """Array of ``start, end, part`` of all leftmost non-overlapping matches, in code points; ``part`` is the given group.
 
     Functions that list matches don't tell where they are; the pieces between them do.
     """
     r = _quoted(pattern)
-    zipped = (f"zip_with(split({text}, {r}, -1), zip_with(regexp_extract_all({text}, {r}, 0), regexp_extract_all({text}, {r}, {group}), (m, g) -> struct(length(m) as size, g as part)), "
-              "(p, m) -> struct(length(p) as gap, m.size as size, m.part as part))")
-    kind = "array<struct<start:int,end:int,part:string>>"
-    step = ("(a, x) -> struct(a.pos + x.gap + coalesce(x.size, 0) as pos, if(x.size is null, a.found, concat(a.found, "
-            "array(struct(a.pos + x.gap as start, a.pos + x.gap + x.size as end, x.part as part)))) as found)")
-    all_of = f"aggregate({zipped}, struct(0 as pos, cast(array() as {kind}) as found), {step}).found"
-    return F.expr(f"case when {text} rlike {r} then {all_of} else cast(array() as {kind}) end")
+    parts = f"zip_with(regexp_extract_all({text}, {r}, 0), regexp_extract_all({text}, {r}, {group}), (m, g) -> struct(length(m) as size, g as part))"
+    hits = f"zip_with(slice(split({text}, {r}, -1), 1, size(parts)), parts, (p, m) -> struct(length(p) as gap, m.size as size, m.part as part))"
+    ends = _before("transform(hits, h -> cast(h.gap + h.size as bigint))")
+    placed = f"zip_with(hits, {ends}, (h, e) -> struct(cast(e + h.gap as int) as start, cast(e + h.gap + h.size as int) as end, h.part as part))"
+    return F.expr(f"case when {text} rlike {r} then {_let('parts', parts, _let('hits', hits, placed))} else cast(array() as array<struct<start:int,end:int,part:string>>) end")
 
 
 def _spans(column: str, kind: str, keep: str = "true") -> str:
@@ -73,16 +106,17 @@ def _spans(column: str, kind: str, keep: str = "true") -> str:
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``row, doc_id, base`` (spans of the fixed patterns) and ``tokens`` (runs that may be encoded secrets), by input row."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("row", "doc_id", found(ASSIGN, group=2).alias("assign"), found(ACCESS).alias("access"), found(HEX).alias("hex"), found(TOKEN).alias("tokens"))
+    rows = rows.select("row", "doc_id", "text", found(ASSIGN, group=2).alias("assign"), found(ACCESS).alias("access"), found(HEX).alias("hex"), found(TOKEN).alias("tokens"))
     base = f"sort_array(concat({_spans('assign', 'assign', 'length(x.part) >= 6')}, {_spans('access', 'access')}, {_spans('hex', 'hex')}))"
-    # what base spans leave of a token: the pieces before, between and behind them that are long enough by themselves
-    kind = "array<struct<start:int,end:int,part:string>>"
-    piece = "struct(a.pos as start, {end} as end, substring(t.part, a.pos - t.start + 1, {end} - a.pos) as part)"
-    cut = (f"(a, b) -> struct(greatest(a.pos, b.end) as pos, if(b.start > a.pos, concat(a.out, array({piece.format(end='b.start')})), a.out) as out)")
-    rest = f"a -> if(t.end > a.pos, concat(a.out, array({piece.format(end='t.end')})), a.out)"
-    pieces = f"aggregate(filter(base, b -> b.start < t.end and t.start < b.end), struct(t.start as pos, cast(array() as {kind}) as out), {cut}, {rest})"
-    free = (f"flatten(transform(tokens, t -> if(exists(base, b -> b.start < t.end and t.start < b.end), filter({pieces}, x -> length(rtrim('=', x.part)) >= 20), array(t))))")
-    return rows.withColumn("base", F.expr(base)).select("row", "doc_id", "base", F.expr(free).alias("tokens"))
+    # what base spans leave of a token: the pieces before, between and behind them that are long enough by themselves. Borders in
+    # order, each with its step of 1024 x (tokens begun) + (in a token) - 4 x (base spans around)
+    steps = [("tokens", "start", 1025), ("tokens", "end", -1), ("base", "start", -4), ("base", "end", 4)]
+    borders = f"sort_array(concat({', '.join(f'transform({of}, x -> struct(x.{side} as at, {step}L as step))' for of, side, step in steps)}))"
+    open_ = f"zip_with(borders, {_before('transform(borders, x -> x.step)')}, (x, s) -> s + x.step + 32)"
+    between = "filter(transform(borders, (x, i) -> struct(x.at as start, get(borders, i + 1).at as end, open[i] as open)), x -> x.open % 1024 = 33 and x.end - x.start >= 20)"
+    bare = f"transform({between}, x -> struct(x.start as start, x.end as end, {_cut('pieces', 'x.start', 'x.end')} as part))"
+    free = _let("borders", borders, _let("open", open_, _let("pieces", _pieces("text"), f"filter({bare}, x -> length(rtrim('=', x.part)) >= 20)")))
+    return rows.withColumn("base", F.expr(base)).select("row", "doc_id", "base", F.expr(f"if(size(base) = 0 or size(tokens) = 0, tokens, {free})").alias("tokens"))
 
 
 def language() -> tuple[str, list[list[float]], list[float]]:
@@ -208,7 +242,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``base`` has the spans of the fixed patterns. ``spans`` adds runs of encoded characters, clear of base spans, that the
     randomness battery tells from language and counters at a false-discovery rate of ``rate`` over the whole table.
 
-    A null or empty text has no spans. Null or repeated ids are separate rows. ``row`` numbers the input rows, alike on every
+    A null or empty text has no spans; one with very many costs time in proportion to them. Null or repeated ids are separate rows. ``row`` numbers the input rows, alike on every
     read of a written table. Other columns play no part.
     """
     scanned = staged(scan(docs, id_col, text_col), "scanned")
@@ -229,8 +263,11 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     found_ = find_secrets(held.select("_row", own(text_col).alias("_text")), "_row", "_text", **options).filter("size(spans) > 0")
     marks = found_.select(F.col("doc_id").alias("_row"), F.col("spans").alias("_spans"))
     numbered_rows = held.withColumn("_old", own(text_col).cast("string")).join(marks, "_row", "left")
-    step = ("(a, s) -> if(s.end <= a.pos, a, struct(s.end as pos, if(s.start < a.pos, a.out, concat(a.out, substring(_old, a.pos + 1, s.start - a.pos), '[SECRET]')) as out))")
-    new = f"aggregate(_spans, struct(0 as pos, '' as out), {step}, a -> concat(a.out, substring(_old, a.pos + 1)))"
+    before = _before("transform(_spans, x -> cast(x.end as bigint))", "greatest({0}, {1})")
+    marks_ = f"filter(zip_with(_spans, {before}, (x, e) -> struct(e as clear, x.start as start)), x -> x.start >= x.clear)"
+    last = "array_max(transform(_spans, x -> x.end))"
+    kept = f"concat(array_join(transform({marks_}, x -> concat({_cut('pieces', 'x.clear', 'x.start')}, '[SECRET]')), ''), {_cut('pieces', last, 'length(_old)')})"
+    new = _let("pieces", _pieces("_old"), kept)
     out = numbered_rows.withColumn("_new", F.expr(f"if(_spans is null, _old, {new})"))
     replaced = {text_col: F.col("_new")} | ({length_col: F.when(F.col("_spans").isNull(), own(length_col)).otherwise(F.length("_new"))} if length_col else {})
     return out.select(*[replaced.get(c, own(c)).alias(c) for c in docs.columns])
