@@ -21,8 +21,8 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 #: What may follow an apostrophe as a pre-token of its own (fixed values).
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 SENTINEL = 0x110000
-#: A worker remembers the ids of at most so many pre-tokens; beyond it, it starts anew.
-KNOWN = 600_000
+#: A worker remembers the ids of at most so many pre-tokens that came twice in a batch; beyond it, it starts anew.
+KNOWN = 200_000
 
 
 @functools.cache
@@ -46,11 +46,10 @@ class Bpe:
 
     def __init__(self, path: str, end: int):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library, self.end, self.known = Tokenizer.from_file(path), end, {}
+        self.path, self.end, self.known = path, end, {}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         names = _byte_names()
         kind = json.dumps(spec.get("pre_tokenizer") or {})
@@ -63,6 +62,13 @@ class Bpe:
         if self.fast:
             self.core = tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
+    @functools.cached_property
+    def library(self):
+        """The ``tokenizers`` library's own form, made for the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _starts(self, points: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Where a pre-token begins. A space joins the run after it, a run of white space leaves its last one to what follows."""
         before, after = np.roll(cls, 1), np.roll(cls, -1)
@@ -81,14 +87,16 @@ class Bpe:
             start[at + 1 + n] = True
         return start
 
-    def _merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each distinct pre-token, one after another, and their numbers. The empty one ends a text."""
+    def _merged(self, words: pa.Array, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each distinct pre-token, which came ``count`` times, one after another, and their numbers. The empty one ends a text."""
         names = words.to_pylist()
         out = list(map(self.known.get, names))
         for i, ids in enumerate(out):
             if ids is None:
                 w = names[i]
-                out[i] = self.known[w] = array("I", self.core.encode_single_piece(w) if w else (self.end,)).tobytes()
+                out[i] = array("I", self.core.encode_single_piece(w) if w else (self.end,)).tobytes()
+                if count[i] > 1:
+                    self.known[w] = out[i]
         if len(self.known) > KNOWN:
             self.known.clear()
         return np.frombuffer(b"".join(out), np.uint32), np.fromiter(map(len, out), np.int64, len(out)) // 4
@@ -117,8 +125,8 @@ class Bpe:
         at = np.flatnonzero(start)
         offsets = np.append(place[at], len(data)).astype(np.int32)
         words = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        flat, sizes = self._merged(words.dictionary)
         which = words.indices.to_numpy()
+        flat, sizes = self._merged(words.dictionary, np.bincount(which, minlength=len(words.dictionary)))
         first, n = (np.cumsum(sizes) - sizes)[which], sizes[which]
         stop = np.cumsum(n)
         ids = flat[np.repeat(first - (stop - n), n) + np.arange(stop[-1])]
