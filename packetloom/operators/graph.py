@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from packetloom.functions.columns import bucket, choose, count_when, private_ip, r, set_size, subnet_24, tag_string
 from packetloom.operators.behavior import observed_window_index, with_previous
-from packetloom.session import durable
+from packetloom.session import durable, shared
 
 W = Window
 EDGE = ["src_ip", "dst_ip", "protocol", "dst_port"]
@@ -186,7 +189,43 @@ def graph_evolution(edges: DataFrame, nodes: DataFrame, monitored: int = 256) ->
         ((v < monitored * 0.5) | (v <= 2)).alias("is_partial_capture"))
 
 
-def connected_components(pairs: DataFrame, keys: Sequence[str] = (), a: str = "src_ip", b: str = "dst_ip") -> DataFrame:
+def connected_components(pairs: DataFrame, keys: Sequence[str] = (), a: str = "src_ip", b: str = "dst_ip", group_edges: int = 1 << 18) -> DataFrame:
+    """``keys, node, component`` (smallest node id): ``keys`` of up to ``group_edges`` edges as one group each, the others, or all without
+    ``keys``, by ``star_components``. Both give the same rows."""
+    keys = list(keys)
+    if not keys:
+        return star_components(pairs, keys, a, b)
+    u, v = F.col("_u"), F.col("_v")
+    e = shared(pairs.select(*keys, F.greatest(a, b).alias("_u"), F.least(a, b).alias("_v")).filter(u.isNotNull() & v.isNotNull()).distinct())
+    # a null key joins nothing, so its nodes stay apart: star_components keeps it so
+    whole = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    sizes = shared(e.groupBy(*keys).agg(F.count("*").alias("_edges")))
+    few = whole & (F.col("_edges") <= group_edges)
+    schema = T.StructType([*[e.schema[k] for k in keys], T.StructField("node", e.schema["_u"].dataType), T.StructField("component", e.schema["_u"].dataType)])
+
+    def merged(key: tuple, group: pd.DataFrame) -> pd.DataFrame:  # inside, so that tasks need no module of this package
+        codes, names = pd.factorize(pd.concat([group["_u"], group["_v"]], ignore_index=True), sort=True)
+        left, right = codes[:len(group)], codes[len(group):]
+        label = np.arange(len(names))
+        while len(left):  # roots take the smaller label until no edge has two
+            x, y = label[left], label[right]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label[label] != label).any():
+                label = label[label]
+            open_ = label[left] != label[right]
+            left, right = left[open_], right[open_]
+        out = {name: np.full(len(names), value) for name, value in zip(keys, key)}
+        return pd.DataFrame(out | {"node": names, "component": np.asarray(names)[label]})
+
+    if sizes.filter(~few).isEmpty():
+        return e.groupBy(*keys).applyInPandas(merged, schema)
+    small = e.join(sizes.filter(few).select(*keys), keys, "left_semi").groupBy(*keys).applyInPandas(merged, schema)
+    match = reduce(Column.__and__, [e[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    rest = e.join(sizes.filter(~few).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), match, "left_semi")
+    return small.unionByName(star_components(rest, keys, "_u", "_v"))
+
+
+def star_components(pairs: DataFrame, keys: Sequence[str] = (), a: str = "src_ip", b: str = "dst_ip") -> DataFrame:
     """``keys, node, component`` (smallest node id) by alternating large-star / small-star rounds.
 
     Stars shrink the graph to depth one in a logarithmic number of rounds, whatever its diameter, and
