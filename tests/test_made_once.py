@@ -14,6 +14,10 @@ def leaves(df):
     return {found.apply(i).nodeName().split(" ")[0] for i in range(found.size())}
 
 
+def test_all_branches_of_the_vector_read_kept_flows(spark):
+    assert leaves(e_behavior.beh13(spark, SF)) == {"InMemoryRelation"}
+
+
 def test_intervals_read_kept_flows(spark):
     df = e_behavior._shape(spark, SF)
     assert leaves(df) == {"InMemoryRelation"}
