@@ -2,7 +2,9 @@
 
 import random
 
-from packetloom.operators import behavior as bh
+from pyspark.sql import functions as F
+
+from packetloom.operators import behavior as bh, patterns as pt
 from packetloom.plans import e_behavior
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +34,12 @@ def test_short_and_busy_keys_have_the_same_shape(spark):
     for limit in (1 << 16, 100, 0):
         got.append({r.k: [None if r[n] is None else round(r[n], 6) for n in SHAPE] for r in bh.interval_shapes(df, ["k"], "t", 86400, limit).collect()})
     assert got[0] == got[1] == got[2] and set(got[0]) == {"k0", "k1", "k2", "k3", "k4", "two"}
+
+
+def test_fingerprints_from_given_members(spark):
+    rows = [(f"i{i % 3}", i % 3, f"s{i % 4}", f"d{i % 5}", i % 7, ("TCP", "UDP")[i % 2], ("REJECTED", "CLOSED")[i % 3 > 0]) for i in range(90)]
+    s = spark.createDataFrame(rows, "incident string, bucket long, src_ip string, dst_ip string, dst_port int, protocol string, state string")
+    atk = F.col("state") == "REJECTED"
+    m = pt.incident_members(s, "incident", atk).persist()
+    a, b = pt.incident_fingerprint(s, "incident", atk, atk), pt.incident_fingerprint(s, "incident", atk, atk, m)
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
