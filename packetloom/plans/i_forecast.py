@@ -542,8 +542,9 @@ def ev13(spark, d):
 @query("ev14_static_detection")
 def ev14(spark, d):
     f = base.flows(spark, d).withColumns({"day": F.floor(col("start_ts") / 86400), "dur": col("end_ts") - col("start_ts"), "target": (col("state") == "REJECTED").cast("int")})
-    cut = f.agg(((F.min("day") + F.max("day")) / 2).alias("c")).scalar()
     cols = ["dur", "fwd_bytes", "rev_bytes", "fwd_packets", "rev_packets", "dst_port"]
+    f = shared(f.select("day", "target", *cols))  # read again by each step of the fit
+    cut = f.agg(((F.min("day") + F.max("day")) / 2).alias("c")).scalar()
     m = ev.fit_logistic(f.filter(col("day") < cut), cols, "target")
     return ev.confusion(ev.score(m, f.filter(col("day") >= cut)))
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from packetloom.operators import behavior as bh, patterns as pt
-from packetloom.plans import e_behavior
+from packetloom.plans import e_behavior, i_forecast
 
 SF = "/root/testdata/sf0.001"
 SHAPE = ["interval_count", "mean_interval", "std_interval", "jitter", "median_interval", "mad_interval", "interval_entropy", "bowley_skewness"]
@@ -20,6 +20,10 @@ def test_all_branches_of_the_vector_read_kept_flows(spark):
     assert leaves(e_behavior.beh13(spark, SF)) == {"InMemoryRelation"}
 
 
+def test_steps_of_a_fit_read_kept_flows(spark):
+    assert "InMemoryRelation" in leaves(i_forecast.ev14(spark, SF))
+
+
 def test_intervals_read_kept_flows(spark):
     df = e_behavior._shape(spark, SF)
     assert leaves(df) == {"InMemoryRelation"}
