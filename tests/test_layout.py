@@ -48,3 +48,33 @@ def test_points_are_not_multiplied_by_levels(spark):
     tree = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     spread = next(i for i, line in enumerate(tree) if "Generate explode(sequence" in line)
     assert any("Aggregate [k" in line for line in tree[spread:])
+
+
+def test_views_from_totals_equal_those_from_sessions(spark):
+    """Sessions are read once a direction for all views; missing ports and states, port 0 and hosts on both sides included."""
+    odd = [("s1", "s2", None, "TCP", "RESET", 40.0, 41.0, 1, 1, 1, 1), ("s2", "s1", 0, "TCP", None, 41.0, 50.0, 2, 2, 2, 2), ("s9", "s1", None, None, None, 9000.0, 9001.0, 1, 0, 1, 0)]
+    laid = settled(en.by_source_window(flows(spark).union(spark.createDataFrame(odd, SCHEMA)), 3600))
+    ends = en.endpoint_rows(laid, 3600)
+    sent = settled(en.window_totals(ends, True))
+    assert "ENSURE_REQUIREMENTS" not in plan(en.window_totals(ends, True))
+    ew = bh.entity_windows(laid, 3600, sent)
+    assert "ENSURE_REQUIREMENTS" not in plan(ew)
+    same(bh.entity_windows(laid, 3600).select(*ew.columns), ew)
+    totals = sent.unionByName(en.window_totals(ends, False))
+    found = spark.createDataFrame([("s1", 0, "port_scan", "high"), ("s1", 4, "dos_flood", "critical"), ("d2", 1, "port_scan", "high")],
+                                  "entity string, bucket long, attack_category string, severity string")
+    history = {r.entity: r for r in en.entity_history(ends, found, totals).collect()}
+    for name, rows in ((n, ends.filter(ends.entity == n).collect()) for n in ("s1", "s2", "s9", "d2")):
+        got = history[name]
+        assert (got.activity_count, got.total_bytes, got.active_windows) == (len(rows), sum(r.bytes for r in rows), len({r.bucket for r in rows}))
+        assert (got.unique_ports, got.unique_peers) == (len({r.dst_port for r in rows} - {None}), len({r.peer for r in rows}))
+        assert got.observed_states == ",".join(sorted({r.state for r in rows} - {None}))
+    none = spark.createDataFrame([], "src_ip string, score double, coefficient_of_variation double, is_beaconing boolean")
+    profile = {r.entity: r for r in en.entity_profile(ends, found, none, totals).collect()}
+    assert (profile["s9"].targeted_ports_count, profile["s9"].connection_attempts, profile["d2"].connection_attempts) == (0, 1, 0)
+    ep = en.episodes(found, ends, 1, 3600, totals)
+    same(en.episodes(found, ends, 1, 3600), ep)
+    for r in ep.collect():
+        during = [e for e in ends.filter(ends.entity == r.entity).collect() if r.start_window <= e.bucket <= r.end_window]
+        assert (r.session_count, r.destination_ports) == (len(during), sorted({e.dst_port for e in during} - {None}))
+    same(en.episode_targets(ep, ends), en.episode_targets(ep, ends, totals))
