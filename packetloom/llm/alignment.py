@@ -14,11 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from packetloom.llm.bpe import Bpe, _byte_names
-from packetloom.llm.common import query, slices, staged, table
+from packetloom.llm.common import give_back, query, slices, staged, table
 from packetloom.llm.packing import tokenizer_path
 
 #: Texts are tokenised and aligned in blocks of about so many bytes; pair counts are summed inside a block first.
 BLOCK_BYTES = 2 << 20
+#: Both tokenizers and the search for cuts take so many bytes of a block at once: their arrays take some 100 bytes for each of them.
+PIECE_BYTES = 512 << 10
 #: How the ids of a block are kept on disk and in shuffles.
 CODEC = "zstd"
 
@@ -28,8 +30,7 @@ class Tokens:
 
     def __init__(self, a_path: str, b_path: str):
         self.a = Bpe(a_path, 0)
-        self.a.library.encode_special_tokens = True  # their strings in a text are text
-        self.a.special = []
+        self.a.special = []  # their strings in a text are text
         with open(a_path, encoding="utf-8") as f:
             spec = json.load(f)
         names, added = _byte_names(), {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -39,6 +40,8 @@ class Tokens:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        # the bytes of all tokens one after another, where each begins, and how many it has
+        self.a_spelling, self.b_spelling = ((np.frombuffer(b"".join(t), np.uint8), np.cumsum(n) - n, n) for t, n in ((self.a_bytes, self.a_size), (self.b_bytes, self.b_size)))
         widest = max(len(self.a_bytes), len(self.b_bytes))
         self.kind = np.dtype("<u2" if widest <= 1 << 16 else "<u4")
         self.key = np.dtype(np.uint32 if len(self.a_bytes) * len(self.b_bytes) < 1 << 32 else np.uint64)
@@ -51,12 +54,26 @@ class Tokens:
         a = [x[:-1] for x in np.split(flat, np.cumsum(counts)[:-1])] if len(texts) else []
         b = [np.array(x, np.int64) for x in self.b.encode([t or "" for t in texts], num_threads=1)] if len(texts) else []
         none = np.empty(0, np.int64)
-        for i, t in enumerate(texts):
-            whole = b" " + t.encode("utf-8", "replace") if t else b""
-            if not whole or any(b"".join(map(of.__getitem__, ids[i].tolist())) != whole for of, ids in ((self.a_bytes, a), (self.b_bytes, b))):
-                a[i] = b[i] = none
+        spelled = np.logical_and(*(self._spelled(ids, texts, *of) for ids, of in ((a, self.a_spelling), (b, self.b_spelling)))) if len(texts) else []
+        for i in np.flatnonzero(~np.asarray(spelled, bool)):
+            a[i] = b[i] = none
         return a, b
 
+    @staticmethod
+    def _spelled(ids: list[np.ndarray], texts: list[str | None], letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the bytes of the ids of each text are those of the text behind a space; not for null and empty texts."""
+        wanted = [b" " + t.encode("utf-8", "replace") if t else b"" for t in texts]
+        length = np.fromiter(map(len, wanted), np.int64, len(wanted))
+        flat, counts = _flat(ids)
+        same = (length > 0) & (_sums(size[flat], counts) == length)
+        # texts of the right length lie at the same places on both sides
+        flat = flat[np.repeat(same, counts)]
+        n = size[flat]
+        got = letters[np.repeat(start[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        off = np.flatnonzero(got != np.frombuffer(b"".join(w for w, s in zip(wanted, same, strict=True) if s), np.uint8))
+        same[np.flatnonzero(same)[np.searchsorted(np.cumsum(length[same]), off, "right")]] = False
+        return same
+
     def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
 
@@ -165,7 +182,7 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = load(*paths)
         for whole in batches:
-            for part in slices(whole, size=BLOCK_BYTES):
+            for part in slices(whole, size=PIECE_BYTES):
                 a, b = tokens.encode(part.column("text").to_pylist())
                 (a, a_count), (b, b_count) = _flat(a), _flat(b)
                 cuts = shared_cuts(*tokens.ends(a, b), a_count, b_count)
@@ -181,6 +198,26 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>")
 
 
+def aligned_block(tokens: Tokens, part: pa.RecordBatch, size: int) -> tuple[list[pa.Array], bytes, np.ndarray, np.ndarray]:
+    """Cells with an entry a text, ids, pairs and their counts of a block (see ``alignment_blocks``), made from pieces of about ``size`` bytes."""
+    ids, cells, linked = ([], []), [], []
+    for piece in slices(part, size=size):
+        a, b = tokens.encode(piece.column("text").to_pylist())
+        (a, a_count), (b, b_count) = _flat(a), _flat(b)
+        a_end, b_end = tokens.ends(a, b)
+        a_cuts, b_cuts = shared_cuts(a_end, b_end, a_count, b_count)
+        digests = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in _shown(tokens, a, b, a_cuts, b_cuts, a_count, b_count)]
+        n_groups = np.diff(np.searchsorted(a_cuts, np.append(0, np.cumsum(a_count)), "right"))
+        i, j, _ = links(a_end, b_end)
+        linked.append(a[i].astype(tokens.key) * tokens.key.type(len(tokens.b_bytes)) + b[j].astype(tokens.key))
+        cells.append([piece.column("doc_id"), *map(pa.array, (a_count, b_count, n_groups)), pa.array(digests, pa.string())])
+        for kept, found in zip(ids, (a, b), strict=True):
+            kept.append(found.astype(tokens.kind))
+    pairs, counts = np.unique(np.concatenate(linked), return_counts=True)
+    packed = pa.compress(np.concatenate([*ids[0], *ids[1]]).tobytes(), codec=CODEC, asbytes=True)
+    return [pa.concat_arrays(c) for c in zip(*cells, strict=True)], packed, pairs, counts
+
+
 def alignment_blocks(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Aligned texts, a row for each block of them; write the result before use, since a block is a matter of the task that made it.
 
@@ -195,19 +232,11 @@ def alignment_blocks(docs: DataFrame, a_path: str | None = None, b_path: str | N
         tokens, block = load(*paths), TaskContext.get().partitionId() << 36
         for whole in batches:
             for part in slices(whole, size=BLOCK_BYTES):
-                a, b = tokens.encode(part.column("text").to_pylist())
-                (a, a_count), (b, b_count) = _flat(a), _flat(b)
-                a_end, b_end = tokens.ends(a, b)
-                a_cuts, b_cuts = shared_cuts(a_end, b_end, a_count, b_count)
-                digests = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in _shown(tokens, a, b, a_cuts, b_cuts, a_count, b_count)]
-                n_groups = np.diff(np.searchsorted(a_cuts, np.append(0, np.cumsum(a_count)), "right"))
-                i, j, _ = links(a_end, b_end)
-                pairs, counts = np.unique(a[i].astype(tokens.key) * tokens.key.type(len(tokens.b_bytes)) + b[j].astype(tokens.key), return_counts=True)
-                ids = pa.compress(np.concatenate([a, b]).astype(tokens.kind).tobytes(), codec=CODEC, asbytes=True)
-                cells = [part.column("doc_id"), *map(pa.array, (a_count, b_count, n_groups)), pa.array(digests, pa.string())]
+                cells, packed, pairs, counts = aligned_block(tokens, part, PIECE_BYTES)
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (*cells, pa.array(pairs.astype(np.int64)), pa.array(counts.astype(np.int64)))]
-                yield pa.RecordBatch.from_arrays([pa.array([block]), *lists[:5], pa.array([ids], pa.binary()), *lists[5:]], [c.split()[0] for c in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *lists[:5], pa.array([packed], pa.binary()), *lists[5:]], [c.split()[0] for c in schema.split(", ")])
                 block += 1
+                give_back()
 
     return _rows(docs, id_col, text_col).mapInArrow(run, schema)
 
@@ -258,6 +287,7 @@ def alignment_counts(docs: DataFrame, a_path: str | None = None, b_path: str | N
             n_links = _sums(n, a_count)
             out.append(pa.Table.from_arrays([pa.array(row["doc_ids"], pa.int64()), *map(pa.array, (a_count, b_count, np.array(row["n_groups"], np.int64), n_links, _sums(best[at].astype(np.int64), n_links), _sums(total[at], n_links))),
                                              pa.array(row["groups"], pa.string())], [c.split()[0] for c in schema.split(", ")]))
+        give_back()
         return pa.concat_tables(out)
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"

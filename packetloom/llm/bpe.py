@@ -64,10 +64,12 @@ class Bpe:
 
     @functools.cached_property
     def library(self):
-        """The ``tokenizers`` library's own form, made for the first text that needs it."""
+        """The ``tokenizers`` library's own form, made for the first text that needs it. Where no string is special, theirs are text."""
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_file(self.path)
+        library = Tokenizer.from_file(self.path)
+        library.encode_special_tokens = not self.special
+        return library
 
     def _starts(self, points: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Where a pre-token begins. A space joins the run after it, a run of white space leaves its last one to what follows."""

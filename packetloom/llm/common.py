@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -142,3 +143,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = BATCH_BYTES)
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+
+
+def give_back() -> None:
+    """Hand memory that is free again to the system: a worker lives on between tasks, beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
