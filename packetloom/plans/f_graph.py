@@ -10,6 +10,7 @@ from packetloom.plans import base
 from packetloom.plans.a_views import DAY
 from packetloom.plans.e_behavior import MONTH
 from packetloom.plans.registry import cte, query
+from packetloom.session import stored
 
 cte("mf_v", f"SELECT *, CAST(floor(start_ts / {MONTH}) AS BIGINT) AS bucket FROM flows_v")
 cte("ge_v", """
@@ -50,7 +51,9 @@ def changed(spark, d):
 @query("gra1_graph_snapshot", """
 SELECT bucket, ip, fan_out, fan_in, fan_out + fan_in AS total_degree, port_diversity, bytes_sent, bytes_recv, packets_sent, packets_recv, round(activity_score, 5) AS activity_score FROM gn_v""")
 def gra1(spark, d):
-    return gr.graph_nodes(edges(spark, d)).drop("is_external").withColumn("activity_score", r(F.col("activity_score"), 5))
+    # written once in between: what made the edges leaves the disk before the nodes are counted
+    return gr.graph_nodes(stored(edges(spark, d).select("bucket", "src_ip", "dst_ip", "dst_port", "packet_count", "byte_count"))).drop("is_external").withColumn(
+        "activity_score", r(F.col("activity_score"), 5))
 
 
 @query("gra1_graph_edges", "SELECT bucket, src_ip, dst_ip, protocol, dst_port, flow_count, packet_count, byte_count, round(max_duration, 3) AS max_duration, round(weight, 4) AS weight FROM ge_v")

@@ -44,3 +44,10 @@ def test_shuffles_that_made_a_table_leave_the_disk(spark):
         time.sleep(1)
         stored(spark.range(1).toDF("k"))  # as the next table of a query
     assert kept() <= before
+
+
+def test_nodes_of_a_snapshot_are_counted_from_written_edges(spark):
+    df = entry.queries()["gra1_graph_snapshot"](spark, D)
+    tree = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in tree and "l_orderkey" not in tree
+    assert df.count() == df.select("bucket", "ip").distinct().count() > 100
